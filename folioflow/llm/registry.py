@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: Query name -> module of this subpackage that defines it.
 WHERE = {
+    "op2_pii_boosted": "pii",
     "op4_sharding_two_pass": "sharding",
     "op5_bpe_tree": "bpe",
     "op9_media_mpeg_audio": "mpeg_audio",
