@@ -7,9 +7,11 @@ from importlib import import_module
 #: Query name -> module of this subpackage that defines it.
 WHERE = {
     "op2_pii_boosted": "pii",
+    "op3_quality_neighbours": "quality",
     "op4_sharding_two_pass": "sharding",
     "op5_bpe_tree": "bpe",
     "op9_media_mpeg_audio": "mpeg_audio",
+    "op10_toxicity_boosted": "toxicity",
 }
 
 
