@@ -10,6 +10,7 @@ WHERE = {
     "op3_quality_neighbours": "quality",
     "op4_sharding_two_pass": "sharding",
     "op5_bpe_tree": "bpe",
+    "op6_substring_dedup": "substring_dedup",
     "op9_media_mpeg_audio": "mpeg_audio",
     "op10_toxicity_boosted": "toxicity",
 }
