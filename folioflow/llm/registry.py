@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: Query name -> module of this subpackage that defines it.
 WHERE = {
+    "op1_ngram_jaccard_join": "jaccard_join",
     "op2_pii_boosted": "pii",
     "op3_quality_neighbours": "quality",
     "op4_sharding_two_pass": "sharding",
