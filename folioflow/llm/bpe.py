@@ -33,6 +33,8 @@ PIECE = 4096
 WINDOW = 48
 KEPT_WORDS = 600_000  # of a worker's memory of encoded words, about 150 MB; emptied when full
 KEPT_LENGTH = 48
+PLAIN = "\u0130"  # letters below it are lowered one by one and have no combining forms
+SIGNS = ".,;:!?&%$#*|)\""
 
 
 def tokenizer_json(path: str | None = None) -> str:
@@ -60,6 +62,8 @@ class TreeEncoder:
         self.middle = Tokenizer(models.BPE(vocab, merges))
         self.last = Tokenizer(models.BPE(vocab, merges, end_of_word_suffix=self.suffix or None))
         self.piece, self.window, self.known = piece, window, {}
+        self.parting = "<|endoftext|>"
+        self.parting_id = self.library.token_to_id(self.parting)
         self.unsplit = re.compile(rf"\S{{{piece},}}")
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.tokens = [self.library.id_to_token(i) or "" for i in range(self.library.get_vocab_size(with_added_tokens=True))]
@@ -71,12 +75,48 @@ class TreeEncoder:
         if len(known) > KEPT_WORDS:
             known.clear()
         rows = [t.replace("\n", " ").split(" ") for t in texts]
-        fresh = list({w for row in rows for w in row if w not in known})
-        made = dict(zip(fresh, [tuple(e.ids) for e in self.library.encode_batch_fast(fresh, add_special_tokens=False)], strict=True))
-        known.update((w, ids) for w, ids in made.items() if len(w) <= KEPT_LENGTH)
-        if len(made) and any(len(w) > KEPT_LENGTH for w in made):
-            return [list(chain.from_iterable([known[w] if w in known else made[w] for w in row])) for row in rows]
-        return [list(chain.from_iterable([known[w] for w in row])) for row in rows]
+        fresh = {w for row in rows for w in row if w not in known}
+        long = {w for w in fresh if len(w) > KEPT_LENGTH}
+        self._learn(fresh - long)
+        if not long:
+            return [list(chain.from_iterable([known[w] for w in row])) for row in rows]
+        once = dict(zip(long, (e.ids for e in self.library.encode_batch_fast(list(long), add_special_tokens=False)), strict=True))
+        return [list(chain.from_iterable([once[w] if w in once else known[w] for w in row])) for row in rows]
+
+    def _learn(self, fresh: set[str]) -> None:
+        """Encode words that stand between spaces and remember them.
+
+        A word of plain Latin letters has the ids of its lower-case stem and then
+        those of its closing signs: this tokenizer lowers case, and a change from
+        a letter or digit to these signs parts its words.
+        """
+        known, parted, stems = self.known, [], set()
+        for w in fresh:
+            folded = w.lower()
+            if not w or max(w) >= PLAIN or max(folded) >= PLAIN:
+                stems.add(w)
+                continue
+            stem = folded.rstrip(SIGNS)
+            if stem and stem[-1].isalnum():
+                parted.append((w, stem, folded[len(stem) :]))
+            else:
+                parted.append((w, folded, ""))
+        stems.update(x for _, stem, tail in parted for x in (stem, tail))
+        need = [x for x in stems if x not in known]
+        odd = [x for x in need if "<" in x]
+        even = [x for x in need if "<" not in x]
+        for e, x in zip(self.library.encode_batch_fast(odd, add_special_tokens=False), odd, strict=True):
+            known[x] = tuple(e.ids)
+        # many words a call, parted by a special token's id, which none of them can give
+        packs = [even[i : i + 64] for i in range(0, len(even), 64)]
+        for e, pack in zip(self.library.encode_batch_fast([self.parting.join(p) for p in packs], add_special_tokens=False), packs, strict=True):
+            ids, at = [*e.ids, self.parting_id], 0
+            for x in pack:
+                end = ids.index(self.parting_id, at)
+                known[x] = tuple(ids[at:end])
+                at = end + 1
+        for w, stem, tail in parted:
+            known[w] = known[stem] + known[tail]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         # a long run without spaces, in a text without special tokens, has no pieces here
