@@ -27,3 +27,20 @@ def map_columns(df: DataFrame, make: Callable[[], Callable[..., list]], schema:
             yield pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(made, arrow, strict=True)], schema=arrow)
 
     return df.mapInArrow(run, fields)
+
+
+def with_column(df: DataFrame, name: str, kind: str, column: str, make: Callable[[], Callable[[list], list]]) -> DataFrame:
+    """`df` with the column `name` (put last, or in its place) computed from `column` by a batch function; the others pass as they are."""
+    (field,) = _parse_datatype_string(f"`{name}` {kind}")
+    fields = StructType([field if f.name == name else f for f in df.schema] + [field] * (name not in df.columns))
+    arrow, places = to_arrow_schema(fields), (df.columns.index(column), fields.names.index(name))
+
+    def run(batches):
+        work = make()
+        for batch in batches:
+            made = pa.array(work(batch.column(places[0]).to_pylist()), type=arrow.field(places[1]).type)
+            columns = [*batch.columns]
+            columns[places[1] : places[1] + 1] = [made]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    return df.mapInArrow(run, fields)

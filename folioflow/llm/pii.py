@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm._arrow import map_columns
+from folioflow.llm._arrow import map_columns, with_column
 from folioflow.llm._gbt import fit_gbt, fit_isotonic, gbt_margin, isotonic
 
 KINDS = ("email", "ip", "card", "phone")
@@ -241,6 +241,20 @@ def detect(df: DataFrame, key: str, text: str, model: dict | None = None) -> Dat
     return map_columns(df.select(F.col(key).alias("key"), F.col(text).cast("string")), make, f"key {kind}, spans array<struct<kind:string,start:int,end:int,score:double>>, redacted string").withColumnRenamed("key", key)
 
 
+def redact_column(df: DataFrame, text: str, model: dict | None = None) -> DataFrame:
+    """`df` with all spans in its column `text` replaced by their kind in brackets; null stays null."""
+    model = model or trained()
+
+    def make():
+        def work(texts):
+            found = spans([t or "" for t in texts], model)
+            return [t if t is None or not (base or added) else redacted(t, base + added) for t, (base, added) in zip(texts, found, strict=True)]
+
+        return work
+
+    return with_column(df, text, "string", text, make)
+
+
 def digest(docs: DataFrame, model: dict | None = None) -> DataFrame:
     """Counts and hash of the base spans, and all spans as a string; texts don't leave the task."""
     model = model or trained()

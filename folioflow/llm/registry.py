@@ -12,6 +12,8 @@ WHERE = {
     "op4_sharding_two_pass": "sharding",
     "op5_bpe_tree": "bpe",
     "op6_substring_dedup": "substring_dedup",
+    "op7_mixing_soft": "mixing",
+    "op8_topk_cover_trees": "topk_search",
     "op9_media_mpeg_audio": "mpeg_audio",
     "op10_toxicity_boosted": "toxicity",
 }
@@ -22,4 +24,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, sql in (("op8_topk_cover_trees", import_module("folioflow.llm.topk_search").OP8_SQL),)}

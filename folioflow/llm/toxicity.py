@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm._arrow import map_columns
+from folioflow.llm._arrow import with_column
 from folioflow.llm._features import LEET, MIXED, SECOND, SHAPE, shape, words_of
 from folioflow.llm._gbt import fit_gbt, fit_isotonic, gbt_margin, isotonic
 from folioflow.llm._labelled import labelled_sample, remainder
@@ -115,22 +115,32 @@ def train(docs: DataFrame, labels: DataFrame, fold: tuple[int, int] | None = FOL
     return fit(*labelled_sample(docs, labels, F.col("toxic"), fold, limit))
 
 
-def score(df: DataFrame, key: str, text: str, model: dict) -> DataFrame:
-    """`key` and the calibrated `score` of every whole text."""
+def _scorer(model: dict):
+    """Makes a task's function from texts to scores."""
 
     def make():
         known = Lookup(model.get("lexicon", {}))
 
-        def work(keys, texts):
+        def work(texts: list) -> list[float]:
             if "constant" in model:
-                return [keys, [model["constant"]] * len(keys)]
+                return [model["constant"]] * len(texts)
             x = np.array([features(t, words_of(t), known) for t in (t or "" for t in texts)], float).reshape(-1, len(NAMES))
-            return [keys, isotonic(model["curve"], gbt_margin(model["gbt"], x)).tolist()]
+            return isotonic(model["curve"], gbt_margin(model["gbt"], x)).tolist()
 
         return work
 
-    kind = df.schema[key].dataType.simpleString()
-    return map_columns(df.select(F.col(key).alias("key"), F.col(text).cast("string")), make, f"key {kind}, score double").withColumnRenamed("key", key)
+    return make
+
+
+def with_score(df: DataFrame, text: str, model: dict, name: str = "toxicity_score") -> DataFrame:
+    """`df` with the calibrated score of every whole text in the column `name`."""
+    return with_column(df, name, "double", text, _scorer(model))
+
+
+def score(df: DataFrame, key: str, text: str, model: dict) -> DataFrame:
+    """`key` and the calibrated `score` of every whole text."""
+    rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    return with_score(rows, "text", model, "score").select(F.col("key").alias(key), "score")
 
 
 def op10_toxicity_boosted(spark, sf_dir: str) -> DataFrame:
