@@ -29,6 +29,16 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def splittable(column: str):
+    """A join key that nothing is dealt by yet.
+
+    Where one side comes from a grouping by the key itself, Spark joins in the
+    grouping's partitions and can't split a hot one; a key of its own gives
+    both sides a shuffle that adaptive execution may split.
+    """
+    return F.col(column).bitwiseXOR(F.lit(1))
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """`id` and `root` (the smallest id of its component) of every node of the edges (`u`, `v`).
 
@@ -42,8 +52,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # a hub's many edges meet its one root in the join, which skew handling can split; the minimum is taken before the shuffle
         near = both.join(roots.select(F.col("id").alias("v"), "root"), "v").groupBy("u").agg(F.min("root").alias("near"))
         step = roots.join(near.withColumnRenamed("u", "id"), "id").select("id", F.col("root").alias("before"), F.least("root", "near").alias("via"))
-        known = step.select(F.col("id").alias("via"), F.col("via").alias("root"))
-        new = written(step.join(known, "via").select("id", F.least("via", "root").alias("root"), (F.least("via", "root") < F.col("before")).alias("changed")))
+        known = step.select(splittable("id").alias("__k"), F.col("via").alias("root"))
+        new = written(step.withColumn("__k", splittable("via")).join(known, "__k").select("id", F.least("via", "root").alias("root"), (F.least("via", "root") < F.col("before")).alias("changed")))
         roots = new.drop("changed")
         if new.where("changed").isEmpty():
             return roots

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm._tables import components, written
+from folioflow.llm._tables import components, splittable, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -41,7 +41,7 @@ DEPTH = 3
 SMALL = 256
 RECALL = 0.999
 SLACK = 3.8
-BLOCK = 256
+BLOCK = 96
 _U = np.uint64
 
 
@@ -314,8 +314,8 @@ def jaccard_join(df: DataFrame, key: str = "doc_id", text: str = "text", thresho
 
     level, parts = reps.select(F.explode("paths").alias("path"), "rep", "sig"), []
     for depth in range(1, DEPTH + 1):
-        met = level.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
-        rows = written(level.join(met, "path").select("path", "rep", "sig", "n"))
+        met = level.groupBy("path").agg(F.count("*").alias("n")).where("n > 1").select(splittable("path").alias("__k"), "n")
+        rows = written(level.withColumn("__k", splittable("path")).join(met, "__k").select("path", "rep", "sig", "n"))
         last = depth == DEPTH
         parts.append(_in_blocks(rows if last else rows.where(F.col("n") <= SMALL), "path", SMALL, "sig"))
         if not last:
@@ -325,8 +325,8 @@ def jaccard_join(df: DataFrame, key: str = "doc_id", text: str = "text", thresho
         together = together.unionByName(p)
     clusters = components(_provisional(together, least_agreement(threshold)).distinct())
 
-    sizes = clusters.groupBy("root").agg(F.count("*").alias("n"))
-    members = written(clusters.join(sizes, "root").select(F.col("id").alias("rep"), F.col("root").alias("cluster"), "n"))
+    sizes = clusters.groupBy("root").agg(F.count("*").alias("n")).select(splittable("root").alias("__k"), "n")
+    members = written(clusters.withColumn("__k", splittable("root")).join(sizes, "__k").select(F.col("id").alias("rep"), F.col("root").alias("cluster"), "n"))
     # one text per id: repeated rows must not count twice
     held = docs.join(members, docs["doc_id"] == members["rep"]).groupBy("rep", "cluster", "n").agg(F.min("text").alias("text"))
     found = written(_exact(_in_blocks(_sets(held), "cluster", BLOCK, "items"), threshold))
