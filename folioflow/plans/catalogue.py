@@ -1,24 +1,532 @@
-"""Named queries over the test tables and their DuckDB equivalents."""
+"""Named queries over the test tables and their DuckDB equivalents.
+
+The tables stand in for the catalogue's: documents with labels are problems
+(sources are batches, languages groups), regions and nations a taxonomy,
+orders versioned rows, events block rows and intervals, lineitem boxes.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.functions import similarity as S
 from folioflow.functions import text as T
+from folioflow.operators import blocks as B
+from folioflow.operators import catalog as C
+from folioflow.operators import classify as K
+from folioflow.operators import exports as X
+from folioflow.operators import latex as L
+from folioflow.operators import layout as G
+from folioflow.operators import review as V
+from folioflow.operators import taxonomy as Y
+
+QUERIES: dict[str, Callable] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL if there is one."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
 
+def problems(spark, d: str) -> DataFrame:
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    q, t = F.col("quality"), F.col("toxic")
+    return docs.join(labels, "doc_id", "left").select(
+        F.col("doc_id").alias("id"), F.col("source").alias("batch_id"), F.col("lang").alias("category_group"), F.concat(F.lit("k"), F.col("doc_id") % 5).alias("category_key"), F.col("text").alias("ocr_text"),
+        F.concat(F.lit("Doc-"), "doc_id", F.lit(".PNG")).alias("filename"), F.when(q == 1, "accepted").when(q == 0, "pending").otherwise("not_required").alias("review_status"), F.when(t == 1, "failed").otherwise("ready").alias("status"),
+        (F.col("doc_id") % 97).alias("created_at"),
+    )
 
-def publish_dedup_latest(spark, d: str) -> DataFrame:
-    """Keep the latest document of each content fingerprint."""
-    docs = spark.read.parquet(f"{d}/documents.parquet")
-    # the text stays out of the shuffle: the fingerprint and id decide, per map task first
-    return docs.select("doc_id", T.content_fingerprint(F.col("text")).alias("fp")).groupBy("fp").agg(F.max("doc_id").alias("doc_id"), F.count("*").alias("copies"))
 
+PROBLEMS = """problems AS (
+  SELECT d.doc_id AS id, d.source AS batch_id, d.lang AS category_group, 'k' || (d.doc_id % 5) AS category_key, d.text AS ocr_text, 'Doc-' || d.doc_id || '.PNG' AS filename,
+    CASE WHEN quality = 1 THEN 'accepted' WHEN quality = 0 THEN 'pending' ELSE 'not_required' END AS review_status,
+    CASE WHEN toxic = 1 THEN 'failed' ELSE 'ready' END AS status, d.doc_id % 97 AS created_at
+  FROM documents d LEFT JOIN labels l USING (doc_id))"""
+FP_SQL = r"sha256(regexp_replace(lower(text), '[^\p{L}\p{N}]+', '', 'g') || '|none')"
 
-QUERIES = {"publish_dedup_latest": publish_dedup_latest}
-ORACLES = {
-    "publish_dedup_latest": r"""
+
+# ---- catalogue reads
+
+
+@query(f"""
 SELECT fp, max(doc_id) AS doc_id, count(*) AS copies
-FROM (SELECT doc_id, sha256(regexp_replace(lower(text), '[^\p{L}\p{N}]+', '', 'g') || '|none') AS fp FROM documents)
-GROUP BY fp""",
-}
+FROM (SELECT doc_id, {FP_SQL} AS fp FROM documents) GROUP BY fp""")
+def publish_dedup_latest(spark, d):
+    """Keep the latest document of each content fingerprint; texts stay out of the shuffle."""
+    rows = table(spark, d, "documents").select("doc_id", T.content_fingerprint(F.col("text")).alias("fp"))
+    return C.keep_latest(rows, F.col("fp"), ["doc_id"]).select("fp", "doc_id", "copies")
+
+
+@query(f"""
+SELECT content_fingerprint, count(*) AS n FROM (SELECT {FP_SQL} AS content_fingerprint FROM documents)
+GROUP BY 1 HAVING count(*) > 1""")
+def fingerprint_uniqueness_violations(spark, d):
+    rows = table(spark, d, "documents").select(F.lit("published").alias("asset_state"), T.content_fingerprint(F.col("text")).alias("content_fingerprint"))
+    return C.fingerprint_violations(rows)
+
+
+@query(f"""WITH {PROBLEMS} SELECT id, created_at, category_group FROM problems ORDER BY created_at DESC, id DESC LIMIT 50 OFFSET 20""")
+def problem_page_newest(spark, d):
+    return C.page(problems(spark, d), "created_at", "id", "newest", 50, 20).select("id", "created_at", "category_group")
+
+
+@query(f"""WITH {PROBLEMS} SELECT id, created_at, category_group FROM problems WHERE category_group = 'en' AND category_key = 'k1' ORDER BY created_at NULLS FIRST, id NULLS FIRST LIMIT 30""")
+def problem_page_oldest(spark, d):
+    return C.page(C.search(problems(spark, d), "en", "k1"), "created_at", "id", "oldest", 30).select("id", "created_at", "category_group")
+
+
+_LIKE = "translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(f"""WITH {PROBLEMS} SELECT id FROM problems WHERE contains({_LIKE.format(c='filename')}, 'erin') OR contains({_LIKE.format(c='ocr_text')}, 'erin')""")
+def problem_search_like(spark, d):
+    return C.search(problems(spark, d), q="  eRiN ").select("id")
+
+
+@query(f"""WITH {PROBLEMS} SELECT count(*) AS total FROM problems WHERE category_group = 'fr' AND contains({_LIKE.format(c='ocr_text')}, 'que')""")
+def problem_search_total(spark, d):
+    return C.search(problems(spark, d), group="fr", q="QUE", fields=("ocr_text",)).agg(F.count("*").alias("total"))
+
+
+@query(f"""WITH {PROBLEMS}, a AS (
+  SELECT id, created_at, sha256(regexp_replace(lower(ocr_text), '[^\\p{{L}}\\p{{N}}]+', '', 'g') || '|none') AS fp FROM problems WHERE review_status = 'accepted'
+), k AS (SELECT fp, max({{'c': created_at, 'i': id}}) AS m, count(*) AS copies FROM a GROUP BY fp)
+SELECT m.i AS id, m.c AS created_at, copies FROM k ORDER BY 2 DESC, 1 DESC LIMIT 50 OFFSET 10""")
+def asset_page(spark, d):
+    rows = C.assets(problems(spark, d).withColumn("asset_state", F.lit("published"))).select("id", "created_at", T.content_fingerprint(F.col("ocr_text")).alias("fp"))
+    return C.page(C.keep_latest(rows, F.col("fp"), ["created_at", "id"]), "created_at", "id", "newest", 50, 10).select("id", "created_at", "copies")
+
+
+@query("SELECT DISTINCT p_brand AS category_group, p_type AS category_key FROM part WHERE p_brand <> '' AND p_type <> ''")
+def category_pairs(spark, d):
+    return Y.pairs(table(spark, d, "part"), "p_brand", "p_type")
+
+
+@query("SELECT p_brand AS category_group, p_type AS category_key, count(*) AS usage_count FROM part GROUP BY 1, 2")
+def category_usage(spark, d):
+    return Y.usage(table(spark, d, "part"), "p_brand", "p_type")
+
+
+@query(f"""WITH {PROBLEMS}, r AS (
+  SELECT batch_id, max(CASE WHEN review_status = 'pending' THEN 1 ELSE 0 END) p, max(CASE WHEN status = 'failed' THEN 1 ELSE 0 END) f FROM problems GROUP BY 1)
+SELECT b.batch_id, CASE WHEN p IS NULL THEN 'empty' WHEN p = 1 THEN 'needs_review' WHEN f = 1 THEN 'partial' ELSE 'ready' END AS rolled_status
+FROM (SELECT DISTINCT source AS batch_id FROM documents UNION ALL SELECT 'none') b LEFT JOIN r USING (batch_id)""")
+def batch_status_rollup(spark, d):
+    p = problems(spark, d)
+    batches = table(spark, d, "documents").select(F.col("source").alias("id")).distinct().unionByName(spark.createDataFrame([("none",)], "id string"))
+    return C.batch_status(batches, p)
+
+
+@query(f"""WITH {PROBLEMS} SELECT batch_id AS id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY created_at, id) AS ids FROM problems WHERE created_at < 20 GROUP BY 1""")
+def batch_with_problems(spark, d):
+    p = problems(spark, d).where("created_at < 20")
+    nested = C.batch_with_problems(p.select(F.col("batch_id").alias("id")).distinct(), p)
+    return nested.select("id", F.array_join(F.transform("problems", lambda x: x["id"].cast("string")), ",").alias("ids"))
+
+
+# ---- taxonomy
+
+
+def _nations(spark, d) -> DataFrame:
+    r, n = table(spark, d, "region"), table(spark, d, "nation")
+    return n.join(r, n["n_regionkey"] == r["r_regionkey"]).select(
+        F.concat(F.lit("g"), F.col("r_regionkey")).alias("group_id"), F.col("r_name").alias("group_name"), F.lit("builtin").alias("group_source"), (F.col("r_regionkey") != 3).alias("group_active"), F.col("r_regionkey").alias("group_pos"),
+        F.concat(F.lit("c"), F.col("n_nationkey")).alias("category_id"), F.col("n_name").alias("category_name"), F.lit("builtin").alias("category_source"), ((F.col("n_nationkey") % 4 != 0) & (F.col("r_regionkey") != 3)).alias("category_active"), F.col("n_nationkey").alias("category_pos"),
+    )
+
+
+def _used(spark, d) -> DataFrame:
+    """Customers' regions and nations; every tenth customer's nation has a name that the taxonomy lacks."""
+    c, n, r = table(spark, d, "customer"), table(spark, d, "nation"), table(spark, d, "region")
+    j = c.join(n, c["c_nationkey"] == n["n_nationkey"]).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    return j.select("c_custkey", F.col("r_name").alias("category_group"), F.when(F.col("c_custkey") % 10 == 0, F.concat("n_name", F.lit("?"))).otherwise(F.col("n_name")).alias("category_key"))
+
+
+_USED = """used AS (SELECT c_custkey, r_name AS category_group, CASE WHEN c_custkey % 10 = 0 THEN n_name || '?' ELSE n_name END AS category_key
+  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
+
+
+@query(f"""WITH {_USED}, u AS (SELECT category_group, category_key, count(*) AS n FROM used GROUP BY 1, 2)
+SELECT 'c' || n_nationkey AS category_id, coalesce(n, 0) AS category_usage, CAST(sum(coalesce(n, 0)) OVER (PARTITION BY r_regionkey) AS BIGINT) AS group_usage
+FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN u ON category_group = r_name AND category_key = n_name""")
+def taxonomy_usage_rollup(spark, d):
+    return Y.usage_rollup(_nations(spark, d), Y.usage(_used(spark, d))).select("category_id", "category_usage", "group_usage")
+
+
+@query(f"""WITH {_USED} SELECT DISTINCT category_group, category_key FROM used WHERE (category_group, category_key) NOT IN (SELECT (r_name, n_name) FROM nation JOIN region ON n_regionkey = r_regionkey)""")
+def taxonomy_unknown_pairs(spark, d):
+    return Y.unknown_pairs(Y.pairs(_used(spark, d)), _nations(spark, d))
+
+
+@query(f"""WITH {_USED}, m AS (SELECT DISTINCT category_group, category_key FROM used WHERE category_key LIKE '%?')
+SELECT n_name AS category_name, 'builtin' AS category_source, n_nationkey AS category_pos FROM nation
+UNION ALL SELECT category_key, 'historical', CAST(last + row_number() OVER (PARTITION BY category_group ORDER BY category_key) AS INTEGER) FROM m
+JOIN (SELECT r_name, max(n_nationkey) AS last FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1) ON r_name = category_group""")
+def taxonomy_with_historical(spark, d):
+    return Y.with_historical(_nations(spark, d), _used(spark, d)).select("category_name", "category_source", "category_pos")
+
+
+@query(f"""WITH {_USED} SELECT c_custkey FROM used WHERE (category_group, category_key) IN (
+  SELECT (r_name, n_name) FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 4 <> 0 AND r_regionkey <> 3)""")
+def active_pair_filter(spark, d):
+    return Y.active_pairs(_used(spark, d), _nations(spark, d)).select("c_custkey")
+
+
+@query("""WITH o AS (SELECT o_orderkey AS id, o_orderstatus AS s, o_custkey AS c FROM orders WHERE o_orderkey % 11 <> 0),
+n AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderstatus END AS s, o_custkey AS c FROM orders WHERE o_orderkey % 13 <> 0)
+SELECT coalesce(o.id, n.id) AS id, CASE WHEN o.id IS NULL THEN 'added' WHEN n.id IS NULL THEN 'removed'
+  WHEN o.s IS NOT DISTINCT FROM n.s AND o.c IS NOT DISTINCT FROM n.c THEN 'same' ELSE 'changed' END AS change
+FROM o FULL JOIN n ON o.id = n.id""")
+def taxonomy_update_diff(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("s"), F.col("o_custkey").alias("c"))
+    new = o.where("id % 13 <> 0").withColumn("s", F.when(F.col("id") % 7 != 0, F.col("s")))
+    return Y.diff(o.where("id % 11 <> 0"), new)
+
+
+@query("SELECT 'name not normal' AS rule, n_name || '/' AS item FROM nation WHERE n_nationkey = 3 UNION ALL SELECT 'active category in inactive group', 'c' || n_nationkey FROM nation WHERE n_regionkey = 3 AND n_nationkey % 4 = 1")
+def taxonomy_violations(spark, d):
+    bad = _nations(spark, d).withColumns({"category_name": F.when(F.col("category_pos") == 3, F.concat("category_name", F.lit("/"))).otherwise(F.col("category_name")), "category_active": F.col("category_active") | ((F.col("group_pos") == 3) & (F.col("category_pos") % 4 == 1))})
+    return Y.violations(bad)
+
+
+# ---- classification, text, agreement of two readings
+
+#: A rule pack in the test tables' languages.
+_word = lambda w: rf"(?i)(?:^|[^\p{{L}}])(?:{w})(?:[^\p{{L}}]|$)"
+PACK = (
+    K.Rule("english", "articles", ((_word("the"), 2), (_word("and"), 1), ("tion", 2))),
+    K.Rule("romance", "french", ((_word("les"), 3), ("eaux", 3), (_word("que"), 1))),
+    K.Rule("romance", "spanish", ((_word("los"), 3), ("ción", 4), (_word("que"), 1))),
+    K.Rule("german", "german", ((_word("und"), 3), ("sch", 2), ("keit", 2))),
+)
+
+
+def _pack_sql() -> str:
+    score = lambda r: " + ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN {w} ELSE 0 END" for p, w in r.terms)
+    rules = " UNION ALL ".join(f"SELECT doc_id, {i} AS i, '{r.group}' AS g, '{r.category}' AS c, {score(r)} AS s FROM documents" for i, r in enumerate(PACK))
+    return f"""WITH r AS ({rules}), k AS (
+  SELECT doc_id, g, c, s, row_number() OVER w AS n, lead(s) OVER w AS second FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY s DESC, i))
+, f AS (SELECT doc_id, CASE WHEN s < 3 THEN '未分类' ELSE g END AS "group", CASE WHEN s < 3 THEN '未分类' ELSE c END AS category,
+  CASE WHEN s < 3 THEN 0.0 ELSE round(CAST(least(0.98, 0.55 + 0.08 * (s - 3) + 0.04 * (s - second)) AS DOUBLE), 4) END AS confidence FROM k WHERE n = 1)"""
+
+
+@query(f"""{_pack_sql()} SELECT doc_id, "group", category, confidence FROM f""")
+def classify_rules(spark, d):
+    c = K.classify_by_rules(F.col("text"), PACK, spaceless=False)
+    return table(spark, d, "documents").select("doc_id", c.alias("c")).select("doc_id", "c.group", "c.category", "c.confidence")
+
+
+@query(f"""{_pack_sql()} SELECT doc_id, CASE WHEN confidence < 0.75 AND doc_id % 3 = 0 AND 0.8 >= confidence + 0.05 THEN 'model' ELSE category END AS category FROM f""")
+def classify_cascade(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    c = K.classify_by_rules(F.col("text"), PACK, spaceless=False)
+    said = docs.select("doc_id", F.lit("m").alias("group"), F.lit("model").alias("category"), F.lit(0.8).alias("confidence")).where("doc_id % 3 = 0")
+    ruled = docs.withColumn("classification", c)
+    low = ruled.where(F.col("classification.confidence") < K.REVIEW_BELOW)
+    better = low.join(said.withColumnRenamed("category", "__m").drop("group", "confidence"), "doc_id").select("doc_id", "__m")
+    return ruled.join(better, "doc_id", "left").select("doc_id", F.coalesce("__m", "classification.category").alias("category"))
+
+
+def _lines() -> Column:
+    return F.transform(F.split("text", "\n"), lambda t, i: F.struct(t.alias("text"), ((F.length(t) % 10) / 10.0).alias("confidence")))
+
+
+@query("""SELECT doc_id, round(sum((len(t) % 10) / 10.0 * greatest(1, len(t))) / sum(greatest(1, len(t))), 6) AS confidence
+FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t FROM documents) GROUP BY doc_id""")
+def ocr_weighted_confidence(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.round(K.weighted_confidence(_lines()), 6).alias("confidence"))
+
+
+@query("SELECT doc_id, array_to_string(regexp_extract_all(text, '[0-9]+(?::[0-9]+)?'), ',') AS numbers, len(list_distinct(regexp_extract_all(text, '[0-9]+(?::[0-9]+)?'))) AS n_distinct FROM documents")
+def number_tokens(spark, d):
+    n = T.numbers(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(n, ",").alias("numbers"), F.size(F.array_distinct(n)).cast("long").alias("n_distinct"))
+
+
+def _turns(spark, d) -> DataFrame:
+    c = table(spark, d, "conversations")
+    a, b = c.where("turn % 2 = 0").alias("a"), c.where("turn % 2 = 1").alias("b")
+    return a.join(b, (F.col("a.conv_id") == F.col("b.conv_id")) & (F.col("a.turn") + 1 == F.col("b.turn"))).select(F.col("a.conv_id").alias("conv_id"), F.col("a.turn").alias("turn"), F.col("a.text").alias("p"), F.col("b.text").alias("s"))
+
+
+@query()
+def similarity_ratio(spark, d):
+    return _turns(spark, d).select("conv_id", "turn", S.half_even_4(S.text_similarity(F.col("p"), F.col("s"))).alias("similarity"))
+
+
+@query()
+def number_conflicts(spark, d):
+    j = _turns(spark, d).withColumn("like", S.text_similarity(F.col("p"), F.col("s")))
+    return j.select("conv_id", "turn", S.number_conflict(F.col("p"), F.col("s"), F.col("like")).alias("conflict"))
+
+
+@query("""WITH q AS (SELECT doc_id, '眉【练习' || (doc_id % 40) || 'S】 ' || regexp_replace(left(text, 40), '\\s+', ' ', 'g') AS h, regexp_replace(left(text, 40), '\\s+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, '【练习' || (doc_id % 40) || '5】' AS title, len(regexp_replace(ltrim(t), '^[、，,. \\t]+', '')) + 1 AS n_body FROM q WHERE NOT regexp_matches(t, '[？?]')""")
+def structured_problem(spark, d):
+    head = F.regexp_replace(F.left("text", F.lit(40)), r"\s+", " ")
+    rows = table(spark, d, "documents").where(~head.rlike("[？?]"))
+    text = F.concat(F.lit("眉【练习"), F.col("doc_id") % 40, F.lit("S】 "), head, F.lit("？尾"))
+    p = S.structured_problem(text, F.lit(""))
+    return rows.select("doc_id", p.alias("p")).select("doc_id", "p.title", F.length("p.body").cast("long").alias("n_body"))
+
+
+@query()
+def question_reading(spark, d):
+    """Ellipsis repair, candidate scores and figure kinds on lines with punctuation put in."""
+    docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("1、"), F.left("text", F.lit(30)), F.when(F.col("doc_id") % 2 == 0, "•，那么2×10方格").otherwise("...多少？")).alias("t"))
+    alternatives = F.array(F.struct(F.replace("t", F.lit("•"), F.lit("……")).alias("text"), F.lit(0.8).alias("confidence")))
+    chosen = T.punctuation_candidate(F.col("t"), F.lit(0.82), alternatives)
+    return docs.select("doc_id", chosen.alias("chosen"), T.ocr_candidate_score(chosen)["ellipsis"].alias("ellipsis"), T.figure_kind(F.col("t")).alias("figure"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN '计数' WHEN p_partkey % 4 = 1 THEN '计数' WHEN p_partkey % 4 = 2 THEN '组合' ELSE '未分类' END AS "group",
+CASE WHEN p_partkey % 4 = 0 THEN '染色问题' WHEN p_partkey % 4 = 1 THEN '计数综合' WHEN p_partkey % 4 = 2 THEN '抽屉原理' ELSE '未分类' END AS "key" FROM part""")
+def legacy_categories(spark, d):
+    name = F.element_at(F.array(F.lit("计数·染色问题"), F.lit("计数·别的"), F.lit(" 抽屉原理 "), F.lit("其他")), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return table(spark, d, "part").select("p_partkey", T.legacy_category(name).alias("c")).select("p_partkey", "c.group", "c.key")
+
+
+@query("SELECT p_partkey, 'a/' || p_brand || '/c.png' AS path, regexp_replace(p_name, '\\s+', '', 'g') || '-' AS part FROM part")
+def safe_names(spark, d):
+    part = table(spark, d, "part")
+    return part.select("p_partkey", T.safe_relative_path(F.concat(F.lit("../a\\.\\"), "p_brand", F.lit("//c.png"))).alias("path"), F.concat(T.safe_name_part(F.concat(F.lit("/ "), "p_name", F.lit(" :*?"))), F.lit("-")).alias("part"))
+
+
+# ---- blocks and layout
+
+
+@query()
+def formula_tokens(spark, d):
+    b = B.split_text_and_latex(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", F.explode(F.filter(b, lambda x: x["type"] == "latex")).alias("b")).select("doc_id", "b.source_text", "b.latex")
+
+
+@query("""WITH e AS (SELECT user_id, event_type, sum(CASE WHEN event_type IS DISTINCT FROM prev THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island
+  FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events))
+SELECT user_id, CAST(island AS BIGINT) AS island, any_value(event_type) AS event_type, count(*) AS n FROM e GROUP BY 1, 2""")
+def content_rows(spark, d):
+    e = B.change_islands(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], "event_type")
+    return e.groupBy("user_id", F.col("island").cast("long").alias("island")).agg(F.first("event_type").alias("event_type"), F.count("*").alias("n"))
+
+
+@query("""WITH RECURSIVE o AS (SELECT user_id, array_agg(CAST(value AS DOUBLE) ORDER BY value) AS a FROM events GROUP BY 1),
+k AS (SELECT user_id, a, a[1] AS v, 1 AS n FROM o
+  UNION ALL SELECT user_id, a, list_min(list_filter(a, lambda x: x - v >= 5.0)), n + 1 FROM k WHERE len(list_filter(a, lambda x: x - v >= 5.0)) > 0)
+SELECT user_id, CAST(max(n) AS BIGINT) AS kept, round(max(v), 6) AS last FROM k GROUP BY 1""")
+def anchor_dedup(spark, d):
+    """Values at least 5 after the last kept one, per user; the arrays hold one user's events."""
+    k = table(spark, d, "events").groupBy("user_id").agg(F.collect_list(F.col("value").cast("double")).alias("a")).select("user_id", G.far_from_last_kept(F.col("a"), F.lit(5.0)).alias("k"))
+    return k.select("user_id", F.size("k").cast("long").alias("kept"), F.round(F.element_at("k", -1), 6).alias("last"))
+
+
+def _seconds(c: str) -> Column:
+    return F.unix_micros(F.col(c).cast("timestamp")) / 1e6
+
+
+@query("SELECT event_id, round(coalesce(lead(epoch(ts)) OVER (PARTITION BY user_id ORDER BY ts), epoch(ts) + 60) - epoch(ts), 3) AS span FROM events")
+def region_spans(spark, d):
+    e = table(spark, d, "events").select("event_id", "user_id", _seconds("ts").alias("s"))
+    return G.spans(e, ["user_id"], "s", F.col("s") + 60).select("event_id", F.round(F.col("span_end") - F.col("s"), 3).alias("span"))
+
+
+@query("""WITH g AS (SELECT user_id, epoch(ts) AS s, CASE WHEN epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY user_id ORDER BY ts) > 43200 THEN 1 ELSE 0 END AS j FROM events),
+c AS (SELECT user_id, s, sum(j) OVER (PARTITION BY user_id ORDER BY s) AS cluster FROM g)
+SELECT user_id, CAST(cluster AS BIGINT) AS cluster, count(*) AS n FROM c GROUP BY 1, 2""")
+def gap_clusters(spark, d):
+    e = table(spark, d, "events").select("user_id", _seconds("ts").alias("s"))
+    return G.gap_clusters(e, ["user_id"], "s", 43200).groupBy("user_id", F.col("cluster").cast("long").alias("cluster")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH i AS (SELECT user_id, epoch(ts) AS a, epoch(ts) + 21600 AS b FROM events),
+n AS (SELECT *, CASE WHEN a > max(b) OVER (PARTITION BY user_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 3600 THEN 1 ELSE 0 END AS j FROM i),
+c AS (SELECT user_id, a, b, sum(j) OVER (PARTITION BY user_id ORDER BY a, b) AS k FROM n)
+SELECT user_id, round(min(a), 3) AS a, round(max(b), 3) AS b, count(*) AS parts FROM c GROUP BY user_id, k""")
+def interval_merge(spark, d):
+    i = table(spark, d, "events").select("user_id", _seconds("ts").alias("a")).withColumn("b", F.col("a") + 21600)
+    return G.merge_intervals(i, ["user_id"], "a", "b", 3600).select("user_id", F.round("a", 3).alias("a"), F.round("b", 3).alias("b"), "parts")
+
+
+def _page_lines(spark, d) -> DataFrame:
+    """Documents' lines as a page: two to a row, numbered as a question, in a place that the row's number gives."""
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), F.posexplode(F.split("text", "\n")).alias("i", "t")).where("i < 40")
+    text = F.when(F.col("i") == 0, F.concat(F.lit("例题3 "), F.left("t", F.lit(20)))).when(F.col("i") == 3, F.concat(F.left("t", F.lit(20)), F.lit("？"))).otherwise(F.left("t", F.lit(20)))
+    row = F.floor(F.col("i") / 2)
+    return rows.select("page_id", text.alias("text"), F.lit(0.9).alias("confidence"), (0.08 + 0.45 * (F.col("i") % 2)).alias("x"), (0.96 - row * 0.04).alias("y"), F.lit(0.4).alias("w"), F.lit(0.03).alias("h"))
+
+
+@query()
+def reading_order(spark, d):
+    return G.ordered_text(_page_lines(spark, d))
+
+
+@query()
+def page_regions(spark, d):
+    """Pages of two numbered questions each, split at their anchors."""
+    docs = table(spark, d, "documents").select("doc_id", F.left(F.regexp_replace("text", r"\s+", " "), F.lit(60)).alias("t"))
+    line = lambda text, y: F.struct(text.alias("text"), F.lit(0.9).alias("confidence"), F.struct(F.lit(0.1).alias("x"), F.lit(y).alias("y"), F.lit(0.72).alias("w"), F.lit(0.035).alias("h")).alias("box"))
+    lines = F.array(line(F.lit("例题6、求和。"), 0.86), line(F.concat("t", F.lit("？")), 0.8), line(F.concat(F.lit("例题7、"), "t", F.lit("多少？")), 0.4))
+    pages = docs.select(F.col("doc_id").alias("page_id"), lines.alias("lines"), F.lit(1000).alias("width"), F.lit(1400).alias("height"), F.lit(None).cast("array<struct<x0:int,y0:int,x1:int,y1:int>>").alias("formula_boxes"))
+    return G.page_regions(pages)
+
+
+def _box(c: str) -> Column:
+    v = F.col(c)
+    return F.struct((v % 50).cast("int").alias("x0"), (v % 30).cast("int").alias("y0"), (v % 50 + 10).cast("int").alias("x1"), (v % 30 + 5).cast("int").alias("y1"))
+
+
+@query("""SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, greatest(0, least(l_partkey % 50, l_suppkey % 50) + 10 - greatest(l_partkey % 50, l_suppkey % 50)) * greatest(0, least(l_partkey % 30, l_suppkey % 30) + 5 - greatest(l_partkey % 30, l_suppkey % 30)) AS overlap
+FROM lineitem WHERE l_quantity > 45""")
+def box_overlap(spark, d):
+    return table(spark, d, "lineitem").where("l_quantity > 45").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", G.intersection(_box("l_partkey"), _box("l_suppkey")).cast("long").alias("overlap"))
+
+
+@query("SELECT p_partkey, CASE WHEN abs(p_size - round_even(p_size / 10.0, 0) * 10) <= 3 THEN round_even(p_size / 10.0, 0) * 10 ELSE p_size END AS snapped FROM part WHERE p_size % 10 <> 5")
+def nearest_snap(spark, d):
+    grid = F.array(*[F.lit(float(v)) for v in range(0, 110, 10)])
+    return table(spark, d, "part").where("p_size % 10 <> 5").select("p_partkey", G.nearest(F.col("p_size").cast("double"), grid, F.lit(3.0)).alias("snapped"))
+
+
+@query("""SELECT least(a, b) AS a, greatest(a, b) AS b, count(*) AS n FROM (SELECT l_partkey % 17 AS a, l_suppkey % 17 AS b FROM lineitem) WHERE a <> b GROUP BY 1, 2 HAVING count(*) >= 8""")
+def adjacency_edges(spark, d):
+    """Unordered pairs of regions that touch often enough."""
+    e = table(spark, d, "lineitem").select((F.col("l_partkey") % 17).alias("x"), (F.col("l_suppkey") % 17).alias("y")).where("x <> y")
+    return e.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count("*").alias("n")).where("n >= 8")
+
+
+@query("""SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) / len(embedding), 6) AS mean, round(CAST(list_sort(embedding)[CAST(floor((len(embedding) - 1) * 0.05) AS INTEGER) + 1] AS DOUBLE), 6) AS p05 FROM embeddings""")
+def token_probability_stats(spark, d):
+    p = L.token_probabilities(F.transform("embedding", lambda x: x.cast("double")))
+    return table(spark, d, "embeddings").select("vec_id", p.alias("p")).select("vec_id", F.round("p.mean", 6).alias("mean"), F.round("p.p05", 6).alias("p05"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN NULL WHEN 1 THEN 'unbalanced' WHEN 2 THEN 'nesting' WHEN 3 THEN 'command' WHEN 4 THEN 'environment' ELSE NULL END AS problem,
+CASE p_partkey % 6 WHEN 0 THEN '\\frac{' || p_size || '}{2}' WHEN 5 THEN '3 \\times ' || p_size END AS latex FROM part""")
+def latex_validation(spark, d):
+    n = F.col("p_size").cast("string")
+    source = F.element_at(F.array(F.concat(F.lit("$\\frac {"), n, F.lit(" } {2}$")), F.concat(n, F.lit("}{")), F.concat(F.lit("{"), n), F.concat(F.lit("\\input{"), n, F.lit("}")), F.concat(F.lit("\\begin{tikz}"), n, F.lit("\\end{tikz}")), F.concat(F.lit("3  \\times "), n)), (F.col("p_partkey") % 6 + 1).cast("int"))
+    return table(spark, d, "part").select("p_partkey", L.problem(L.normalize(source)).alias("problem"), L.validated(source).alias("latex"))
+
+
+# ---- review
+
+
+def _reasons() -> Column:
+    k = F.col("doc_id") % 6
+    return F.array_compact(F.array(F.when(k == 0, V.REASON_NO_TRUTH), F.when(k.isin(0, 1), T.REASON_NUMBERS), F.when(k == 2, "Formula 1 requires review"), F.when(k == 3, "重建题干过短"), F.when(k == 4, V.REASON_HIDDEN), F.when(k < 3, "别的")))
+
+
+@query(f"""WITH r AS (SELECT doc_id, unnest(list_filter([CASE WHEN doc_id % 6 = 0 THEN 'warning|{V.DETAIL_NO_TRUTH[0]}' END, CASE WHEN doc_id % 6 IN (0, 1) THEN 'critical|{V.DETAIL_NUMBERS}' END,
+  CASE WHEN doc_id % 6 = 2 THEN 'warning|{V.DETAIL_FORMULA_REVIEW[0]}' END, CASE WHEN doc_id % 6 = 3 THEN 'critical|重建题干过短' END, CASE WHEN doc_id % 6 < 3 THEN 'warning|别的' END,
+  CASE WHEN doc_id % 10 = 0 THEN 'critical|{V.TITLE_FAILED}' END], lambda x: x IS NOT NULL)) AS x FROM documents)
+SELECT split_part(x, '|', 1) AS severity, split_part(x, '|', 2) AS title, count(*) AS n FROM r GROUP BY 1, 2""")
+def review_diagnostics(spark, d):
+    none = F.array().cast("array<string>")
+    said = V.diagnostics(_reasons(), none, none, F.when(F.col("doc_id") % 10 == 0, "ValueError: x"))
+    return table(spark, d, "documents").select(F.explode(said).alias("x")).groupBy("x.severity", "x.title").agg(F.count("*").alias("n"))
+
+
+@query(f"""SELECT doc_id, array_to_string(list_filter(['旧', CASE WHEN doc_id % 6 = 0 THEN '{V.REASON_NO_TRUTH}' END, CASE WHEN doc_id % 6 IN (0, 1) THEN '{T.REASON_NUMBERS}' END, CASE WHEN doc_id % 6 = 2 THEN 'Formula 1 requires review' END,
+  CASE WHEN doc_id % 6 = 3 THEN '重建题干过短' END, CASE WHEN doc_id % 6 = 4 THEN '{V.REASON_HIDDEN}' END, CASE WHEN doc_id % 6 < 3 THEN '别的' END], lambda x: x IS NOT NULL), ';') AS resolved,
+  CASE WHEN doc_id % 6 = 5 THEN 'dual_ocr_consistent' ELSE 'manual_review_required' END AS gate, CASE WHEN doc_id % 6 = 5 THEN 'ready' ELSE 'needs_review' END AS status FROM documents""")
+def resolve_reasons(spark, d):
+    r = _reasons()
+    return table(spark, d, "documents").select("doc_id", F.array_join(V.resolve_reasons(r, F.array(F.lit("旧")))["resolved_review_reasons"], ";").alias("resolved"), V.quality_gate(r, F.lit(True))["gate"].alias("gate"), V.status_decision(r, F.lit(None).cast("string"))["status"].alias("status"))
+
+
+@query("""WITH last AS (SELECT user_id, max(event_id) AS v FROM events GROUP BY 1),
+c AS (SELECT user_id, event_id - event_id % 3 AS expected, min(event_id) AS nv, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1, 2),
+m AS (SELECT user_id, max(CASE WHEN expected = v THEN nv END) AS nv, sum(n) AS asked FROM c LEFT JOIN last USING (user_id) GROUP BY 1)
+SELECT user_id, coalesce(nv, v) AS version, CASE WHEN asked IS NULL THEN 'unchanged' WHEN nv IS NOT NULL THEN 'applied' ELSE 'conflict' END AS outcome,
+CAST(coalesce(asked, 0) - CASE WHEN nv IS NOT NULL THEN 1 ELSE 0 END AS BIGINT) AS refused FROM last LEFT JOIN m USING (user_id)""")
+def cas_apply(spark, d):
+    e = table(spark, d, "events")
+    current = e.groupBy("user_id").agg(F.max("event_id").alias("version"), F.lit("old").alias("state"))
+    changes = e.where("event_type = 'click'").select("user_id", (F.col("event_id") - F.col("event_id") % 3).alias("expected"), F.col("event_id").alias("new_version"), F.lit("new").alias("state"))
+    return C.apply_cas(current, changes, "user_id", "version", ["state"]).select("user_id", "version", "outcome", "refused")
+
+
+@query("""WITH l AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_shipdate) AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem WHERE l_orderkey % 5 = 0)
+SELECT l_orderkey || '-' || lpad(CAST(i AS VARCHAR), 2, '0') AS id, CAST(l_orderkey AS VARCHAR) AS parent_source_id, CAST(i AS INTEGER) AS page_index, CAST(n AS INTEGER) AS page_total FROM l JOIN orders ON o_orderkey = l_orderkey
+UNION ALL SELECT CAST(o_orderkey AS VARCHAR), NULL, NULL, NULL FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM l)""")
+def split_children(spark, d):
+    parents = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderstatus").alias("status"))
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_shipdate"]
+    regions = table(spark, d, "lineitem").where("l_orderkey % 5 = 0").select(F.col("l_orderkey").cast("string").alias("parent_id"), *order, F.lit("x").alias("split_label"))
+    return C.split_children(parents, regions, order).select("id", "parent_source_id", "page_index", "page_total")
+
+
+@query("""WITH e AS (SELECT event_type, CASE event_id % 5 WHEN 0 THEN 'auto_verified' WHEN 1 THEN 'needs_review' WHEN 2 THEN 'human_verified' ELSE 'other' END AS s FROM events)
+SELECT event_type, count(*) FILTER (s = 'auto_verified') AS auto_verified, count(*) FILTER (s = 'needs_review') AS needs_review, count(*) FILTER (s = 'image_fallback') AS image_fallback,
+count(*) FILTER (s = 'human_verified') AS human_verified, count(*) FILTER (s = 'human_verified_image') AS human_verified_image FROM e GROUP BY 1""")
+def state_histogram(spark, d):
+    s = F.element_at(F.array(*map(F.lit, ("auto_verified", "needs_review", "human_verified", "other", "other"))), (F.col("event_id") % 5 + 1).cast("int"))
+    return V.state_histogram(table(spark, d, "events").select("event_type", s.alias("s")), "s", V.STATES, "event_type")
+
+
+# ---- exports
+
+
+def _export(spark, d) -> DataFrame:
+    p = problems(spark, d)
+    return p.withColumns({"selected_artifact": F.when(F.col("id") % 9 != 0, "a/question.png"), "category": F.when(F.col("id") % 2 == 0, F.col("category_key")).otherwise("x"), "selected_kind": F.when(F.col("id") % 3 == 0, "reconstructed").otherwise("cleaned"), "accepted_at": F.lit(None).cast("string"), "updated_at": F.col("created_at").cast("string"), "title": F.lit("")})
+
+
+@query(f"""WITH {PROBLEMS}, s AS (SELECT *, status = 'ready' OR review_status = 'accepted' AS settled, id % 9 <> 0 AS art, ocr_text <> '' AS txt FROM problems)
+SELECT category_group, count(*) FILTER (art AND txt AND settled) AS pdf, count(*) FILTER (art AND txt AND settled AND id % 2 = 0) AS docx, count(*) FILTER (review_status = 'accepted' AND id % 3 = 0 AND art AND txt) AS markdown FROM s GROUP BY 1""")
+def export_eligibility(spark, d):
+    return _export(spark, d).groupBy("category_group").agg(F.count_if(X.pdf_eligible()).alias("pdf"), F.count_if(X.docx_eligible()).alias("docx"), F.count_if(X.markdown_eligible()).alias("markdown"))
+
+
+_OUTLINE = f"""WITH {PROBLEMS}, a AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY created_at, id) AS pos FROM problems),
+g AS (SELECT *, min(pos) OVER (PARTITION BY batch_id, category_group) AS g, min(pos) OVER (PARTITION BY batch_id, category_group, category_key) AS c FROM a),
+o AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY g, c, pos) AS number, count(*) OVER (PARTITION BY batch_id) AS total FROM g)"""
+
+
+@query(f"""{_OUTLINE} SELECT id, CAST(number AS INTEGER) AS number, number % 2 = 0 AND number < total AS break_after FROM o""")
+def export_outline(spark, d):
+    return X.outline(_export(spark, d).drop("ocr_text"), ["created_at", "id"], ["batch_id"]).select("id", "number", "break_after")
+
+
+@query(f"""WITH {PROBLEMS}, n AS (SELECT batch_id, category_group AS g, count(*) AS n FROM problems GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY n DESC, g) AS k FROM n)
+SELECT batch_id, '20260724-1123-' || string_agg(g || n, '-' ORDER BY k) FILTER (k <= 3) || CASE WHEN max(k) > 3 THEN '-等' || (max(k) - 3) || '类' ELSE '' END || '-K7M2' AS name FROM r GROUP BY 1""")
+def export_basename(spark, d):
+    tops = X.top_groups(problems(spark, d), ["batch_id"], "category_group")
+    return tops.select("batch_id", X.export_basename(F.col("parts"), F.col("remain"), F.lit("2026-07-24 11:23:00").cast("timestamp"), F.lit("K7M2")).alias("name"))
+
+
+@query()
+def pdf_layout(spark, d):
+    return X.pdf_layout(X.outline(_export(spark, d).drop("ocr_text"), ["created_at", "id"], ["batch_id"]), "batch_id")
+
+
+@query(f"""{_OUTLINE} SELECT batch_id, CAST(count(*) AS BIGINT) + CAST(count(*) FILTER (number % 2 = 0 AND number < total) AS BIGINT) AS problems_and_breaks FROM o GROUP BY 1""")
+def docx_layout(spark, d):
+    rows = X.docx_layout(X.outline(_export(spark, d).withColumn("ocr_text", F.left("ocr_text", F.lit(40))), ["created_at", "id"], ["batch_id"]))
+    return rows.where(F.col("style").isin("Heading 3", "Page break")).groupBy("batch_id").agg(F.count("*").alias("problems_and_breaks"))
+
+
+@query(f"""{_OUTLINE} SELECT batch_id, CAST(number AS INTEGER) AS number, '    - [[#^mb-' || left(sha256('problem' || chr(31) || id), 16) || '|题目 ' || number || ']]' AS line FROM o""")
+def markdown_lines(spark, d):
+    o = X.outline(_export(spark, d).withColumns({"ocr_text": F.lit("x"), "body": F.array(F.lit("b"))}), ["created_at", "id"], ["batch_id"])
+    return X.markdown_lines(o).where("part = 0 and rank = 2").select("batch_id", "number", "line")
+
+
+@query("SELECT n_nationkey, 'mb-' || left(sha256('group' || chr(31) || n_name), 16) AS anchor, '\\*' || replace(n_name, '_', '\\_') || '\\_' AS escaped FROM nation")
+def anchors_sha(spark, d):
+    return table(spark, d, "nation").select("n_nationkey", T.anchor_id(F.lit("group"), F.col("n_name")).alias("anchor"), T.escape_markdown(F.concat(F.lit("*"), "n_name", F.lit("_"))).alias("escaped"))
