@@ -251,3 +251,8 @@ def legacy_category(c: Column) -> Column:
     for name, (g, k) in known.items():
         out = out.when(v == name, pair(g, k))
     return out.otherwise(pair(UNCATEGORIZED, UNCATEGORIZED))
+
+
+def formula_id(crop: Column, x0: Column, y0: Column) -> Column:
+    """A formula's name from its picture's bytes and place."""
+    return F.concat(F.lit("formula-"), F.left(F.sha2(crop, 256), F.lit(12)), F.lit("-"), x0.cast("string"), F.lit("-"), y0.cast("string"))

@@ -32,7 +32,7 @@ def latex_for(expression: Column) -> Column:
     """An arithmetic span as LaTeX. Any x stands for a times sign, variables named x too."""
     t = T.compact(expression)
     for signs, name in (("×xX*", "times"), ("÷", "div"), ("≤", "le"), ("≥", "ge")):
-        t = F.regexp_replace(t, f"[{signs}]", rf" \\\\{name} ")
+        t = F.regexp_replace(t, f"[{signs}]", rf" \\{name} ")
     return F.trim(t)
 
 

@@ -81,7 +81,7 @@ def outline(df: DataFrame, order: list[str], by: list[str] | None = None) -> Dat
     """
     key = by or []
     group = F.when(_given("category_group"), F.col("category_group")).otherwise(T.UNCATEGORIZED)
-    category = F.when(_given("category_key"), F.col("category_key")).when(_given("category"), F.col("category")).otherwise(T.UNCATEGORIZED)
+    category = F.when(_given("category_key"), F.col("category_key")).when(_given("category") if "category" in df.columns else F.lit(False), F.col("category") if "category" in df.columns else F.lit("")).otherwise(T.UNCATEGORIZED)
     named = df.withColumns({"export_group": group, "export_category": category})
     at = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
     placed = named.withColumn("__at", at)

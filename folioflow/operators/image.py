@@ -386,7 +386,7 @@ def tiles(height: int, width: int, size: int = 1024, overlap: int = 192) -> list
 
 def blend(parts: list[tuple[tuple[int, int, int, int], np.ndarray]], height: int, width: int) -> np.ndarray:
     """Tiles' masks as one, weighted towards their centres."""
-    total, weight = np.zeros((height, width)), np.full((height, width), 1e-9)
+    total, weight = np.zeros((height, width)), np.full((height, width), 1e-300)
     for (x0, y0, x1, y1), mask in parts:
         k = np.outer(np.hanning(y1 - y0 + 2)[1:-1], np.hanning(x1 - x0 + 2)[1:-1])
         total[y0:y1, x0:x1] += mask * k
@@ -443,3 +443,26 @@ def mask_fractions(mask: Column) -> Column:
     """Shares of an array's values at 0.3, 0.5 and 0.7 or more."""
     share = lambda t: F.size(F.filter(mask, lambda v: v >= t)) / F.size(mask)
     return F.struct(*[share(t).alias(f"share_{int(t * 100)}") for t in (0.3, 0.5, 0.7)])
+
+
+def erased(image: np.ndarray, mask: np.ndarray, threshold: float = 0.5, reach: int = 2) -> np.ndarray:
+    """White where a mask, and a little around it, is over the threshold."""
+    return np.where(dilated(mask >= threshold, reach)[:, :, None], 255, image).astype(np.uint8)
+
+
+def print_layer(image: np.ndarray, window: int = 31, offset: float = 15) -> np.ndarray:
+    """Black where a pixel is darker than its surroundings by the offset, white elsewhere."""
+    g = grey(image).astype(float)
+    return np.repeat(np.where(g < box_mean(g, window // 2) - offset, 0, 255).astype(np.uint8)[:, :, None], 3, 2)
+
+
+def question_picture(image: np.ndarray, text_box: tuple[int, int, int, int], figure_box: tuple[int, int, int, int] | None, margin: int = 24) -> np.ndarray:
+    """The question's text, and its figure below it, on white."""
+    parts = [image[b[1] : b[3], b[0] : b[2]] for b in (text_box, figure_box) if b is not None]
+    width = max(p.shape[1] for p in parts) + 2 * margin
+    out = np.full((sum(p.shape[0] for p in parts) + margin * (len(parts) + 1), width, 3), 255, np.uint8)
+    y = margin
+    for p in parts:
+        out[y : y + p.shape[0], margin : margin + p.shape[1]] = p
+        y += p.shape[0] + margin
+    return out

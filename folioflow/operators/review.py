@@ -171,3 +171,9 @@ def repair_reasons(reasons: Column, text: Column, similarity: Column) -> Column:
     renamed = F.when(titled, F.transform(reasons, lambda r: F.when(r == T.REASON_NO_NUMBER, REASON_HIDDEN).otherwise(r))).otherwise(reasons)
     unlike = F.coalesce(similarity, F.lit(0.0)) < T.RELIABLE_SIMILARITY
     return F.when(unlike, F.filter(renamed, lambda r: ~r.isin(REASON_HIDDEN, T.REASON_NUMBERS))).otherwise(renamed)
+
+
+def evaluation_report(df: DataFrame, passed: Column, review: Column, by: list[str] | None = None) -> DataFrame:
+    """sample_count, passed_count and review_count, over all rows or per group."""
+    counts = [F.count("*").alias("sample_count"), F.count_if(F.coalesce(passed, F.lit(False))).alias("passed_count"), F.count_if(F.coalesce(review, F.lit(False))).alias("review_count")]
+    return df.groupBy(*(by or [])).agg(*counts)

@@ -530,3 +530,20 @@ def markdown_lines(spark, d):
 @query("SELECT n_nationkey, 'mb-' || left(sha256('group' || chr(31) || n_name), 16) AS anchor, '\\*' || replace(n_name, '_', '\\_') || '\\_' AS escaped FROM nation")
 def anchors_sha(spark, d):
     return table(spark, d, "nation").select("n_nationkey", T.anchor_id(F.lit("group"), F.col("n_name")).alias("anchor"), T.escape_markdown(F.concat(F.lit("*"), "n_name", F.lit("_"))).alias("escaped"))
+
+
+@query()
+def process_problems(spark, d):
+    """Recognised lines to gated rows, for all documents as pages."""
+    from folioflow.plans.processing import process
+
+    p = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.lit(None).cast("string").alias("split_label"))
+    lines = _page_lines(spark, d).withColumnRenamed("page_id", "id")
+    second = lines.where("x < 0.1").groupBy("id").agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct((-F.col("y")).alias("o"), "text"))), lambda z: z["text"])).alias("text"))
+    out = process(p, lines, second, Y.seed(spark))
+    return out.select("id", "category_group", "category_key", "status", "gate", "content_fingerprint", F.col("structured.title").alias("title"), F.array_join("review_reasons", ";").alias("reasons"), F.size("content_blocks").alias("n_blocks"))
+
+
+@query(f"""WITH {PROBLEMS} SELECT batch_id, count(*) AS sample_count, count(*) FILTER (review_status = 'accepted') AS passed_count, count(*) FILTER (review_status = 'pending') AS review_count FROM problems GROUP BY 1""")
+def evaluation_report(spark, d):
+    return V.evaluation_report(problems(spark, d), F.col("review_status") == "accepted", F.col("review_status") == "pending", ["batch_id"])

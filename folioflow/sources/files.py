@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import os
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -85,3 +89,27 @@ def write_snapshot(df: DataFrame, root: str) -> str:
 
 def write_report(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
+
+
+def write_taxonomy(document: dict, path: str) -> None:
+    """Commit a taxonomy document on the driver: the old file becomes the backup, the new one appears whole or not at all."""
+    data = json.dumps(document, ensure_ascii=False, sort_keys=True, indent=2).encode()
+    if os.path.exists(path):
+        shutil.copyfile(path, f"{path}.bak")
+    folder = os.path.dirname(os.path.abspath(path))
+    fd, temp = tempfile.mkstemp(dir=folder)
+    with os.fdopen(fd, "wb") as f:
+        f.write(data)
+        f.flush()
+        os.fsync(f.fileno())
+    os.replace(temp, path)
+    at = os.open(folder, os.O_RDONLY)
+    try:
+        os.fsync(at)
+    finally:
+        os.close(at)
+
+
+def backup_once(df: DataFrame, column: str, root: str) -> str | None:
+    """A snapshot of a table that still lacks a column, before it is migrated; None where it has it."""
+    return None if column in df.columns else write_snapshot(df, root)

@@ -31,20 +31,21 @@ _SHIPPED: set[int] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors' Python path, once per context.
+    """Send this package to the executors' Python path, once per context, unless the PYTHONPATH that workers inherit has it.
 
     The zip lies in the driver's temporary folder and is served from there by
     Spark; executors get their own copy.
     """
     sc = spark.sparkContext
-    if id(sc) in _SHIPPED:
-        return
     root = Path(__file__).resolve().parents[1]
+    known = [os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(":") if p]
+    if id(sc) in _SHIPPED or str(root.parent) in known:
+        return
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f.relative_to(root.parent).as_posix())
-    path = os.path.join(tempfile.mkdtemp(prefix="folioflow-"), "folioflow.zip")
+    path = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="folioflow-")), "folioflow.zip")
     Path(path).write_bytes(out.getvalue())
     sc.addPyFile(path)
     _SHIPPED.add(id(sc))
