@@ -95,13 +95,13 @@ def classify_by_rules(text: Column, rules: Iterable[Rule] = RULES, allowed: Mapp
     return F.transform(F.array(ranked), read)[0]
 
 
-def cascade(df: DataFrame, key: str, text: str, model: DataFrame | None = None, rules: Iterable[Rule] = RULES, allowed: Mapping[str, Iterable[str]] | None = None) -> DataFrame:
+def cascade(df: DataFrame, key: str, text: str, model: DataFrame | None = None, rules: Iterable[Rule] = RULES, allowed: Mapping[str, Iterable[str]] | None = None, spaceless: bool = True) -> DataFrame:
     """`df` with its classification by rules, or by a model where rules are unsure and the model is surer by the margin.
 
     `model` has `key`, group, category and confidence for what `unsure` asked
     about; it stands for any provider, so only those rows ever reach it.
     """
-    ruled = df.withColumn("classification", classify_by_rules(F.col(text), rules, allowed))
+    ruled = df.withColumn("classification", classify_by_rules(F.col(text), rules, allowed, spaceless))
     if model is None:
         return ruled
     said = model.select(F.col(key), F.struct("group", "category", "confidence").alias("__m"))

@@ -133,9 +133,9 @@ def batch_status_rollup(spark, d):
     return C.batch_status(batches, p)
 
 
-@query(f"""WITH {PROBLEMS} SELECT batch_id AS id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY created_at, id) AS ids FROM problems WHERE created_at < 20 GROUP BY 1""")
+@query(f"""WITH {PROBLEMS} SELECT batch_id AS id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY created_at, id) AS ids FROM problems GROUP BY 1""")
 def batch_with_problems(spark, d):
-    p = problems(spark, d).where("created_at < 20")
+    p = problems(spark, d)
     nested = C.batch_with_problems(p.select(F.col("batch_id").alias("id")).distinct(), p)
     return nested.select("id", F.array_join(F.transform("problems", lambda x: x["id"].cast("string")), ",").alias("ids"))
 
@@ -188,15 +188,15 @@ def active_pair_filter(spark, d):
     return Y.active_pairs(_used(spark, d), _nations(spark, d)).select("c_custkey")
 
 
-@query("""WITH o AS (SELECT o_orderkey AS id, o_orderstatus AS s, o_custkey AS c FROM orders WHERE o_orderkey % 11 <> 0),
-n AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderstatus END AS s, o_custkey AS c FROM orders WHERE o_orderkey % 13 <> 0)
+@query("""WITH o AS (SELECT o_orderkey AS id, o_orderstatus AS s, o_custkey AS c FROM orders),
+n AS (SELECT CASE WHEN o_orderkey % 13 = 0 THEN -1 - o_orderkey ELSE o_orderkey END AS id, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderstatus END AS s, o_custkey AS c FROM orders)
 SELECT coalesce(o.id, n.id) AS id, CASE WHEN o.id IS NULL THEN 'added' WHEN n.id IS NULL THEN 'removed'
   WHEN o.s IS NOT DISTINCT FROM n.s AND o.c IS NOT DISTINCT FROM n.c THEN 'same' ELSE 'changed' END AS change
 FROM o FULL JOIN n ON o.id = n.id""")
 def taxonomy_update_diff(spark, d):
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("s"), F.col("o_custkey").alias("c"))
-    new = o.where("id % 13 <> 0").withColumn("s", F.when(F.col("id") % 7 != 0, F.col("s")))
-    return Y.diff(o.where("id % 11 <> 0"), new)
+    new = o.withColumns({"s": F.when(F.col("id") % 7 != 0, F.col("s")), "id": F.when(F.col("id") % 13 == 0, -1 - F.col("id")).otherwise(F.col("id"))})
+    return Y.diff(o, new)
 
 
 @query("SELECT 'name not normal' AS rule, n_name || '/' AS item FROM nation WHERE n_nationkey = 3 UNION ALL SELECT 'active category in inactive group', 'c' || n_nationkey FROM nation WHERE n_regionkey = 3 AND n_nationkey % 4 = 1")
@@ -235,12 +235,8 @@ def classify_rules(spark, d):
 @query(f"""{_pack_sql()} SELECT doc_id, CASE WHEN confidence < 0.75 AND doc_id % 3 = 0 AND 0.8 >= confidence + 0.05 THEN 'model' ELSE category END AS category FROM f""")
 def classify_cascade(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
-    c = K.classify_by_rules(F.col("text"), PACK, spaceless=False)
-    said = docs.select("doc_id", F.lit("m").alias("group"), F.lit("model").alias("category"), F.lit(0.8).alias("confidence")).where("doc_id % 3 = 0")
-    ruled = docs.withColumn("classification", c)
-    low = ruled.where(F.col("classification.confidence") < K.REVIEW_BELOW)
-    better = low.join(said.withColumnRenamed("category", "__m").drop("group", "confidence"), "doc_id").select("doc_id", "__m")
-    return ruled.join(better, "doc_id", "left").select("doc_id", F.coalesce("__m", "classification.category").alias("category"))
+    said = docs.select("doc_id", F.lit("m").alias("group"), F.lit("model").alias("category"), F.when(F.col("doc_id") % 3 == 0, 0.8).otherwise(0.01).alias("confidence"))
+    return K.cascade(docs, "doc_id", "text", said, PACK, spaceless=False).select("doc_id", "classification.category")
 
 
 def _lines() -> Column:
@@ -261,7 +257,7 @@ def number_tokens(spark, d):
 
 def _turns(spark, d) -> DataFrame:
     c = table(spark, d, "conversations")
-    a, b = c.where("turn % 2 = 0").alias("a"), c.where("turn % 2 = 1").alias("b")
+    a, b = c.where("role = 'user'").alias("a"), c.where("role <> 'user'").alias("b")
     return a.join(b, (F.col("a.conv_id") == F.col("b.conv_id")) & (F.col("a.turn") + 1 == F.col("b.turn"))).select(F.col("a.conv_id").alias("conv_id"), F.col("a.turn").alias("turn"), F.col("a.text").alias("p"), F.col("b.text").alias("s"))
 
 
@@ -276,11 +272,12 @@ def number_conflicts(spark, d):
     return j.select("conv_id", "turn", S.number_conflict(F.col("p"), F.col("s"), F.col("like")).alias("conflict"))
 
 
-@query("""WITH q AS (SELECT doc_id, '眉【练习' || (doc_id % 40) || 'S】 ' || regexp_replace(left(text, 40), '\\s+', ' ', 'g') AS h, regexp_replace(left(text, 40), '\\s+', ' ', 'g') AS t FROM documents)
-SELECT doc_id, '【练习' || (doc_id % 40) || '5】' AS title, len(regexp_replace(ltrim(t), '^[、，,. \\t]+', '')) + 1 AS n_body FROM q WHERE NOT regexp_matches(t, '[？?]')""")
+@query("""WITH q AS (SELECT doc_id, regexp_replace(text, '\\s+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, '【练习' || (doc_id % 40) || '5】' AS title, len(regexp_replace(ltrim(t), '^[、，,. \\t]+', '')) + 1 AS n_body FROM q""")
 def structured_problem(spark, d):
-    head = F.regexp_replace(F.left("text", F.lit(40)), r"\s+", " ")
-    rows = table(spark, d, "documents").where(~head.rlike("[？?]"))
+    """Whole documents as questions: the tables' prose has no question mark of its own."""
+    head = F.regexp_replace("text", r"\s+", " ")
+    rows = table(spark, d, "documents")
     text = F.concat(F.lit("眉【练习"), F.col("doc_id") % 40, F.lit("S】 "), head, F.lit("？尾"))
     p = S.structured_problem(text, F.lit(""))
     return rows.select("doc_id", p.alias("p")).select("doc_id", "p.title", F.length("p.body").cast("long").alias("n_body"))
@@ -289,7 +286,7 @@ def structured_problem(spark, d):
 @query()
 def question_reading(spark, d):
     """Ellipsis repair, candidate scores and figure kinds on lines with punctuation put in."""
-    docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("1、"), F.left("text", F.lit(30)), F.when(F.col("doc_id") % 2 == 0, "•，那么2×10方格").otherwise("...多少？")).alias("t"))
+    docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("1、"), "text", F.when(F.col("doc_id") % 2 == 0, "•，那么2×10方格").otherwise("...多少？")).alias("t"))
     alternatives = F.array(F.struct(F.replace("t", F.lit("•"), F.lit("……")).alias("text"), F.lit(0.8).alias("confidence")))
     chosen = T.punctuation_candidate(F.col("t"), F.lit(0.82), alternatives)
     return docs.select("doc_id", chosen.alias("chosen"), T.ocr_candidate_score(chosen)["ellipsis"].alias("ellipsis"), T.figure_kind(F.col("t")).alias("figure"))
@@ -364,10 +361,10 @@ def interval_merge(spark, d):
 
 def _page_lines(spark, d) -> DataFrame:
     """Documents' lines as a page: two to a row, numbered as a question, in a place that the row's number gives."""
-    rows = table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), F.posexplode(F.split("text", "\n")).alias("i", "t")).where("i < 40")
-    text = F.when(F.col("i") == 0, F.concat(F.lit("例题3 "), F.left("t", F.lit(20)))).when(F.col("i") == 3, F.concat(F.left("t", F.lit(20)), F.lit("？"))).otherwise(F.left("t", F.lit(20)))
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), F.split("text", "\n").alias("lines")).select("page_id", (F.lit(0.9) / F.ceil(F.size("lines") / 2)).alias("step"), F.posexplode("lines").alias("i", "t"))
+    text = F.when(F.col("i") == 0, F.concat(F.lit("例题3 "), "t")).when(F.col("i") == 3, F.concat("t", F.lit("？"))).otherwise(F.col("t"))
     row = F.floor(F.col("i") / 2)
-    return rows.select("page_id", text.alias("text"), F.lit(0.9).alias("confidence"), (0.08 + 0.45 * (F.col("i") % 2)).alias("x"), (0.96 - row * 0.04).alias("y"), F.lit(0.4).alias("w"), F.lit(0.03).alias("h"))
+    return rows.select("page_id", text.alias("text"), F.lit(0.9).alias("confidence"), (0.08 + 0.45 * (F.col("i") % 2)).alias("x"), (0.96 - (row + 1) * F.col("step")).alias("y"), F.lit(0.4).alias("w"), (F.col("step") * 0.75).alias("h"))
 
 
 @query()
@@ -378,7 +375,7 @@ def reading_order(spark, d):
 @query()
 def page_regions(spark, d):
     """Pages of two numbered questions each, split at their anchors."""
-    docs = table(spark, d, "documents").select("doc_id", F.left(F.regexp_replace("text", r"\s+", " "), F.lit(60)).alias("t"))
+    docs = table(spark, d, "documents").select("doc_id", F.regexp_replace("text", r"\s+", " ").alias("t"))
     line = lambda text, y: F.struct(text.alias("text"), F.lit(0.9).alias("confidence"), F.struct(F.lit(0.1).alias("x"), F.lit(y).alias("y"), F.lit(0.72).alias("w"), F.lit(0.035).alias("h")).alias("box"))
     lines = F.array(line(F.lit("例题6、求和。"), 0.86), line(F.concat("t", F.lit("？")), 0.8), line(F.concat(F.lit("例题7、"), "t", F.lit("多少？")), 0.4))
     pages = docs.select(F.col("doc_id").alias("page_id"), lines.alias("lines"), F.lit(1000).alias("width"), F.lit(1400).alias("height"), F.lit(None).cast("array<struct<x0:int,y0:int,x1:int,y1:int>>").alias("formula_boxes"))
@@ -391,15 +388,15 @@ def _box(c: str) -> Column:
 
 
 @query("""SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, greatest(0, least(l_partkey % 50, l_suppkey % 50) + 10 - greatest(l_partkey % 50, l_suppkey % 50)) * greatest(0, least(l_partkey % 30, l_suppkey % 30) + 5 - greatest(l_partkey % 30, l_suppkey % 30)) AS overlap
-FROM lineitem WHERE l_quantity > 45""")
+FROM lineitem""")
 def box_overlap(spark, d):
-    return table(spark, d, "lineitem").where("l_quantity > 45").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", G.intersection(_box("l_partkey"), _box("l_suppkey")).cast("long").alias("overlap"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", G.intersection(_box("l_partkey"), _box("l_suppkey")).cast("long").alias("overlap"))
 
 
-@query("SELECT p_partkey, CASE WHEN abs(p_size - round_even(p_size / 10.0, 0) * 10) <= 3 THEN round_even(p_size / 10.0, 0) * 10 ELSE p_size END AS snapped FROM part WHERE p_size % 10 <> 5")
+@query("SELECT p_partkey, CAST(CASE WHEN p_size % 10 <= 3 THEN p_size - p_size % 10 WHEN p_size % 10 >= 7 THEN p_size - p_size % 10 + 10 ELSE p_size END AS DOUBLE) AS snapped FROM part")
 def nearest_snap(spark, d):
     grid = F.array(*[F.lit(float(v)) for v in range(0, 110, 10)])
-    return table(spark, d, "part").where("p_size % 10 <> 5").select("p_partkey", G.nearest(F.col("p_size").cast("double"), grid, F.lit(3.0)).alias("snapped"))
+    return table(spark, d, "part").select("p_partkey", G.nearest(F.col("p_size").cast("double"), grid, F.lit(3.0)).alias("snapped"))
 
 
 @query("""SELECT least(a, b) AS a, greatest(a, b) AS b, count(*) AS n FROM (SELECT l_partkey % 17 AS a, l_suppkey % 17 AS b FROM lineitem) WHERE a <> b GROUP BY 1, 2 HAVING count(*) >= 8""")
@@ -450,24 +447,24 @@ def resolve_reasons(spark, d):
 
 
 @query("""WITH last AS (SELECT user_id, max(event_id) AS v FROM events GROUP BY 1),
-c AS (SELECT user_id, event_id - event_id % 3 AS expected, min(event_id) AS nv, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1, 2),
+c AS (SELECT user_id, event_id - event_id % 3 AS expected, min(event_id) AS nv, count(*) AS n FROM events GROUP BY 1, 2),
 m AS (SELECT user_id, max(CASE WHEN expected = v THEN nv END) AS nv, sum(n) AS asked FROM c LEFT JOIN last USING (user_id) GROUP BY 1)
 SELECT user_id, coalesce(nv, v) AS version, CASE WHEN asked IS NULL THEN 'unchanged' WHEN nv IS NOT NULL THEN 'applied' ELSE 'conflict' END AS outcome,
 CAST(coalesce(asked, 0) - CASE WHEN nv IS NOT NULL THEN 1 ELSE 0 END AS BIGINT) AS refused FROM last LEFT JOIN m USING (user_id)""")
 def cas_apply(spark, d):
     e = table(spark, d, "events")
     current = e.groupBy("user_id").agg(F.max("event_id").alias("version"), F.lit("old").alias("state"))
-    changes = e.where("event_type = 'click'").select("user_id", (F.col("event_id") - F.col("event_id") % 3).alias("expected"), F.col("event_id").alias("new_version"), F.lit("new").alias("state"))
+    changes = e.select("user_id", (F.col("event_id") - F.col("event_id") % 3).alias("expected"), F.col("event_id").alias("new_version"), F.lit("new").alias("state"))
     return C.apply_cas(current, changes, "user_id", "version", ["state"]).select("user_id", "version", "outcome", "refused")
 
 
-@query("""WITH l AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_shipdate) AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem WHERE l_orderkey % 5 = 0)
+@query("""WITH l AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_shipdate) AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem)
 SELECT l_orderkey || '-' || lpad(CAST(i AS VARCHAR), 2, '0') AS id, CAST(l_orderkey AS VARCHAR) AS parent_source_id, CAST(i AS INTEGER) AS page_index, CAST(n AS INTEGER) AS page_total FROM l JOIN orders ON o_orderkey = l_orderkey
 UNION ALL SELECT CAST(o_orderkey AS VARCHAR), NULL, NULL, NULL FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM l)""")
 def split_children(spark, d):
     parents = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderstatus").alias("status"))
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_shipdate"]
-    regions = table(spark, d, "lineitem").where("l_orderkey % 5 = 0").select(F.col("l_orderkey").cast("string").alias("parent_id"), *order, F.lit("x").alias("split_label"))
+    regions = table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("parent_id"), *order, F.lit("x").alias("split_label"))
     return C.split_children(parents, regions, order).select("id", "parent_source_id", "page_index", "page_total")
 
 
@@ -517,13 +514,13 @@ def pdf_layout(spark, d):
 
 @query(f"""{_OUTLINE} SELECT batch_id, CAST(count(*) AS BIGINT) + CAST(count(*) FILTER (number % 2 = 0 AND number < total) AS BIGINT) AS problems_and_breaks FROM o GROUP BY 1""")
 def docx_layout(spark, d):
-    rows = X.docx_layout(X.outline(_export(spark, d).withColumn("ocr_text", F.left("ocr_text", F.lit(40))), ["created_at", "id"], ["batch_id"]))
+    rows = X.docx_layout(X.outline(_export(spark, d), ["created_at", "id"], ["batch_id"]))
     return rows.where(F.col("style").isin("Heading 3", "Page break")).groupBy("batch_id").agg(F.count("*").alias("problems_and_breaks"))
 
 
 @query(f"""{_OUTLINE} SELECT batch_id, CAST(number AS INTEGER) AS number, '    - [[#^mb-' || left(sha256('problem' || chr(31) || id), 16) || '|题目 ' || number || ']]' AS line FROM o""")
 def markdown_lines(spark, d):
-    o = X.outline(_export(spark, d).withColumns({"ocr_text": F.lit("x"), "body": F.array(F.lit("b"))}), ["created_at", "id"], ["batch_id"])
+    o = X.outline(_export(spark, d).withColumn("body", F.array("ocr_text")), ["created_at", "id"], ["batch_id"])
     return X.markdown_lines(o).where("part = 0 and rank = 2").select("batch_id", "number", "line")
 
 
