@@ -20,8 +20,7 @@ MARGIN_MM = 15.0
 SLOT_MM = 118.0
 ANSWER_SPACE = '<div class="mb-answer-space mb-normal"></div>'
 PAGE_BREAK = '<div class="mb-page-break"></div>'
-NOTE_TITLE = "# 小奥错题集"
-PRINT_HELP = '<div class="mb-print-help">打印前请在 Obsidian 中启用 `mistake-book-print.css` 样式片段。</div>'
+PRINT_HELP = '<div class="mb-print-help">打印前请在 Obsidian 中启用 `{brand}-print.css` 样式片段。</div>'
 PRINT_CSS = """@media print {
   @page { size: A4; margin: 15mm; }
   body { font-size: 11pt; line-height: 1.5; }
@@ -220,22 +219,23 @@ def render_blocks(blocks: Column, names: Column, title: Column) -> Column:
     return F.aggregate(blocks, state, step, lambda s: F.when(s["flow"] != "", F.concat(s["out"], F.array(s["flow"]))).otherwise(s["out"]))
 
 
-def front_matter(batch_id: str, created_at: str, count: int) -> str:
-    return "\n".join(["---", "type: olympiad-mistake-book", f'batch_id: "{batch_id}"', f'created_at: "{created_at}"', f"problem_count: {count}", "cssclasses:", "  - mistake-book-print", "tags:", "  - mistake-book", "  - olympiad", "---", "", NOTE_TITLE, "", PRINT_HELP, "", f"共 {count} 道题。", "", "## 目录", ""])
+def front_matter(batch_id: str, created_at: str, count: int, brand: str = "question-book", title: str = "题集") -> str:
+    """A note's head; `brand` names its type, tag and style sheet, `title` stands above the contents."""
+    return "\n".join(["---", f"type: {brand}", f'batch_id: "{batch_id}"', f'created_at: "{created_at}"', f"problem_count: {count}", "cssclasses:", f"  - {brand}-print", "tags:", f"  - {brand}", "---", "", f"# {title}", "", PRINT_HELP.format(brand=brand), "", f"共 {count} 道题。", "", "## 目录", ""])
 
 
-def markdown_note(lines: DataFrame, batch_id: str, created_at: str) -> str:
+def markdown_note(lines: DataFrame, batch_id: str, created_at: str, **head: str) -> str:
     """One batch's note as text; a batch is at most 200 uploaded files, so its lines fit the driver."""
     rows = lines.where(F.col("batch_id") == batch_id).orderBy("part", "number", "rank").select("line", "number").collect()
-    return front_matter(batch_id, created_at, len({r["number"] for r in rows})) + "\n" + "\n".join(r["line"] for r in rows).rstrip() + "\n"
+    return front_matter(batch_id, created_at, len({r["number"] for r in rows}), **head) + "\n" + "\n".join(r["line"] for r in rows).rstrip() + "\n"
 
 
-def markdown_zip(note_name: str, note: str, files: Iterable[tuple[str, bytes]]) -> bytes:
+def markdown_zip(note_name: str, note: str, files: Iterable[tuple[str, bytes]], brand: str = "question-book") -> bytes:
     """The archive: note, print style sheet and attachments. A repeated attachment name is an error."""
     out, seen = io.BytesIO(), set()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr(f"{note_name}.md", note)
-        z.writestr(".obsidian/snippets/mistake-book-print.css", PRINT_CSS)
+        z.writestr(f".obsidian/snippets/{brand}-print.css", PRINT_CSS)
         for name, data in files:
             if name in seen:
                 raise ValueError(f"Duplicate attachment: {name}")

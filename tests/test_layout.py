@@ -192,7 +192,7 @@ def test_markdown_note_and_archive(spark):
     for target in {x.split("^")[1].split("|")[0] for x in note.splitlines() if "[[#^" in x}:
         assert f" ^{target}\n" in note
     data = X.markdown_zip("n", note, [("a.png", b"x")])
-    assert sorted(zipfile.ZipFile(io.BytesIO(data)).namelist()) == [".obsidian/snippets/mistake-book-print.css", "attachments/a.png", "n.md"]
+    assert sorted(zipfile.ZipFile(io.BytesIO(data)).namelist()) == [".obsidian/snippets/question-book-print.css", "attachments/a.png", "n.md"]
     with pytest.raises(ValueError, match="Duplicate attachment"):
         X.markdown_zip("n", note, [("a.png", b"x"), ("a.png", b"y")])
     b = F.array(B.block("text", text=F.lit("【题】a*b")), B.block("latex", latex=F.lit("r"), display=F.lit(False), recognition_state=F.lit("human_verified_image"), clean_crop_asset=F.lit("c.png")), B.block("latex", latex=F.lit("x+1"), display=F.lit(True)), B.block("text", text=F.lit("尾")))
