@@ -42,19 +42,31 @@ def splittable(column: str):
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """`id` and `root` (the smallest id of its component) of every node of the edges (`u`, `v`).
 
-    Each round takes the smallest root among a node's neighbours and then the
-    root of that root, so a chain of n nodes takes about log n rounds. Only a
-    count of changes comes to the driver.
+    By contraction: each node goes along smallest neighbours to where that chain
+    ends, edges move to where their ends went, and those within one node go.
+    Every round at least halves the nodes that still have edges, and stars are
+    done in one; only whether anything moved or is left comes to the driver.
     """
-    both = written(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct())
-    roots = written(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("id"), F.least("u", "v").alias("root")))
+    e = written(edges.where("u <> v").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct())
+    roots = None
     for _ in range(rounds):
-        # a hub's many edges meet its one root in the join, which skew handling can split; the minimum is taken before the shuffle
-        near = both.join(roots.select(F.col("id").alias("v"), "root"), "v").groupBy("u").agg(F.min("root").alias("near"))
-        step = roots.join(near.withColumnRenamed("u", "id"), "id").select("id", F.col("root").alias("before"), F.least("root", "near").alias("via"))
-        known = step.select(splittable("id").alias("__k"), F.col("via").alias("root"))
-        new = written(step.withColumn("__k", splittable("via")).join(known, "__k").select("id", F.least("via", "root").alias("root"), (F.least("via", "root") < F.col("before")).alias("changed")))
-        roots = new.drop("changed")
-        if new.where("changed").isEmpty():
+        near = e.select(F.col("b").alias("id"), F.col("a").alias("near")).unionByName(e.select(F.col("a").alias("id"), F.col("a").alias("near")))
+        step = near.groupBy("id").agg(F.min("near").alias("via"))
+        while True:  # to the end of each chain, doubling the way
+            known = step.select(splittable("id").alias("__k"), F.col("via").alias("far"))
+            jumped = written(step.withColumn("__k", splittable("via")).join(known, "__k").select("id", F.col("far").alias("via"), (F.col("far") < F.col("via")).alias("moved")))
+            step = jumped.drop("moved")
+            if jumped.where("moved").isEmpty():
+                break
+        step = step.withColumnRenamed("via", "to")
+        moved = step.select(splittable("id").alias("__k"), "to")
+        if roots is None:
+            roots = step.select("id", F.col("to").alias("root"))
+        else:
+            roots = written(roots.withColumn("__k", splittable("root")).join(moved, "__k", "left").select("id", F.coalesce("to", "root").alias("root")))
+        first = e.withColumn("__k", splittable("a")).join(moved, "__k").select(F.col("to").alias("x"), splittable("b").alias("__k"))
+        both = first.join(moved, "__k").select("x", F.col("to").alias("y")).where("x <> y")
+        e = written(both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        if e.isEmpty():
             return roots
     raise RuntimeError(f"components not settled after {rounds} rounds")
