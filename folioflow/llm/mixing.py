@@ -80,12 +80,14 @@ def memberships(docs: DataFrame, key: str, text: str, model: dict, names: list[s
 
     def make():
         def work(keys, texts):
-            words = [words_of(t or "") for t in texts]
-            if "constant" in model:
-                p = np.tile(np.eye(len(names))[model["constant"]], (len(keys), 1))
-            else:
-                p = softmax(model, np.array([shape(t or "", w) for t, w in zip(texts, words, strict=True)]).reshape(-1, len(SHAPE)))
-            return [keys, [len(w) for w in words], p.tolist()]
+            tokens, x = [], np.zeros((len(texts), len(SHAPE)))
+            for i, t in enumerate(texts):  # one text's words at a time in memory
+                words = words_of(t or "")
+                tokens.append(len(words))
+                if "constant" not in model:
+                    x[i] = shape(t or "", words)
+            p = np.tile(np.eye(len(names))[model["constant"]], (len(keys), 1)) if "constant" in model else softmax(model, x)
+            return [keys, tokens, p.tolist()]
 
         return work
 
