@@ -20,6 +20,8 @@ repeated rows are candidates each; fewer than k candidates give fewer rows.
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -30,13 +32,14 @@ K = 10
 QUERY_BLOCK = 2048
 DATA_BLOCK = 8192
 LEAF = 96
+QUERY_LEAF = 8
 SHRINK = 0.7
 
 
 class CoverTree:
-    """Points ordered so that every node is a range; leaves hold at most `LEAF` points, or any number of equal ones."""
+    """Points ordered so that every node is a range; leaves hold at most `leaf` points, or any number of equal ones."""
 
-    def __init__(self, points: np.ndarray):
+    def __init__(self, points: np.ndarray, leaf: int = LEAF):
         self.points = points
         self.order = np.arange(len(points))
         self.lo: list[int] = []
@@ -54,7 +57,7 @@ class CoverTree:
             away = self._away(own, centre)
             radius = float(away.max())
             self.lo.append(lo), self.hi.append(hi), self.radius.append(radius), self.centre.append(centre), self.children.append([])
-            if hi - lo <= LEAF or radius == 0:
+            if hi - lo <= leaf or radius == 0:
                 continue
             near, which, centres = away, np.zeros(len(own), int), [centre]
             while (far := float(near.max())) > SHRINK * radius:
@@ -87,7 +90,7 @@ def _products(a: np.ndarray, b: np.ndarray, wide: bool) -> np.ndarray:
 
 def dual_search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_ids: np.ndarray, k: int) -> tuple[list[list[tuple]], int]:
     """For each query its best (score, id) pairs, best first, and how many products were taken."""
-    tq, td = CoverTree(queries), CoverTree(data)
+    tq, td = CoverTree(queries, QUERY_LEAF), CoverTree(data)
     qid, did = query_ids[tq.order], data_ids[td.order]
     best: list[list[tuple]] = [[] for _ in qid]
     worst = np.full(len(qid), -np.inf)
@@ -100,10 +103,11 @@ def dual_search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, da
         bound = c @ tq.c[q] + tq.norm[q] * r + norm * tq.r[q] + tq.r[q] * r
         return bound + np.abs(bound) * 1e-9 + 1e-3
 
-    stack = [(float(reach(0, [0])[0]), 0, 0)] if len(qid) and len(did) else []
-    while stack:
-        bound, q, d = stack.pop()
-        if bound < worst[tq.lo[q] : tq.hi[q]].min():
+    # best bound first: a query group meets its most promising data before all else
+    heap = [(-float(reach(0, [0])[0]), 0, 0)] if len(qid) and len(did) else []
+    while heap:
+        bound, q, d = heapq.heappop(heap)
+        if -bound < worst[tq.lo[q] : tq.hi[q]].min():
             continue
         if not tq.children[q] and not td.children[d]:
             a, b, x, y = tq.lo[q], tq.hi[q], td.lo[d], td.hi[d]
@@ -121,10 +125,11 @@ def dual_search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, da
             continue
         if td.children[d] and (not tq.children[q] or td.r[d] >= tq.r[q]):
             nodes = td.children[d]
-            pairs = [(u, q, n) for u, n in zip(reach(q, nodes).tolist(), nodes, strict=True)]
+            pairs = [(-u, q, n) for u, n in zip(reach(q, nodes).tolist(), nodes, strict=True)]
         else:
-            pairs = [(float(reach(n, [d])[0]), n, d) for n in tq.children[q]]
-        stack += sorted(pairs)  # the most promising is taken first
+            pairs = [(-float(reach(n, [d])[0]), n, d) for n in tq.children[q]]
+        for p in pairs:
+            heapq.heappush(heap, p)
     out: list[list[tuple]] = [[] for _ in qid]
     for at, i in enumerate(tq.order.tolist()):
         out[i] = best[at]
