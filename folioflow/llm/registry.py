@@ -23,5 +23,13 @@ def queries() -> dict:
     return {name: getattr(import_module(f"folioflow.llm.{module}"), name) for name, module in WHERE.items()}
 
 
+#: Query name -> constant of its module with DuckDB SQL for its rows; the others can't be expressed.
+SQL = {
+    "op1_ngram_jaccard_join": "OP1_SQL",
+    "op6_substring_dedup": "OP6_SQL",
+    "op8_topk_cover_trees": "OP8_SQL",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, sql in (("op8_topk_cover_trees", import_module("folioflow.llm.topk_search").OP8_SQL),)}
+    return {name: getattr(import_module(f"folioflow.llm.{WHERE[name]}"), constant) for name, constant in SQL.items()}

@@ -267,3 +267,22 @@ def merge_components(lines: DataFrame, formulas: DataFrame) -> DataFrame:
         return made
 
     return lines.groupBy("page_id").cogroup(formulas.groupBy("page_id")).applyInPandas(run, MERGED)
+
+
+def assemble(merged: DataFrame, formulas: DataFrame, texts: DataFrame) -> DataFrame:
+    """`page_id`, `version` and `blocks` of each page in `texts` (page_id, text).
+
+    Pages whose formulas all found their place get the merged blocks (version
+    2); where one is unaligned, or there are none, blocks come from the text
+    (version 1). `formulas` has page_id, formula_id, latex, recognition_state
+    and clean_crop_asset. A page's blocks are one array.
+    """
+    f = formulas.select("page_id", "formula_id", F.col("latex").alias("__latex"), F.col("recognition_state").alias("__state"), F.col("clean_crop_asset").alias("__crop"))
+    b = block("", text=F.col("text"), latex=F.col("__latex"), display=F.col("display"), row_index=F.col("row_index"), formula_id=F.col("formula_id"), recognition_state=F.col("__state"), clean_crop_asset=F.col("__crop")).withField("type", F.col("type"))
+    pages = merged.join(f, ["page_id", "formula_id"], "left").groupBy("page_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("seq", b.alias("b")))), lambda x: x["b"]).alias("__blocks"),
+        F.max(F.coalesce(F.col("alignment") == "unaligned", F.lit(False))).alias("__bad"),
+        F.max(F.col("type") == "latex").alias("__some"),
+    )
+    good = F.coalesce(~F.col("__bad") & F.col("__some"), F.lit(False))
+    return texts.join(pages, "page_id", "left").select("page_id", F.when(good, 2).otherwise(1).alias("version"), F.when(good, F.col("__blocks")).otherwise(build(F.col("text"))).alias("blocks"))

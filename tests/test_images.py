@@ -145,3 +145,12 @@ def test_images_through_spark(spark):
     assert [r[0] for r in measured.select(Fig.passed()).collect()] == [True, False, True, True, False]
     share = spark.range(1).select(Im.mask_fractions(F.array(*map(F.lit, (0.2, 0.4, 0.6, 0.8)))).alias("x")).first()["x"]
     assert tuple(share) == (0.75, 0.5, 0.25)
+
+
+def test_figures_through_spark(spark):
+    grid = [(50, y, 550, y) for y in (60, 110, 160)] + [(x, 60, x, 160) for x in range(50, 551, 50)]
+    rows = [(1, bytearray(Im.encode_png(drawn((430, 500), MAP))), "five_country_map", list("ABCDE"), {"A": [110, 120], "B": [250, 120], "C": [390, 120], "E": [360, 300]}), (2, bytearray(Im.encode_png(drawn((220, 600), grid))), "grid_2x10", None, None), (3, bytearray(b"x"), "grid_2x10", None, None)]
+    df = spark.createDataFrame(rows, "id int, content binary, kind string, expected array<string>, places map<string,array<int>>")
+    out = {r["id"]: r for r in Fig.reconstruct_images(df, "id", "content").withColumn("ok", Fig.passed()).collect()}
+    # the drawn map has three horizontal lines, the gate asks for five
+    assert [out[i]["ok"] for i in (1, 2, 3)] == [False, True, False] and out[1]["n_horizontal"] == 3 and out[3]["error"] and len(out[1]["edges"]) == 7

@@ -125,6 +125,14 @@ def test_components_merge(spark):
     assert [(r["display"], r["alignment"]) for r in out if r["type"] == "latex"] == [(False, "aligned"), (True, "standalone")]
 
 
+def test_blocks_fall_back_where_a_formula_has_no_place(spark):
+    merged = spark.createDataFrame([("p", 0, "text", "前", None, 0, None, None, None), ("p", 1, "latex", None, "f1", 0, 40, False, "aligned"), ("q", 0, "latex", None, "f1", 0, 40, True, "unaligned")], B.MERGED)
+    f = spark.createDataFrame([("p", "f1", "x^2", "auto_verified", "c.png"), ("q", "f1", "y", "needs_review", "c.png")], "page_id string, formula_id string, latex string, recognition_state string, clean_crop_asset string")
+    t = spark.createDataFrame([("p", "前x2"), ("q", "1+2"), ("r", "z")], "page_id string, text string")
+    out = {r["page_id"]: (r["version"], [(b["type"], b["text"] or b["latex"]) for b in r["blocks"]]) for r in B.assemble(merged, f, t).collect()}
+    assert out == {"p": (2, [("text", "前"), ("latex", "x^2")]), "q": (1, [("latex", "1+2")]), "r": (1, [("text", "z")])}
+
+
 @pytest.mark.parametrize("source", ["\\frac{1}{2}", "x^{2}+y_{1}", "\\begin{matrix}1&2\\end{matrix}", "\\sqrt{16}=4", "a", "\\left(\\frac{1}{2}\\right)"])
 def test_latex_accepted(spark, source):
     assert spark.range(1).select(L.validated(F.lit(source))).first()[0] == source
