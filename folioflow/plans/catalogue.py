@@ -544,3 +544,148 @@ def process_problems(spark, d):
 @query(f"""WITH {PROBLEMS} SELECT batch_id, count(*) AS sample_count, count(*) FILTER (review_status = 'accepted') AS passed_count, count(*) FILTER (review_status = 'pending') AS review_count FROM problems GROUP BY 1""")
 def evaluation_report(spark, d):
     return V.evaluation_report(problems(spark, d), F.col("review_status") == "accepted", F.col("review_status") == "pending", ["batch_id"])
+
+
+# ---- writes as snapshots
+
+
+@query(f"""WITH d AS (SELECT doc_id, {FP_SQL} AS fp FROM documents), old AS (SELECT fp, max(doc_id) AS o FROM d GROUP BY 1),
+new AS (SELECT fp, max(doc_id) AS n FROM d JOIN labels USING (doc_id) WHERE quality = 1 GROUP BY 1)
+SELECT coalesce(n, o) AS id, CAST(CASE WHEN n IS NOT NULL AND o <> n THEN 1 ELSE 0 END AS BIGINT) AS n_replaced FROM old LEFT JOIN new USING (fp)""")
+def publish_replace(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), T.content_fingerprint(F.col("text")).alias("content_fingerprint"))
+    published = C.keep_latest(docs, F.col("content_fingerprint"), ["id"]).drop("copies")
+    accepted = docs.join(table(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("id")), "id")
+    out = C.publish(published.withColumn("id", F.col("id").cast("string")), accepted.withColumn("id", F.col("id").cast("string")).withColumn("n", F.col("id").cast("long")), ["n"])
+    return out.select(F.col("id").cast("long").alias("id"), F.size("replaced_ids").cast("long").alias("n_replaced"))
+
+
+@query(f"""WITH {PROBLEMS}, p AS (SELECT id, created_at, review_status, sha256(regexp_replace(lower(ocr_text), '[^\\p{{L}}\\p{{N}}]+', '', 'g') || '|none') AS fp, id % 4 = 0 AS was FROM problems),
+a AS (SELECT fp, max({{'c': created_at, 'i': id}}) AS m FROM p WHERE review_status = 'accepted' GROUP BY 1)
+SELECT m.i AS id, 'published' AS asset_state FROM a UNION ALL SELECT id, 'workbench' FROM p WHERE review_status <> 'accepted'""")
+def migrate_assets(spark, d):
+    p = problems(spark, d).withColumns({"updated_at": F.col("created_at"), "accepted_at": F.lit(None).cast("long"), "asset_state": F.when(F.col("id") % 4 == 0, "published").otherwise("workbench"), "figure": F.lit(""), "selected_artifact": F.lit("question.png"), "selected_kind": F.lit(""), "content_fingerprint": F.lit(None).cast("string")})
+    return C.migrate_assets(p).select("id", "asset_state")
+
+
+@query("""WITH c AS (SELECT l_orderkey, max(l_returnflag) AS f FROM lineitem GROUP BY 1)
+SELECT o_orderkey AS id, coalesce(f, o_orderstatus) AS status, CASE WHEN f IS NULL THEN 'old' ELSE 'new' END AS updated_at FROM orders LEFT JOIN c ON l_orderkey = o_orderkey""")
+def allow_list_update(spark, d):
+    now = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.lit("old").alias("updated_at"))
+    changes = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.max("l_returnflag").alias("status"), F.lit("x").alias("id_of_nobody"))
+    return C.apply_updates(now, changes, "id", F.lit("new"))
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+def delete_cascade(spark, d):
+    p = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.lit("a").alias("source_path"), F.lit("b").alias("selected_artifact"))
+    left, _ = C.delete(p, table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("id")))
+    return left.select("id")
+
+
+@query("SELECT DISTINCT p_brand AS name FROM part UNION SELECT DISTINCT trim(left(p_type, 24)) FROM part")
+def ensure_categories(spark, d):
+    part = table(spark, d, "part")
+    known = part.select(F.sha2("p_brand", 256).alias("id"), F.col("p_brand").alias("name"), F.lit("").alias("description"), F.lit("0").alias("created_at")).distinct()
+    return C.ensure_categories(part.select(F.col("p_type").alias("name")), known, F.lit("1")).select("name")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)")
+def reference_violations(spark, d):
+    from folioflow.sources.schema import orphans
+
+    return orphans(table(spark, d, "orders"), "o_custkey", table(spark, d, "customer"), "c_custkey").select("o_orderkey")
+
+
+# ---- taxonomy views and review
+
+
+@query("SELECT 'c' || n_nationkey AS category_id FROM nation WHERE n_nationkey % 4 <> 0 AND n_regionkey <> 3")
+def active_categories(spark, d):
+    return Y.active(_nations(spark, d), builtin_only=True).select("category_id")
+
+
+@query(f"""WITH {_USED}, k AS (SELECT r_name, n_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 4 <> 0 AND r_regionkey <> 3)
+SELECT c_custkey, CASE WHEN n_name IS NULL THEN '未分类' ELSE category_key END AS category_key, CASE WHEN n_name IS NULL THEN '停用' ELSE '' END AS reasons FROM used LEFT JOIN k ON r_name = category_group AND n_name = category_key""")
+def deactivated_override(spark, d):
+    used = _used(spark, d).withColumn("review_reasons", F.array().cast("array<string>"))
+    return Y.deactivated_override(used, _nations(spark, d), "停用").select("c_custkey", "category_key", F.array_join("review_reasons", ";").alias("reasons"))
+
+
+@query(f"""WITH {_USED}, k AS (SELECT r_name, n_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 4 <> 0 AND r_regionkey <> 3)
+SELECT c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN 'excluded' WHEN c_custkey % 7 = 0 THEN 'conflict' WHEN c_custkey % 3 = 0 THEN 'unresolved_formula' WHEN n_name IS NULL THEN 'inactive_category' ELSE 'accepted' END AS outcome
+FROM used LEFT JOIN k ON r_name = category_group AND n_name = category_key""")
+def review_outcomes(spark, d):
+    k = F.col("c_custkey")
+    p = _used(spark, d).select(k.alias("id"), "category_group", "category_key", F.lit("pending").alias("review_status"), F.lit("1").alias("updated_at"), (k % 3 == 0).alias("unresolved"))
+    actions = table(spark, d, "customer").select(k.alias("id"), F.when(k % 5 == 0, "exclude").otherwise("accept").alias("action"), F.when(k % 7 == 0, "0").otherwise("1").alias("expected"), F.lit(None).cast("string").alias("group"), F.lit(None).cast("string").alias("category_new"))
+    return V.review(p, actions, Y.active(_nations(spark, d)), F.lit("2")).select("id", "outcome")
+
+
+def _formulas(spark, d) -> DataFrame:
+    e = table(spark, d, "events")
+    return e.select(F.col("user_id").alias("problem_id"), F.col("event_id").alias("formula_id"), F.lit("a").alias("latex"), F.when(F.col("event_type") == "click", "needs_review").otherwise("auto_verified").alias("recognition_state"))
+
+
+@query("SELECT event_id AS formula_id, CASE WHEN event_id % 3 = 0 THEN 'kept' ELSE 'a' END AS latex, CASE WHEN event_id % 3 = 0 THEN 'human_verified' WHEN event_type = 'click' THEN 'needs_review' ELSE 'auto_verified' END AS recognition_state FROM events")
+def human_edits_carried_over(spark, d):
+    new = _formulas(spark, d)
+    before = new.withColumns({"latex": F.lit("kept"), "recognition_state": F.when(F.col("formula_id") % 3 == 0, "human_verified").otherwise("needs_review")})
+    return V.carry_over(new, before).select("formula_id", "latex", "recognition_state")
+
+
+@query("""WITH e AS (SELECT user_id, event_id, event_type, CASE WHEN event_id % 997 = 0 THEN 1 ELSE 0 END AS bad FROM events), b AS (SELECT user_id, max(bad) AS bad FROM e GROUP BY 1)
+SELECT event_id AS formula_id, CASE WHEN b.bad = 0 THEN 'x+1' ELSE 'a' END AS latex FROM e JOIN b USING (user_id)""")
+def formula_edits(spark, d):
+    """Every formula edited; a problem with one refused edit keeps all its formulas."""
+    f = _formulas(spark, d)
+    edits = f.select("problem_id", "formula_id", F.when(F.col("formula_id") % 997 == 0, "\\input{x}").otherwise("x+1").alias("latex"), F.lit(False).alias("as_image"))
+    return V.edit_formulas(f, edits, L.valid)[0].select("formula_id", "latex")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 AND p_size >= 10 THEN 'auto_verified' WHEN p_partkey % 3 = 2 THEN 'image_fallback' ELSE 'needs_review' END AS state FROM part""")
+def formula_verification(spark, d):
+    k, n = F.col("p_partkey") % 3, F.col("p_size")
+    mean = F.when(n >= 10, 0.9).otherwise(0.7)
+    variant = lambda latex: F.struct(latex.alias("latex"), mean.alias("mean"), F.lit(0.5).alias("p05"), F.lit(True).alias("eos"), F.lit(False).alias("unk"))
+    first = F.when(k == 2, "\\input{a}").otherwise(F.concat(F.lit("x^{"), n.cast("string"), F.lit("}")))
+    second = F.when(k == 1, F.concat(F.lit("y^{"), n.cast("string"), F.lit("}"))).otherwise(first)
+    return table(spark, d, "part").select("p_partkey", L.verification(variant(first), variant(second))["state"].alias("state"))
+
+
+@query("""WITH e AS (SELECT user_id, ts, event_id, CASE event_type WHEN 'click' THEN 'image' ELSE 'text' END AS t, CASE WHEN event_id % 2 = 0 THEN event_id % 5 END AS r FROM events),
+w AS (SELECT *, lag(t) OVER o AS pt, last_value(r IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pr FROM e WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT event_id, CAST(sum(CASE WHEN pt IS NULL OR t = 'image' OR pt = 'image' OR (r IS NOT NULL AND pr IS NOT NULL AND r <> pr) THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS row_no FROM w""")
+def block_rows(spark, d):
+    e = table(spark, d, "events").select("user_id", "ts", "event_id", F.when(F.col("event_type") == "click", "image").otherwise("text").alias("type"), F.when(F.col("event_id") % 2 == 0, F.col("event_id") % 5).alias("r"))
+    return B.rows(e, ["user_id"], ["ts", "event_id"], row="r").select("event_id", F.col("row_no").cast("long").alias("row_no"))
+
+
+@query("""SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(round_even(l_discount * 1000, 0) AS INTEGER) AS x0, CAST(least(1000, round_even((l_discount + l_tax) * 1000, 0)) AS INTEGER) AS x1 FROM lineitem""")
+def pixel_boxes(spark, d):
+    box = F.struct(F.col("l_discount").alias("x"), F.lit(0.25).alias("y"), F.col("l_tax").alias("w"), F.lit(0.5).alias("h"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", G.pixel_box(box, F.lit(1000), F.lit(800)).alias("b")).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "b.x0", "b.x1")
+
+
+@query("SELECT n_nationkey, n_nationkey % 2 = 0 AS passed FROM nation")
+def grid_figures(spark, d):
+    """A drawn grid per nation, every second one with a line too few, through the figure kernels and their gate."""
+    import numpy as np
+    import pandas as pd
+
+    from folioflow.operators import figures as Fig
+    from folioflow.operators.image import encode_png
+
+    def draw(batches):
+        for b in batches:
+            out = []
+            for k in b["n_nationkey"]:
+                xs = range(30, 331, 30) if k % 2 == 0 else range(30, 301, 30)
+                lines = [(30, y, xs[-1], y) for y in (40, 70, 100)] + [(x, 40, x, 100) for x in xs]
+                picture = np.full((140, 360, 3), 255, np.uint8)
+                picture[Fig.line_mask((140, 360), lines, 4)] = 0
+                out.append((k, encode_png(picture), "grid_2x10", None, None))
+            yield pd.DataFrame(out, columns=["n_nationkey", "content", "kind", "expected", "places"])
+
+    drawn = table(spark, d, "nation").select("n_nationkey").mapInPandas(draw, "n_nationkey int, content binary, kind string, expected array<string>, places map<string,array<int>>")
+    return Fig.reconstruct_images(drawn, "n_nationkey", "content").select("n_nationkey", Fig.passed().alias("passed"))
