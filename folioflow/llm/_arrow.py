@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import ctypes
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -10,6 +11,28 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 
+ROWS = 1024  # of a batch as Python objects at a time
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most `ROWS` rows; after each batch, freed memory goes back to the system.
+
+    Workers live on from task to task and stage to stage, and would keep it.
+    """
+    for batch in batches:
+        for at in range(0, max(1, batch.num_rows), ROWS):
+            yield batch.slice(at, ROWS)
+        del batch
+        release()
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def map_columns(df: DataFrame, make: Callable[[], Callable[..., list]], schema: str) -> DataFrame:
     """Run a batch function over all columns of `df`, in Arrow batches.
 
@@ -22,7 +45,7 @@ def map_columns(df: DataFrame, make: Callable[[], Callable[..., list]], schema:
 
     def run(batches):
         work = make()
-        for batch in batches:
+        for batch in slices(batches):
             made = work(*[c.to_pylist() for c in batch.columns])
             yield pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(made, arrow, strict=True)], schema=arrow)
 
@@ -37,7 +60,7 @@ def with_column(df: DataFrame, name: str, kind: str, column: str, make: Callable
 
     def run(batches):
         work = make()
-        for batch in batches:
+        for batch in slices(batches):
             made = pa.array(work(batch.column(places[0]).to_pylist()), type=arrow.field(places[1]).type)
             columns = [*batch.columns]
             columns[places[1] : places[1] + 1] = [made]

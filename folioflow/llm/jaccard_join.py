@@ -4,12 +4,13 @@ Texts become sets of word shingles, equal sets become one representative, and a
 representative gets a signature of `COORDINATES` min-hashes. In each run a set
 chooses a random few of its signature's tokens, 1 / (threshold x COORDINATES)
 each, so that two sets at the threshold share about one choice; sets with the
-same choice meet in a bucket. A bucket of more than `SMALL` sets is split again
-by further choices, at most `DEPTH` levels deep, and what is still larger is
-compared in pairs of blocks, none left out. Buckets compare signatures by brute
-force. With q(0) = 1 and q(d) = 1 - exp(-q(d - 1)) a pair at the threshold
-meets in a run with probability q(DEPTH) at least; runs are repeated until the
-chance that it has met reaches `RECALL`.
+same choice meet in a bucket. A bucket of more than `LARGE` sets is split again
+by further choices, at most `DEPTH` levels deep. Buckets compare signatures by
+brute force, those of more than `SMALL` sets in pairs of blocks, none left out.
+With q(0) = 1 and q(d) = 1 - exp(-q(d - 1)) a pair at the threshold meets in a
+run with probability q(DEPTH) at least; runs are repeated until the chance that
+it has met reaches `RECALL`. More levels part larger corpora's buckets further,
+at the price of more runs.
 
 What met, at a lower signature agreement than the threshold's (`SLACK`
 deviations), forms provisional clusters. Within a cluster every pair's exact
@@ -18,8 +19,8 @@ Jaccard similarity decides, again in pairs of blocks; no pair is ever a row.
 Defined results: null text counts as empty; texts without words have no links
 and a class of their own; texts of fewer words than a shingle are one shingle;
 equal sets (copies) are one class and count as one text; rows with a null id
-are left out; repeated rows give one row each, and an id with several texts is compared by
-the lowest of them.
+are left out; repeated rows give one row each, and an id with several texts is
+compared by the lowest of them.
 """
 
 from __future__ import annotations
@@ -32,16 +33,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.llm._arrow import release, slices
 from folioflow.llm._tables import components, splittable, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
 COORDINATES = 64
-DEPTH = 3
-SMALL = 256
+DEPTH = 2
+LARGE = 1024
+SMALL = 512
 RECALL = 0.999
 SLACK = 3.8
 BLOCK = 96
+AT_ONCE = 400_000  # shingles of a group of sets in memory as arrays
 _U = np.uint64
 
 
@@ -72,7 +76,7 @@ class _Words(dict):
     """word -> 64-bit hash."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 150_000:
             self.clear()
         self[word] = h = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
         return h
@@ -129,7 +133,7 @@ def sign(docs: DataFrame, threshold: float, runs: int) -> DataFrame:
     def work(batches):
         known = _Words()
         with np.errstate(over="ignore"):
-            for batch in batches:
+            for batch in slices(batches):
                 sets, sigs, paths = [], [], []
                 for text in batch.column(1).to_pylist():
                     items = shingles(text, known)
@@ -167,7 +171,8 @@ def _in_blocks(rows: DataFrame, key: str, size: int, *carry: str) -> DataFrame:
     Every two members of a key share a pair of blocks, and only one pair unless they share a block.
     """
     blocks = F.ceil(F.col("n") / F.lit(size)).cast("int")
-    own = F.pmod(F.xxhash64("rep", key), blocks).cast("int")
+    # by the member alone: in all keys that hold the same members the same ones meet, and agree on their root
+    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
     dealt = rows.select(key, "rep", *carry, blocks.alias("__k"), own.alias("own"))
     dealt = dealt.select(key, "rep", *carry, "own", F.explode(F.sequence(F.lit(0), F.col("__k") - 1)).alias("__o"))
     return dealt.select(key, F.least("own", "__o").alias("i"), F.greatest("own", "__o").alias("j"), "own", "rep", *carry)
@@ -190,19 +195,26 @@ def _groups(batches, keys: int):
             rest = t
     if rest is not None and rest.num_rows:
         yield rest, np.array([0, rest.num_rows])
+    release()
 
 
 _EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
 def _provisional(rows: DataFrame, agree: int) -> DataFrame:
-    """Edges (`u` > `v`) that span what agrees within each bucket, or pair of a bucket's blocks."""
+    """Edges (`u` > `v`) that span what agrees within each bucket.
 
-    def spans(ids: np.ndarray, sigs: np.ndarray):
-        order = np.argsort(ids)
-        left, out = order[1:], []
-        root, frontier = order[0], order[:1]
-        while True:
+    A block's own group gives every member's edge to the smallest of its part;
+    a pair of blocks gives only edges between such smallest ones.
+    """
+
+    def parts(ids: np.ndarray, sigs: np.ndarray) -> np.ndarray:
+        """For each row the place of the smallest id that agreement leads to."""
+        left = np.argsort(ids, kind="stable")
+        root = np.empty(len(ids), int)
+        while len(left):
+            first, frontier, left = left[0], left[:1], left[1:]
+            root[first] = first
             while len(frontier) and len(left):
                 found = np.zeros(len(left), bool)
                 for f in frontier:
@@ -210,32 +222,39 @@ def _provisional(rows: DataFrame, agree: int) -> DataFrame:
                     if found.all():
                         break
                 frontier, left = left[found], left[~found]
-                out.append(np.stack([ids[frontier], np.full(len(frontier), ids[root])], 1))
-            if not len(left):
-                return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-            root, frontier, left = left[0], left[:1], left[1:]
+                root[frontier] = first
+        return root
+
+    def spans(ids: np.ndarray, sigs: np.ndarray, own: np.ndarray, one: bool) -> np.ndarray:
+        root = parts(ids, sigs)
+        if one:
+            return np.stack([ids, ids[root]], 1)
+        firsts = np.concatenate([at[np.unique(parts(ids[at], sigs[at]))] for at in (np.flatnonzero(own == b) for b in np.unique(own))])
+        return np.stack([ids[firsts], ids[root[firsts]]], 1)
 
     def work(batches):
         for t, cut in _groups(batches, 3):
-            ids = t.column("rep").to_numpy()
+            ids, own = t.column("rep").to_numpy(), t.column("own").to_numpy()
+            one = t.column("i").to_numpy() == t.column("j").to_numpy()
             sigs = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, COORDINATES)
-            sizes = np.diff(cut)
-            out = []
-            for n in np.unique(sizes[sizes <= 8]).tolist():  # small groups of one size together
-                at = cut[:-1][sizes == n]
+            starts, sizes = cut[:-1], np.diff(cut)
+            few = (sizes <= 8) & one[starts]
+            out = [np.zeros((0, 2), np.int64)]
+            for n in np.unique(sizes[few]).tolist():  # small groups of one size together
+                at = starts[few & (sizes == n)]
                 for a in range(n):
                     for b in range(a + 1, n):
                         x, y = at + a, at + b
-                        ok = ((sigs[x] == sigs[y]).sum(1) >= agree) & (ids[x] != ids[y])
+                        ok = (sigs[x] == sigs[y]).sum(1) >= agree
                         out.append(np.stack([np.maximum(ids[x], ids[y])[ok], np.minimum(ids[x], ids[y])[ok]], 1))
-            for a, n in zip(cut[:-1][sizes > 8].tolist(), sizes[sizes > 8].tolist(), strict=True):
-                out.append(spans(ids[a : a + n], sigs[a : a + n]))
-            e = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+            for a, n in zip(starts[~few].tolist(), sizes[~few].tolist(), strict=True):
+                out.append(spans(ids[a : a + n], sigs[a : a + n], own[a : a + n], bool(one[a])))
+            e = np.concatenate(out)
             e = np.unique(e[e[:, 0] != e[:, 1]], axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], schema=_EDGE)
 
     dealt = rows.repartition("path", "i", "j").sortWithinPartitions("path", "i", "j")
-    return dealt.select("path", "i", "j", "rep", "sig").mapInArrow(work, "u long, v long")
+    return dealt.select("path", "i", "j", "own", "rep", "sig").mapInArrow(work, "u long, v long")
 
 
 def _exact(rows: DataFrame, threshold: float) -> DataFrame:
@@ -244,23 +263,28 @@ def _exact(rows: DataFrame, threshold: float) -> DataFrame:
 
     def linked(own: np.ndarray, ids: np.ndarray, sets: list[np.ndarray], same: bool):
         sizes = np.array([len(s) for s in sets], np.float32)
-        items = np.concatenate(sets)
-        owner = np.repeat(np.arange(len(sets)), sizes.astype(int))
-        order = np.argsort(items, kind="stable")
-        items, owner = items[order], owner[order]
-        new = np.ones(len(items), bool)
-        new[1:] = items[1:] != items[:-1]
-        number = np.cumsum(new) - 1
-        shared = np.bincount(number) > 1  # what only one set holds links nothing
-        column = np.cumsum(shared) - 1
-        keep = shared[number]
-        owner, number = owner[keep], column[number[keep]]
         both = np.zeros((len(sets), len(sets)), np.float32)
-        for at in range(0, int(shared.sum()), 8192):
-            lo, hi = np.searchsorted(number, (at, at + 8192))
-            part = np.zeros((len(sets), 8192), np.float32)
-            part[owner[lo:hi], number[lo:hi] - at] = 1
-            both += part @ part.T
+        # by ranges of the hashes, so that memory is bounded for sets of any length
+        ranges = max(1, -(-int(sizes.sum()) // AT_ONCE))
+        edges = [np.searchsorted(s, np.array([k * (2**64 // ranges) for k in range(1, ranges)], np.uint64)) for s in sets]
+        edges = [np.r_[0, e, len(s)] for e, s in zip(edges, sets, strict=True)]
+        for k in range(ranges):
+            part_sets = [s[e[k] : e[k + 1]] for s, e in zip(sets, edges, strict=True)]
+            items, owner = np.concatenate(part_sets), np.repeat(np.arange(len(sets)), [len(s) for s in part_sets])
+            order = np.argsort(items, kind="stable")
+            items, owner = items[order], owner[order]
+            new = np.ones(len(items), bool)
+            new[1:] = items[1:] != items[:-1]
+            number = np.cumsum(new) - 1
+            shared = np.bincount(number) > 1  # what only one set holds links nothing
+            column = np.cumsum(shared) - 1
+            keep = shared[number]
+            owner, number = owner[keep], column[number[keep]]
+            for at in range(0, int(shared.sum()), 4096):
+                lo, hi = np.searchsorted(number, (at, at + 4096))
+                part = np.zeros((len(sets), 4096), np.float32)
+                part[owner[lo:hi], number[lo:hi] - at] = 1
+                both += part @ part.T
         union = sizes[:, None] + sizes[None, :] - both
         link = both >= threshold * union - 1e-4
         link &= ids[:, None] != ids[None, :]
@@ -280,11 +304,11 @@ def _exact(rows: DataFrame, threshold: float) -> DataFrame:
     def work(batches):
         for t, cut in _groups(batches, 3):
             ids, own, i, j = (t.column(c).to_numpy() for c in ("rep", "own", "i", "j"))
-            loads = t.column("items").to_pylist()
+            loads = t.column("items")
             for a, b in zip(cut[:-1].tolist(), [*cut[1:].tolist(), t.num_rows] if cut[-1] != t.num_rows else cut[1:].tolist(), strict=True):
                 if b - a < 2:
                     continue
-                root, links = linked(own[a:b], ids[a:b], [np.frombuffer(x, np.uint64) for x in loads[a:b]], i[a] == j[a])
+                root, links = linked(own[a:b], ids[a:b], [np.frombuffer(x.as_buffer(), np.uint64) for x in loads.slice(a, b - a)], i[a] == j[a])
                 some = links > 0
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][some]), pa.array(root[some]), pa.array(links[some].astype(np.int64))], schema=schema)
 
@@ -297,29 +321,29 @@ def _sets(texts: DataFrame) -> DataFrame:
 
     def work(batches):
         known = _Words()
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([shingles(t, known).tobytes() for t in b.column(3).to_pylist()], type=pa.binary())], names=["rep", "cluster", "n", "items"])
 
     return texts.select("rep", "cluster", "n", "text").mapInArrow(work, "rep long, cluster long, n long, items binary")
 
 
-def jaccard_join(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+def jaccard_join(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, depth: int = DEPTH) -> DataFrame:
     """Per document: `doc_id`, `class_id` (the smallest id that links lead to) and `n_links` (different texts that it is linked with)."""
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null")
-    signed = written(sign(docs, threshold, runs_needed(recall)))
+    signed = written(sign(docs, threshold, runs_needed(recall, depth)))
 
     # copies are aggregated on both sides of the shuffle, so a hot set is one row per task
     reps = signed.where("set_id is not null").groupBy("set_id").agg(F.min(F.struct("doc_id", "sig", "paths")).alias("r"))
     reps = written(reps.select("set_id", F.col("r.doc_id").alias("rep"), F.col("r.sig").alias("sig"), F.col("r.paths").alias("paths")))
 
     level, parts = reps.select(F.explode("paths").alias("path"), "rep", "sig"), []
-    for depth in range(1, DEPTH + 1):
+    for step in range(1, depth + 1):
         met = level.groupBy("path").agg(F.count("*").alias("n")).where("n > 1").select(splittable("path").alias("__k"), "n")
         rows = written(level.withColumn("__k", splittable("path")).join(met, "__k").select("path", "rep", "sig", "n"))
-        last = depth == DEPTH
-        parts.append(_in_blocks(rows if last else rows.where(F.col("n") <= SMALL), "path", SMALL, "sig"))
+        last = step == depth
+        parts.append(_in_blocks(rows if last else rows.where(F.col("n") <= LARGE), "path", SMALL, "sig"))
         if not last:
-            level = written(_deeper(rows.where(F.col("n") > SMALL), threshold))
+            level = written(_deeper(rows.where(F.col("n") > LARGE), threshold))
     together = parts[0]
     for p in parts[1:]:
         together = together.unionByName(p)
@@ -341,3 +365,19 @@ def jaccard_join(df: DataFrame, key: str = "doc_id", text: str = "text", thresho
 
 def op1_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP1_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '\S+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(list_slice(ws, i, i + 4), ' ')) ELSE [array_to_string(ws, ' ')] END) AS g FROM w WHERE len(ws) > 0),
+d AS (SELECT doc_id, md5(string_agg(g, '|' ORDER BY g)) AS sid, count(*) AS n FROM s GROUP BY doc_id),
+reps AS (SELECT sid, min(doc_id) AS rep, any_value(n) AS n FROM d GROUP BY sid),
+r AS (SELECT s.doc_id AS rep, s.g, reps.n FROM s JOIN reps ON s.doc_id = reps.rep),
+pairs AS (SELECT a.rep AS x, b.rep AS y FROM r a JOIN r b ON a.g = b.g AND a.rep < b.rep GROUP BY a.rep, b.rep, a.n, b.n HAVING 10 * count(*) >= 8 * (a.n + b.n - count(*))),
+links AS (SELECT x AS u, y AS v FROM pairs UNION ALL SELECT y, x FROM pairs),
+reach AS (SELECT u, u AS v FROM links UNION SELECT reach.u, links.v FROM reach JOIN links ON reach.v = links.u),
+roots AS (SELECT u, min(v) AS root FROM reach GROUP BY u),
+degrees AS (SELECT u, count(*) AS n FROM links GROUP BY u)
+SELECT documents.doc_id, coalesce(root, reps.rep, documents.doc_id) AS class_id, coalesce(degrees.n, 0) AS n_links
+FROM documents LEFT JOIN d ON documents.doc_id = d.doc_id LEFT JOIN reps ON d.sid = reps.sid LEFT JOIN roots ON reps.rep = roots.u LEFT JOIN degrees ON reps.rep = degrees.u
+"""
