@@ -30,9 +30,9 @@ MAX_LABELLED = 6_000
 FOLD = (5, 0)
 BEGINNINGS = (4, 5, 6, 7, 8)
 LEXICON = 1500
-LEAST_Z = 4.5
-LEAST_DOCS = 6
-KEPT_WORDS = 400_000  # of a worker's memory of looked-up words; emptied when full
+LEAST_G = 20.0  # likelihood ratio, about 4.5 standard deviations
+LEAST_DOCS = 4
+KEPT_WORDS = 150_000  # of a worker's memory of looked-up words; emptied when full
 NEAR = 4
 
 
@@ -53,10 +53,12 @@ def learn_lexicon(words: list[list[str]], y: np.ndarray) -> dict[str, float]:
             clean.update({e for w in set(row) for e in _entries(w) if e in likely})
     nt, nc, scored = int(y.sum()), int(len(y) - y.sum()), []
     for e in likely:
-        a, b = toxic[e] + 0.5, clean[e] + 0.5
-        odds = math.log(a / (nt + 1 - a + 0.5)) - math.log(b / (nc + 1 - b + 0.5))
-        if odds / math.sqrt(1 / a + 1 / b) >= LEAST_Z and odds >= 0.7:
-            scored.append((-odds / math.sqrt(1 / a + 1 / b), e, odds))
+        a, b = toxic[e], clean[e]
+        n, share = a + b, nt / max(1, nt + nc)
+        g = 2 * (a * math.log(a / (n * share)) + (b * math.log(b / (n * (1 - share))) if b else 0.0))
+        odds = math.log((a + 0.5) / (nt - a + 0.5)) - math.log((b + 0.5) / (nc - b + 0.5))
+        if g >= LEAST_G and odds >= 0.7:
+            scored.append((-g, e, odds))
     return {e: odds for _, e, odds in sorted(scored)[:LEXICON]}
 
 
