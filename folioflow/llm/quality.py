@@ -37,7 +37,7 @@ NEIGHBOURS = 25
 POWER = 4
 BLOCK = 256
 THRESHOLD = 0.7
-KEPT_PIECES = 300_000  # of a worker's memory of hashed pieces; emptied when full
+KEPT_PIECES = 150_000  # of a worker's memory of hashed pieces; emptied when full
 _RUNS = re.compile(r"(.)\1+")
 
 
@@ -98,8 +98,10 @@ def fit(texts: list[str], y: np.ndarray) -> dict:
     _add_bins(made, dense, edges)
     idf = np.log((1 + len(y)) / (1 + (made > 0).sum(0))).astype(np.float32) + 0.1
     x = _weighted(made, idf)
-    _, vectors = np.linalg.eigh(x.T.astype(np.float64) @ x)
-    basis = np.ascontiguousarray(vectors[:, ::-1][:, :RANK]).astype(np.float32)
+    # the strongest directions by subspace iteration from a seeded start
+    basis = np.random.default_rng(5).normal(size=(DIMENSIONS, RANK)).astype(np.float32)
+    for _ in range(8):
+        basis = np.linalg.qr(x.T @ (x @ basis))[0]
     return {"edges": edges, "idf": idf, "basis": basis, "vectors": _unit(x @ basis), "y": y.astype(np.float32), "base": float(y.mean())}
 
 
