@@ -215,8 +215,10 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     dealt = docs.withColumn("chunk", chunk_of)
 
     hashed = docs.where("doc_id is not null").select("doc_id", F.sha2("text", 256).alias("h")).where("h is not null")
-    firsts = hashed.groupBy("h").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1")
-    copies = hashed.join(firsts, "h").where("doc_id > least").select(chunk_of.alias("chunk"), F.lit(0).alias("kind"), F.lit(0).alias("seg"), F.col("doc_id").alias("doc"), F.col("h").cast("binary").alias("payload"))
+    # joined by a key that nothing is dealt by yet, so that a hot text's rows can be split
+    mark = F.concat("h", F.lit("-")).alias("k")
+    firsts = hashed.groupBy("h").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").select(mark, "least")
+    copies = hashed.select("doc_id", "h", mark).join(firsts, "k").where("doc_id > least").select(chunk_of.alias("chunk"), F.lit(0).alias("kind"), F.lit(0).alias("seg"), F.col("doc_id").alias("doc"), F.col("h").cast("binary").alias("payload"))
 
     def ask(left: pa.Table, right: pa.Table) -> pa.Table:
         c, _, _ = _open(left, right, window)
@@ -294,3 +296,15 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep_text=False).drop("kept")
+
+
+OP6_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+k AS (SELECT doc_id, i, array_to_string(list_slice(ws, i, i + 12), ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13)),
+m AS (SELECT g, min(doc_id) AS low FROM k GROUP BY g HAVING count(*) > 1),
+r AS (SELECT doc_id, list(DISTINCT p) AS gone FROM (SELECT k.doc_id, unnest(range(i, i + 13)) AS p FROM k JOIN m ON k.g = m.g WHERE low < k.doc_id) GROUP BY doc_id),
+p AS (SELECT w.doc_id, ws, coalesce(gone, []) AS gone FROM w LEFT JOIN r ON w.doc_id = r.doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(gone) AS BIGINT) AS n_removed,
+  sha256(array_to_string(CASE WHEN len(gone) = 0 THEN ws ELSE list_filter(ws, lambda v, j: NOT list_contains(gone, j)) END, ' ')) AS kept_sha256
+FROM p
+"""
