@@ -45,7 +45,7 @@ BASE = {
 _AT = r"(?:@|\s?[(\[{]\s?at\s?[)\]}]\s?|\sat\s)"
 _DOT = r"(?:\.|\s?[(\[{]\s?dot\s?[)\]}]\s?|\sdot\s)"
 LOOSE = {
-    "email": re.compile(rf"[A-Za-z0-9][A-Za-z0-9._%+-]*(?:{_DOT}[A-Za-z0-9_-]+)?{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+", re.I),
+    "email": re.compile(rf"[A-Za-z0-9][A-Za-z0-9._%+-]{{0,63}}(?:{_DOT}[A-Za-z0-9_-]{{1,63}})?{_AT}[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{1,63}})+", re.I),
     "ip": re.compile(r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{0,4}){3,7}(?![0-9A-Fa-f:])|[0-9]{1,3}(?:\s?[.,]\s?[0-9]{1,3}){3}"),
     # one written number, or its groups: two numbers side by side are proposed apart as well as together
     "card": re.compile(r"(?<![0-9])(?:[0-9]{12,19}|[0-9]{4}(?:[\x20./_-][0-9]{4}){2}[\x20./_-][0-9]{3,7}|[0-9]{4}[\x20./_-][0-9]{6}[\x20./_-][0-9]{5})(?![0-9])|[0-9](?:[\x20./_-]?[0-9]){11,18}"),
@@ -74,18 +74,40 @@ def _passes(kind: str, found: str) -> bool:
     if kind == "email":
         return True
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in found.split("."))
+        return all(len(p) <= 3 and int(p or 0) <= 255 for p in (p.lstrip("0") for p in found.split(".")))
     digits = re.sub("[^0-9]", "", found)
     return 13 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 9 <= len(digits) <= 15
 
 
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+
+
+def _emails(text: str) -> list[tuple[int, int]]:
+    """What the base pattern's leftmost matches are, found from each @ backwards.
+
+    A scan from the left would try every start in a long run of letters.
+    """
+    out, done, at = [], 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > done and text[start - 1] in _LOCAL:
+            start -= 1
+        m = _DOMAIN.match(text, at + 1) if start < at else None
+        if m:
+            out.append((start, m.end()))
+            done = m.end()
+        at = text.find("@", max(at + 1, done))
+    return out
+
+
 def _digits(text: str) -> bool:
     return any(c in text for c in "0123456789")
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """The base spans by kind, then start; failing matches are dropped and not retried."""
-    out = [("email", *m.span()) for m in BASE["email"].finditer(text)] if "@" in text else []
+    out = [("email", *span) for span in _emails(text)]
     if _digits(text):
         for kind in KINDS[1:]:
             if (kind != "phone" or "+" in text) and (kind != "ip" or "." in text):

@@ -348,11 +348,20 @@ PRIVATE = ["a.b+c@x-y.example.com, d@e", "1.2.3.4 256.1.1.1 001.002.003.004 1.2.
 
 def test_base_spans_are_the_patterns():
     rng = random.Random(2)
-    cases = PRIVATE + ["".join(rng.choice(list("0123456789.+- ()@ax") + ["1.1.1.1", "+49 30 12345678", "4111111111111111"]) for _ in range(60)) for _ in range(300)]
+    cases = PRIVATE + ["".join(rng.choice(list("0123456789.+- ()@ax") + ["1.1.1.1", "+49 30 12345678", "4111111111111111", "a@b.c", "@"]) for _ in range(60)) for _ in range(300)]
     for t in cases:
         assert pii.base_spans(t) == naive_base(t), t
 
 
+def test_long_runs_take_linear_time():
+    import time
+
+    began = time.time()
+    for t in ("a" * 300_000 + " x@y.zz", "1" * 200_000, "a." * 100_000 + "@b.c dot ", "0" * 6000 + ".1.1.1", "1 " * 100_000 + "@", "a1" * 100_000):
+        pii.spans([t], pii.trained())
+    assert pii.base_spans("a" * 50 + "@b@c.dd@e.ff") == naive_base("a" * 50 + "@b@c.dd@e.ff") and time.time() - began < 60
+
+
 def test_private_spans_digest_and_redaction(spark):
     rows = [(i, t) for i, t in enumerate(PRIVATE)] + [(90, None), (91, "see mail jo.doe (at) example (dot) org now"), (92, "tel: 030-123-4567 ok"), (93, "version 1.2.3.999 of 2024-01-31, page 12-345"), (94, "x " * 30_000 + "a@b.cd")]
     out = {r["doc_id"]: r for r in pii.digest(docs(spark, rows, clash=True)).collect()}
