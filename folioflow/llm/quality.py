@@ -51,13 +51,17 @@ class Pieces(dict):
     def __missing__(self, piece: str) -> tuple[int, ...]:
         if len(self) >= KEPT_PIECES:
             self.clear()
-        kinds = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in piece[:64])
-        tail = re.search(r"[^Aa0]*$", kinds)[0]
-        terms = ["s:" + _RUNS.sub(r"\1\1", kinds), "t:" + tail[:4]]
+        kinds = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in piece)
+        end = len(kinds)
+        while end and kinds[end - 1] not in "Aa0":
+            end -= 1
+        terms = ["s:" + _RUNS.sub(r"\1\1", kinds), "t:" + kinds[end : end + 4]]
         word = piece.lower()
         if len(word) <= 4:
             terms.append("w:" + word)
-        self[piece] = out = tuple(_slot(t) for t in terms)
+        out = tuple(_slot(t) for t in terms)
+        if len(piece) <= 64:
+            self[piece] = out
         return out
 
 
