@@ -51,8 +51,8 @@ def mix(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and hashes of every row."""
-    return bpe.digest(docs)
+    """Token counts and hashes of every row. Few words are remembered: workers come here from other stages with less memory left."""
+    return bpe.digest(docs, kept=40_000)
 
 
 STAGES = [("toxicity", drop_toxic), ("ngram_jaccard_join", drop_near_duplicates), ("pii", redact), ("mixing", mix), ("bpe", encode)]

@@ -20,10 +20,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
+from copy import copy
+from functools import cached_property
 from itertools import chain
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +33,7 @@ from folioflow.llm._arrow import map_columns
 
 PIECE = 4096
 WINDOW = 48
-KEPT_WORDS = 600_000  # of a worker's memory of encoded words, about 150 MB; emptied when full
+KEPT_WORDS = 600_000  # of a task's memory of encoded words, some 150 MB; emptied when full
 KEPT_LENGTH = 48
 PLAIN = "\u0130"  # letters below it are lowered one by one and have no combining forms
 SIGNS = ".,;:!?&%$#*|)\""
@@ -50,29 +52,46 @@ def tokenizer_json(path: str | None = None) -> str:
 class TreeEncoder:
     """Encodes texts as the library's tokenizer does, in pieces."""
 
-    def __init__(self, source: str, piece: int = PIECE, window: int = WINDOW):
-        from tokenizers import Tokenizer, models
+    def __init__(self, source: str, piece: int = PIECE, window: int = WINDOW, kept: int = KEPT_WORDS):
+        # tasks are the parallelism: the library's threads would each keep memory of their own
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
+        self.source = source
         self.library = Tokenizer.from_str(source)
         self.library.no_padding()
         self.library.no_truncation()
-        model = json.loads(source)["model"]
-        vocab, merges = model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.suffix = model.get("end_of_word_suffix") or ""
-        self.middle = Tokenizer(models.BPE(vocab, merges))
-        self.last = Tokenizer(models.BPE(vocab, merges, end_of_word_suffix=self.suffix or None))
-        self.piece, self.window, self.known = piece, window, {}
+        self.suffix = json.loads(source)["model"].get("end_of_word_suffix") or ""
+        self.piece, self.window, self.kept, self.known = piece, window, kept, {}
         self.parting = "<|endoftext|>"
         self.parting_id = self.library.token_to_id(self.parting)
         self.unsplit = re.compile(rf"\S{{{piece},}}")
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.tokens = [self.library.id_to_token(i) or "" for i in range(self.library.get_vocab_size(with_added_tokens=True))]
+        self.numbers = list(range(len(self.tokens)))
         self.widths = [len(t.removesuffix(self.suffix)) if self.suffix else len(t) for t in self.tokens]
 
+    @cached_property
+    def fragments(self):
+        """Two tokenizers of single words: for what ends inside a word, and for what ends it. Made when a long run needs them."""
+        from tokenizers import Tokenizer, models
+
+        model = json.loads(self.source)["model"]
+        vocab, merges = model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        return Tokenizer(models.BPE(vocab, merges)), Tokenizer(models.BPE(vocab, merges, end_of_word_suffix=self.suffix or None))
+
+    @property
+    def middle(self):
+        return self.fragments[0]
+
+    @property
+    def last(self):
+        return self.fragments[1]
+
     def _library(self, texts: list[str]) -> list[list[int]]:
         """Each text as the library encodes it; what stands between spaces is looked up where this worker has met it."""
         known = self.known
-        if len(known) > KEPT_WORDS:
+        if len(known) > self.kept:
             known.clear()
         rows = [t.replace("\n", " ").split(" ") for t in texts]
         fresh = {w for row in rows for w in row if w not in known}
@@ -91,6 +110,7 @@ class TreeEncoder:
         a letter or digit to these signs parts its words.
         """
         known, parted, stems = self.known, [], set()
+        numbers = self.numbers  # one object per id, however many words have it
         for w in fresh:
             folded = w.lower()
             if not w or max(w) >= PLAIN or max(folded) >= PLAIN:
@@ -106,15 +126,17 @@ class TreeEncoder:
         odd = [x for x in need if "<" in x]
         even = [x for x in need if "<" not in x]
         for e, x in zip(self.library.encode_batch_fast(odd, add_special_tokens=False), odd, strict=True):
-            known[x] = tuple(e.ids)
+            known[x] = tuple([numbers[i] for i in e.ids])
         # many words a call, parted by a special token's id, which none of them can give
         packs = [even[i : i + 64] for i in range(0, len(even), 64)]
-        for e, pack in zip(self.library.encode_batch_fast([self.parting.join(p) for p in packs], add_special_tokens=False), packs, strict=True):
-            ids, at = [*e.ids, self.parting_id], 0
-            for x in pack:
-                end = ids.index(self.parting_id, at)
-                known[x] = tuple(ids[at:end])
-                at = end + 1
+        for k in range(0, len(packs), 16):  # the library's encodings are large, so few at a time
+            some = packs[k : k + 16]
+            for e, pack in zip(self.library.encode_batch_fast([self.parting.join(p) for p in some], add_special_tokens=False), some, strict=True):
+                ids, at = [*e.ids, self.parting_id], 0
+                for x in pack:
+                    end = ids.index(self.parting_id, at)
+                    known[x] = tuple([numbers[i] for i in ids[at:end]])
+                    at = end + 1
         for w, stem, tail in parted:
             known[w] = known[stem] + known[tail]
 
@@ -205,14 +227,16 @@ class TreeEncoder:
 _ENCODERS: dict[str, TreeEncoder] = {}  # one per worker process, kept between its tasks
 
 
-def _encoder(df: DataFrame, path: str | None):
+def _encoder(df: DataFrame, path: str | None, kept: int = KEPT_WORDS):
     shared = df.sparkSession.sparkContext.broadcast(tokenizer_json(path))  # one tokenizer file: its size doesn't depend on the corpus
 
     def build() -> TreeEncoder:
         if shared.value not in _ENCODERS:
             _ENCODERS.clear()
             _ENCODERS[shared.value] = TreeEncoder(shared.value)
-        return _ENCODERS[shared.value]
+        own = copy(_ENCODERS[shared.value])
+        own.kept, own.known = kept, {}  # ends with the task
+        return own
 
     return build
 
@@ -241,19 +265,19 @@ def decode(df: DataFrame, key: str, ids: str, tokenizer: str | None = None) -> D
     return map_columns(df.select(F.col(key).alias("key"), F.col(ids)), make, f"key {kind}, text string").withColumnRenamed("key", key)
 
 
-def digest(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+def digest(docs: DataFrame, tokenizer: str | None = None, kept: int = KEPT_WORDS) -> DataFrame:
     """Encode and decode every document and return counts and hashes; ids stay in the task that made them."""
-    build = _encoder(docs, tokenizer)
+    build = _encoder(docs, tokenizer, kept)
 
     def make():
         e = build()
-        decimal = np.array([str(i) for i in range(len(e.tokens))], object)
+        decimal = [str(i) for i in range(len(e.tokens))]
 
         def work(keys, texts):
             out = []
-            for i in range(0, len(keys), 256):  # a few hundred texts' ids at a time in memory
-                for k, ids in zip(keys[i : i + 256], e.encode([t or "" for t in texts[i : i + 256]]), strict=True):
-                    written = " ".join(decimal[ids].tolist()) if ids else ""
+            for i in range(0, len(keys), 64):  # a few texts' words and ids at a time in memory
+                for k, ids in zip(keys[i : i + 64], e.encode([t or "" for t in texts[i : i + 64]]), strict=True):
+                    written = " ".join([decimal[i] for i in ids])
                     out.append((k, len(ids), hashlib.sha256(written.encode()).hexdigest(), hashlib.sha256(e.decode(ids).encode()).hexdigest()))
             return [list(c) for c in zip(*out, strict=True)] or [[] for _ in range(4)]
 
