@@ -14,8 +14,13 @@ table gives no rows. Other columns of the input are not looked at.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+
+from folioflow.llm._tables import shared_folder
 
 SEED = 20240229
 
@@ -60,8 +65,14 @@ def write_shards(df: DataFrame, key: str, path: str, n_shards: int = 16, rows_pe
 
 
 def op4_sharding_two_pass(spark, sf_dir: str) -> DataFrame:
+    """Whole records go through both passes into shards in the shared folder; every figure is of what is read back from there."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    path = f"{shared_folder(spark)}/folioflow-{uuid.uuid4().hex}"
+    write_shards(docs, "doc_id", path)
+    laid = StructType([*docs.schema, StructField("bucket", IntegerType()), StructField("slot", LongType()), StructField("shard", IntegerType())])
+    shards = spark.read.schema(laid).parquet(path)
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    laid = two_pass_shuffle(rows, "doc_id", ["size", "text_crc32"])
-    return laid.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", rendezvous(F.col("doc_id"), 17).alias("grown_shard"))
+    return shards.select(
+        "doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit("key").alias("law"), "shard", "slot", rendezvous(F.col("doc_id"), 17).alias("grown_shard"),
+    )

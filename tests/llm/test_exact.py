@@ -241,6 +241,22 @@ def test_whole_records_are_written(spark, tmp_path):
     assert sorted((r["doc_id"], r["text"]) for r in back.collect()) == [(i, "t%d" % i) for i in range(200)]
 
 
+def test_the_sharding_query_reads_its_figures_from_written_shards(spark, tmp_path, monkeypatch):
+    """Each figure is of a record that both passes moved: whole records lie in the shards, and altered shards alter the figures."""
+    rows = [(i, "t%d é" % i * (i % 9), "en") for i in range(300)] + [(7, None, None), (7, None, None), (None, "x", "de"), (301, "", "fr")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    paths, write = [], sharding.write_shards
+    monkeypatch.setattr(sharding, "write_shards", lambda df, key, path, *a: (paths.append(path), write(df, key, path, *a)))
+    out = sharding.op4_sharding_two_pass(spark, str(tmp_path)).collect()
+    want = [(d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t, _ in rows]
+    assert sorted(map(str, want)) == sorted(str((r["doc_id"], r["size"], r["text_crc32"])) for r in out)
+    back = spark.read.parquet(paths[0]).collect()
+    assert sorted(map(str, rows)) == sorted(str((r["doc_id"], r["text"], r["lang"])) for r in back)
+    assert sorted((r["shard"], r["slot"], str(r["doc_id"])) for r in back) == sorted((r["shard"], r["slot"], str(r["doc_id"])) for r in out)
+    monkeypatch.setattr(sharding, "write_shards", lambda df, key, path, *a: write(df.withColumn("text", F.lit("other")), key, path, *a))
+    assert {r["text_crc32"] for r in sharding.op4_sharding_two_pass(spark, str(tmp_path)).collect()} == {zlib.crc32(b"other")}
+
+
 # ---- top-k
 
 
