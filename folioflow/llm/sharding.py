@@ -1,11 +1,12 @@
 """Sharding by a two-pass external shuffle, in DataFrame operations alone.
 
-Pass one scatters records by seeded hashes into buckets of about
-`rows_per_bucket` records; the bucket's shard comes from rendezvous hashing of
-the key (the highest of one seeded hash per shard wins), so the key and the
-number of shards alone decide it and a further shard takes records only into
-itself. Pass two permutes each bucket with a seeded Fisher-Yates shuffle
-(Spark's `shuffle`) and numbers it behind the buckets before it.
+Pass one scatters records by seeded hashes into buckets of at most about
+`rows_per_bucket` records and `bytes_per_bucket` bytes; the bucket's shard comes
+from rendezvous hashing of the key (the highest of one seeded hash per shard
+wins), so the key and the number of shards alone decide it and a further shard
+takes records only into itself. Pass two permutes each bucket, by sorting it on
+a seeded random rank of each place, and numbers it behind the buckets before it.
+Sorts spill, and no bucket is ever one value.
 
 Defined results: null text has size 1 and CRC 0; a null key goes where the
 hash of null sends it; repeated rows each get a slot of their own; an empty
@@ -15,14 +16,16 @@ table gives no rows. Other columns of the input are not looked at.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
 from folioflow.llm._tables import shared_folder
 
 SEED = 20240229
+BUCKET_BYTES = 8 << 20  # of records in a bucket, as expected
 
 
 def rendezvous(key: Column, n_shards: int, seed: int = SEED) -> Column:
@@ -30,30 +33,44 @@ def rendezvous(key: Column, n_shards: int, seed: int = SEED) -> Column:
     return F.greatest(*[F.struct(F.xxhash64(key, F.lit(seed), F.lit(s)).alias("h"), F.lit(s).alias("s")) for s in range(n_shards)])["s"]
 
 
-def buckets_per_shard(n_rows: int, n_shards: int, rows_per_bucket: int) -> int:
-    return max(1, -(-n_rows // (n_shards * rows_per_bucket)))
+def record_bytes(df: DataFrame) -> Column:
+    """About how many bytes a record takes: those of its strings, arrays and structs as text, and 8 for each other value."""
+    sizes = [F.lit(0).cast("long")]
+    for f in df.schema:
+        nested = isinstance(f.dataType, (ArrayType, StructType))
+        column = F.col(f.name).cast("string") if nested else F.col(f.name)
+        sizes.append(F.coalesce(F.octet_length(column), F.lit(0)) if nested or isinstance(f.dataType, (StringType, BinaryType)) else F.lit(8))
+    return reduce(Column.__add__, sizes)
 
 
-def two_pass_shuffle(df: DataFrame, key: str, carry: list[str], n_shards: int = 16, rows_per_bucket: int = 2048, seed: int = SEED) -> DataFrame:
+def buckets_per_shard(n_rows: int, n_shards: int, rows_per_bucket: int, n_bytes: int = 0, bytes_per_bucket: int = BUCKET_BYTES) -> int:
+    return max(1, -(-n_rows // (n_shards * rows_per_bucket)), -(-n_bytes // (n_shards * bytes_per_bucket)))
+
+
+def two_pass_shuffle(df: DataFrame, key: str, carry: list[str], n_shards: int = 16, rows_per_bucket: int = 2048, seed: int = SEED, bytes_per_bucket: int = BUCKET_BYTES) -> DataFrame:
     """`key` and `carry` of every record with `shard` int, `bucket` int and `slot` long.
 
     Slots run from 0 without gaps in each shard. A bucket's expected size is at
-    most `rows_per_bucket`, whatever the size of the input. Only records that
-    are equal in the key and all carried columns share a bucket by force.
+    most `rows_per_bucket` records and `bytes_per_bucket` bytes, whatever the
+    size of the input; a longer record is the one of its bucket as a rule. Only
+    records that are equal in the key and all carried columns share a bucket by
+    force.
     """
-    n = buckets_per_shard(df.select(key).count(), n_shards, rows_per_bucket)
-    record = F.struct(F.col(key), *carry)
-    scattered = df.select(
-        rendezvous(F.col(key), n_shards, seed).alias("shard"),
-        F.pmod(F.xxhash64(*[F.col(c) for c in (key, *carry)], F.lit(seed + 1)), F.lit(n)).cast("int").alias("bucket"),
-        record.alias("record"),
-    )
-    # sorted first, so that the permutation depends on the seed and the records, not on the order of arrival
-    filled = scattered.groupBy("shard", "bucket").agg(F.array_sort(F.collect_list("record")).alias("records"))
+    whole = df.select(key, *carry)
+    n_rows, n_bytes = whole.agg(F.count(F.lit(1)), F.coalesce(F.sum(record_bytes(whole)), F.lit(0))).first()
+    n = buckets_per_shard(n_rows, n_shards, rows_per_bucket, n_bytes, bytes_per_bucket)
+    digest = F.xxhash64(*[F.col(c) for c in (key, *carry)], F.lit(seed + 1))
+    scattered = whole.select(F.struct(key, *carry).alias("record"), rendezvous(F.col(key), n_shards, seed).alias("shard"), digest.alias("digest"))
+    scattered = scattered.withColumn("bucket", F.pmod("digest", F.lit(n)).cast("int"))
+    filled = scattered.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = filled.select("shard", "bucket", F.size("records").cast("long").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    mixed = filled.sortWithinPartitions("shard", "bucket").select("shard", "bucket", F.shuffle("records", seed).alias("records"))
-    laid = mixed.join(starts, ["shard", "bucket"]).select("shard", "bucket", "start", F.posexplode("records").alias("at", "record"))
+    starts = filled.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    # sorted first, so that the permutation depends on the seed and the records, not on the order of arrival; equal records get ranks of their own
+    within = Window.partitionBy("shard", "bucket")
+    placed = scattered.withColumn("place", F.row_number().over(within.orderBy(f"record.`{key}`", "digest", "record")))
+    ranked = placed.drop("digest").withColumn("rank", F.xxhash64("shard", "bucket", "place", F.lit(seed)))
+    mixed = ranked.withColumn("at", F.row_number().over(within.orderBy("rank", "place")) - 1)
+    laid = mixed.join(starts, ["shard", "bucket"])
     return laid.select("record.*", "shard", "bucket", (F.col("start") + F.col("at")).alias("slot"))
 
 
@@ -61,7 +78,7 @@ def write_shards(df: DataFrame, key: str, path: str, n_shards: int = 16, rows_pe
     """Write whole records under `path`, one folder per shard and bucket order within it (slots are gapless per shard)."""
     carry = [c for c in df.columns if c != key]
     out = two_pass_shuffle(df, key, carry, n_shards, rows_per_bucket, seed)
-    out.repartition("shard", "bucket").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    out.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def op4_sharding_two_pass(spark, sf_dir: str) -> DataFrame:

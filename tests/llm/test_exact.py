@@ -257,6 +257,25 @@ def test_the_sharding_query_reads_its_figures_from_written_shards(spark, tmp_pat
     assert {r["text_crc32"] for r in sharding.op4_sharding_two_pass(spark, str(tmp_path)).collect()} == {zlib.crc32(b"other")}
 
 
+def test_buckets_follow_bytes(spark):
+    """Few records of many bytes go to many buckets, no bucket becomes one value, and equal records get places apart."""
+    long = spark.range(400).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 20_000).alias("text"))
+    df = long.unionByName(spark.range(60).select(F.lit(7).cast("long").alias("doc_id"), F.lit("same").alias("text")))
+    out = sharding.two_pass_shuffle(df, "doc_id", ["text"], 2, 2048, bytes_per_bucket=200_000)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "shuffle(" not in plan
+    rows = out.select("doc_id", "shard", "bucket", "slot", F.length("text").alias("n")).collect()
+    weight, slots = collections.Counter(), collections.defaultdict(list)
+    for r in rows:
+        weight[r["shard"], r["bucket"]] += r["n"]
+        slots[r["shard"]].append(r["slot"])
+    assert len(rows) == 460 and len(weight) >= 36 and max(weight.values()) < 600_000
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    same = sorted(r["slot"] for r in rows if r["n"] == 4)
+    assert len(set(same)) == 60 and same[-1] - same[0] > 59
+    assert sharding.buckets_per_shard(2048, 1, 2048, 2048 << 20) == 256
+
+
 # ---- top-k
 
 
