@@ -367,6 +367,19 @@ def test_media_columns(spark):
 # ---- personal data: the base
 
 
+def test_the_gate_before_loose_emails_agrees_with_their_pattern():
+    spaces = ("", " ", "\n", "\t", "\u00a0")
+    forms = lambda word: [f"{l}{o}{i}{word}{j}{c}{r}" for o, c in ("()", "[]", "{}", "(]") for i in spaces for j in spaces for l, r in (("", ""), (" ", "\n"))] + [f"{l}{word}{r}" for l in spaces[1:] for r in spaces[1:]]  # noqa: E731, E741
+    ats, dots = ["@", *forms("at"), " AT ", "[aT]"], [".", *forms("dot"), " Dot ", "(DOT)"]
+    for at in ats:
+        for dot in dots:
+            for text in (f"write jo.doe{at}example{dot}org now", f"jo{dot}doe{at}a{dot}b{dot}c"):
+                found = [(a, b) for k, a, b in pii.candidates(text) if k == "email"]
+                assert found and found == [m.span() for m in pii.LOOSE["email"].finditer(text)], text
+    for text in ("jo.doe at home", "look at the dot of it", "the cat dot com", "at dot at dot", "a @ b.c", ""):
+        assert [(a, b) for k, a, b in pii.candidates(text) if k == "email"] == [m.span() for m in pii.LOOSE["email"].finditer(text)], text
+
+
 def naive_base(text):
     out = []
     for kind in pii.KINDS:
