@@ -34,6 +34,7 @@ KINDS = ("email", "ip", "card", "phone")
 TRAIN_SENTENCES = 6000
 SEED = 7
 PRECISION = 0.995
+AT_ONCE = 20_000  # candidates judged together
 
 BASE = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
@@ -47,11 +48,18 @@ _DOT = r"(?:\.|\s?[(\[{]\s?dot\s?[)\]}]\s?|\sdot\s)"
 LOOSE = {
     "email": re.compile(rf"[A-Za-z0-9][A-Za-z0-9._%+-]{{0,63}}(?:{_DOT}[A-Za-z0-9_-]{{1,63}})?{_AT}[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{1,63}})+", re.I),
     "ip": re.compile(r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{0,4}){3,7}(?![0-9A-Fa-f:])|[0-9]{1,3}(?:\s?[.,]\s?[0-9]{1,3}){3}"),
-    # one written number, or its groups: two numbers side by side are proposed apart as well as together
     "card": re.compile(r"(?<![0-9])(?:[0-9]{12,19}|[0-9]{4}(?:[\x20./_-][0-9]{4}){2}[\x20./_-][0-9]{3,7}|[0-9]{4}[\x20./_-][0-9]{6}[\x20./_-][0-9]{5})(?![0-9])|[0-9](?:[\x20./_-]?[0-9]){11,18}"),
     "phone": re.compile(r"(?:\+|\b00)?\(?[0-9][0-9\x20()./-]{5,18}[0-9]"),
 }
 
+# Where a further span may begin inside one that was found: at words and at groups of digits, whose ends are known by the start.
+_INNER = {
+    "email": re.compile(rf"(?<![A-Za-z0-9._%+-])(?=({LOOSE['email'].pattern}))", re.I),
+    "ip": re.compile(r"(?<![0-9])(?=([0-9]{1,3}(?:\s?[.,]\s?[0-9]{1,3}){3}))"),
+}
+_RUN = re.compile(r"[0-9](?:[0-9\x20()./_-]*[0-9])?")
+_GROUP = re.compile("[0-9]+")
+
 # The end of every loose email, which is found in one pass; a text without it holds none.
 _EMAIL_END = re.compile(rf"{_AT}[A-Za-z0-9-]{{1,63}}{_DOT}[A-Za-z0-9-]", re.I)
 
@@ -118,35 +126,85 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def _grouped(text: str) -> set[tuple[str, int, int]]:
+    """Cards and phones of whole groups of digits: from every group, all ends that the kind allows, so that neighbouring numbers are proposed apart as well as together."""
+    out: set[tuple[str, int, int]] = set()
+    for run in _RUN.finditer(text):
+        if run.end() - run.start() < 7:
+            continue
+        groups = [m.span() for m in _GROUP.finditer(text, *run.span())]
+        for i, (a, _) in enumerate(groups):
+            card, phone, digits, last = True, True, 0, None
+            for start, b in groups[i:]:
+                between = text[last:start] if last is not None else ""
+                card = card and (last is None or len(between) == 1 and between in " ./_-")
+                phone = phone and b - a <= 20 and "_" not in between
+                digits, last = digits + b - start, b
+                if digits > 19 or not (card or phone):
+                    break
+                if card and digits >= 12:
+                    out.add(("card", a, b))
+                if phone and b - a >= 7:
+                    x = a - (a > 0 and text[a - 1] == "(")
+                    x -= x > 0 and text[x - 1] == "+"
+                    out.add(("phone", x, b))
+                    if x < a and ")" not in text[a:b] and text[x] == "(":
+                        out.add(("phone", a, b))
+    return out
+
+
 def candidates(text: str) -> list[tuple[str, int, int]]:
-    """What the high-recall generators propose; spans of different kinds overlap."""
-    out: list[tuple[str, int, int]] = []
+    """What the high-recall generators propose, by kind and place; all spans may overlap."""
+    out: set[tuple[str, int, int]] = set()
     if _EMAIL_END.search(text):
-        out += [("email", *m.span()) for m in LOOSE["email"].finditer(text)]
+        out |= {("email", *m.span()) for m in LOOSE["email"].finditer(text)} | {("email", *m.span(1)) for m in _INNER["email"].finditer(text)}
     if _digits(text):
         for kind in KINDS[1:]:
-            out += [(kind, *m.span()) for m in LOOSE[kind].finditer(text)]
-    return out
+            out |= {(kind, *m.span()) for m in LOOSE[kind].finditer(text)}
+        out |= {("ip", *m.span(1)) for m in _INNER["ip"].finditer(text)} | _grouped(text)
+    return _ordered(out)
 
 
-def features(text: str, kind: str, a: int, b: int) -> list[float]:
-    """Format and context of a candidate."""
-    s, before, after = text[a:b], text[max(0, a - 32) : a], text[b : b + 12]
+@lru_cache(maxsize=4096)
+def _inside(s: str) -> tuple[list[float], set[str]]:
+    """Features of a candidate's own characters, and its separators."""
     digits = re.sub("[^0-9]", "", s)
-    groups = [len(g) for g in re.findall("[0-9]+", s)] or [0]
+    written = re.findall("[0-9]+", s)
+    groups = [len(g) for g in written] or [0]
     seps = re.findall("[^0-9A-Za-z]+", s)
-    near = set(re.findall(r"[\w-]+", before.lower())[-4:])
     words = re.findall("[A-Za-z]+", s)
     dates = re.search(r"\b(19|20)[0-9]{2}[-./][01]?[0-9][-./][0-3]?[0-9]\b|\b[0-3]?[0-9][-./][01]?[0-9][-./](19|20)[0-9]{2}\b", s)
     return [
-        *(float(kind == k) for k in KINDS),
         len(s), len(digits), len(groups), max(groups), min(groups), float(len(set(groups)) == 1), len(set(seps)), sum(map(len, seps)),
-        float(len(digits) >= 12 and luhn(digits)), float(len(groups) == 4 and all(len(g) <= 3 and int(g) <= 255 for g in re.findall("[0-9]+", s))),
+        float(len(digits) >= 12 and luhn(digits)), float(len(groups) == 4 and all(len(g) <= 3 and int(g) <= 255 for g in written)),
         float(s[:1] == "+" or s[:2] == "00"), float(s[:1] in "0("), float("(" in s and ")" in s), float("@" in s), s.count(":"),
         len(words), float(bool(words) and words[-1].lower() in ("com", "org", "net", "de", "fr", "es", "io", "info", "example")), float(bool(re.search(r"[(\[{]\s?at", s, re.I))), float(bool(re.search(r"\sat\s", s, re.I))), float(bool(re.search(r"dot", s, re.I))),
-        float(bool(dates)), len(set(digits)), int(digits[:1] or 0), float(bool(re.match("[0-9A-Za-z_]", after))), float(bool(re.search(r"[0-9A-Za-z_.]$", before))), float(bool(re.match(r"[.,:-][0-9]", after))), float(bool(re.search(r"[$€£#]\s?$", before))),
+        float(bool(dates)), len(set(digits)), int(digits[:1] or 0), groups[0], groups[-1],
+    ], set(seps)
+
+
+@lru_cache(maxsize=4096)
+def _before(before: str) -> tuple[list[float], int, str]:
+    """Features of what stands before, and the length of a number there and what parts it from the candidate."""
+    near = set(re.findall(r"[\w-]+", before.lower())[-4:])
+    left = re.search(r"([0-9]+)([\x20()./_-]{1,2})$", before)
+    return [
+        float(bool(re.search(r"[0-9A-Za-z_.]$", before))), float(bool(re.search(r"[$€£#]\s?$", before))),
         *(float(bool(near & set(CUES[k]))) for k in (*KINDS, "other")),
-    ]
+    ], len(left[1]) if left else 0, left[2] if left else ""
+
+
+@lru_cache(maxsize=4096)
+def _after(after: str) -> tuple[list[float], int, str]:
+    """The same of what stands behind."""
+    right = re.match(r"([\x20()./_-]{1,2})([0-9]+)", after)
+    return [float(bool(re.match("[0-9A-Za-z_]", after))), float(bool(re.match(r"[.,:-][0-9]", after)))], len(right[2]) if right else 0, right[1] if right else ""
+
+
+def features(text: str, kind: str, a: int, b: int) -> list[float]:
+    """Format and context of a candidate."""
+    (own, seps), (left, n_left, part_left), (right, n_right, part_right) = _inside(text[a:b]), _before(text[max(0, a - 32) : a]), _after(text[b : b + 12])
+    return [*(float(kind == k) for k in KINDS), *own, *left, *right, n_left, float(part_left in seps), n_right, float(part_right in seps)]
 
 
 def _planted(rng: random.Random) -> tuple[str, str]:
@@ -187,6 +245,8 @@ def synthetic(n: int = TRAIN_SENTENCES, seed: int = SEED) -> tuple[np.ndarray, n
         left = " ".join(rng.choice(filler) for _ in range(rng.randint(0, 8)))
         if kind == "card" and rng.random() < 0.2:
             left += " " + "".join(rng.choice("0123456789") for _ in range(16))
+        if kind in ("card", "phone") and rng.random() < 0.2:  # in lists and tables, numbers stand side by side
+            cue += "".join(rng.choice("0123456789") for _ in range(rng.randint(1, 4))) + rng.choice((" ", " - ", ". "))
         right = rng.choice((" ", ". ", ", ", "")) + " ".join(rng.choice(filler) for _ in range(rng.randint(0, 6)))
         text = f"{left} {cue}"
         a, b, text = len(text), len(text) + len(span), text + span + (right if right[:1] in " .," else " " + right)
@@ -217,21 +277,36 @@ def trained(precision: float = PRECISION) -> dict:
 
 def spans(texts: list[str], model: dict) -> list[tuple[list, list]]:
     """For each text the base spans and the added ones, (kind, start, end, score) each."""
-    rows, where = [], []
+    rows, where, chosen, taken = [], [], [], {}
     out = []
+
+    def judge() -> None:
+        margin = gbt_margin(model["gbt"], np.array(rows, float))
+        p = isotonic(model["curve"], margin)
+        chosen.extend((score, m, w) for score, m, w in zip(p.tolist(), margin.tolist(), where, strict=True) if score >= model["thresholds"][w[1]])
+        rows.clear()
+        where.clear()
+
     for i, t in enumerate(texts):
         base = base_spans(t)
         out.append(([(*s, 1.0) for s in base], []))
-        for k, a, b in candidates(t):
-            if not any(x < b and a < y for _, x, y in base):
+        proposed = candidates(t)
+        if proposed:
+            taken[i] = bytearray(len(t))
+            for _, a, b in base:
+                taken[i][a:b] = b"\1" * (b - a)
+        for k, a, b in proposed:
+            if not any(taken[i][a:b]):
                 rows.append(features(t, k, a, b))
                 where.append((i, k, a, b))
+                if len(rows) >= AT_ONCE:
+                    judge()
     if rows:
-        p = isotonic(model["curve"], gbt_margin(model["gbt"], np.array(rows, float)))
-        for score, (i, k, a, b) in sorted(zip(p.tolist(), where, strict=True), key=lambda r: (-r[0], r[1])):
-            added = out[i][1]
-            if score >= model["thresholds"][k] and not any(x < b and a < y for _, x, y, _ in added):
-                added.append((k, a, b, score))
+        judge()
+    for score, _, (i, k, a, b) in sorted(chosen, key=lambda r: (-r[0], -r[1], r[2])):  # the likelier, by the margin within a step of the curve
+        if not any(taken[i][a:b]):
+            taken[i][a:b] = b"\1" * (b - a)
+            out[i][1].append((k, a, b, score))
     return out
 
 

@@ -370,14 +370,36 @@ def test_media_columns(spark):
 def test_the_gate_before_loose_emails_agrees_with_their_pattern():
     spaces = ("", " ", "\n", "\t", "\u00a0")
     forms = lambda word: [f"{l}{o}{i}{word}{j}{c}{r}" for o, c in ("()", "[]", "{}", "(]") for i in spaces for j in spaces for l, r in (("", ""), (" ", "\n"))] + [f"{l}{word}{r}" for l in spaces[1:] for r in spaces[1:]]  # noqa: E731, E741
+    ungated = lambda text: sorted({m.span() for m in pii.LOOSE["email"].finditer(text)} | {m.span(1) for m in pii._INNER["email"].finditer(text)})
     ats, dots = ["@", *forms("at"), " AT ", "[aT]"], [".", *forms("dot"), " Dot ", "(DOT)"]
     for at in ats:
         for dot in dots:
             for text in (f"write jo.doe{at}example{dot}org now", f"jo{dot}doe{at}a{dot}b{dot}c"):
                 found = [(a, b) for k, a, b in pii.candidates(text) if k == "email"]
-                assert found and found == [m.span() for m in pii.LOOSE["email"].finditer(text)], text
+                assert found and found == ungated(text), text
     for text in ("jo.doe at home", "look at the dot of it", "the cat dot com", "at dot at dot", "a @ b.c", ""):
-        assert [(a, b) for k, a, b in pii.candidates(text) if k == "email"] == [m.span() for m in pii.LOOSE["email"].finditer(text)], text
+        assert [(a, b) for k, a, b in pii.candidates(text) if k == "email"] == ungated(text), text
+
+
+def test_numbers_beside_others_are_proposed():
+    """Each number of a row of numbers is a candidate by itself, whatever stands before or behind it."""
+    for text, kind, number in [
+        ("item 12 030-123-4567", "phone", "030-123-4567"),
+        ("1234 5678 9012 030 1234567", "phone", "030 1234567"),
+        ("030-123-4567 040-765-4321", "phone", "030-123-4567"),
+        ("030-123-4567 040-765-4321", "phone", "040-765-4321"),
+        ("5 (030) 123-4567 12 34", "phone", "(030) 123-4567"),
+        ("12 4111.1111.1111.1111 77", "card", "4111.1111.1111.1111"),
+        ("4111 1111 1111 1111 5500 0000 0000 0004", "card", "5500 0000 0000 0004"),
+        ("10, 192 . 168 . 1 . 1", "ip", "192 . 168 . 1 . 1"),
+        ("mail dot jo at example dot org", "email", "jo at example dot org"),
+    ]:
+        found = pii.candidates(text)
+        assert (kind, text.index(number), text.index(number) + len(number)) in found, text
+        assert len(set(found)) == len(found) and {(k, *m.span()) for k in pii.KINDS for m in pii.LOOSE[k].finditer(text)} <= set(found), text
+    model = pii.trained()
+    for text, number in [("call 12 030-123-4567 now", "030-123-4567"), ("tel: 7 040-765-4321.", "040-765-4321")]:
+        assert [text[a:b] for _, a, b, _ in pii.spans([text], model)[0][1]] == [number]
 
 
 def naive_base(text):
