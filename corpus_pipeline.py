@@ -29,10 +29,10 @@ def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays: that with the smallest id. Of repeated rows of its id one stays; rows without an id all stay."""
-    classes = jaccard_join.jaccard_join(docs)
-    stay = classes.where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(stay, "doc_id").dropDuplicates(["doc_id"])
+    """One document of each class stays: that with the smallest id. Of its rows in the class one stays, and an id with texts of several classes may stay in each; rows without an id all stay."""
+    classes = jaccard_join.joined_rows(docs)
+    stay = classes.where(F.col("doc_id") == F.col("class_id")).groupBy("doc_id", "class_set").agg(F.min("text_key").alias("text_key")).select("doc_id", "text_key").distinct()
+    kept = docs.select(*COLUMNS, jaccard_join.text_key("text").alias("text_key")).join(stay, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"])
     return kept.select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
 

@@ -19,8 +19,8 @@ Jaccard similarity decides, again in pairs of blocks; no pair is ever a row.
 Defined results: null text counts as empty; texts without words have no links
 and a class of their own; texts of fewer words than a shingle are one shingle;
 equal sets (copies) are one class and count as one text; rows with a null id
-are left out; repeated rows give one row each, and an id with several texts is
-compared by the lowest of them.
+are left out; repeated rows give one row each; an id with several texts is in
+the class of each of them, row by row.
 """
 
 from __future__ import annotations
@@ -121,13 +121,13 @@ def _chosen(paths: np.ndarray, tokens: np.ndarray, threshold: float) -> tuple[np
     return row, _mix(h[row, at] ^ _U(0x632BE59BD9B4E019))
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("set_id", pa.binary()), ("sig", pa.binary()), ("paths", pa.list_(pa.int64()))])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("set_id", pa.binary()), ("sig", pa.binary()), ("paths", pa.list_(pa.int64()))])
 _ROWS = "path long, rep long, sig binary"
 _ROWS_PA = pa.schema([("path", pa.int64()), ("rep", pa.int64()), ("sig", pa.binary())])
 
 
 def sign(docs: DataFrame, threshold: float, runs: int) -> DataFrame:
-    """Per document: its set's identity, byte signature, and the first level's chosen paths. Wordless texts have nulls."""
+    """Per row: `doc_id`, `text_key`, its set's identity, byte signature, and the first level's chosen paths. Wordless texts have nulls."""
     seeds = _mix(np.arange(1, runs + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
 
     def work(batches):
@@ -135,7 +135,7 @@ def sign(docs: DataFrame, threshold: float, runs: int) -> DataFrame:
         with np.errstate(over="ignore"):
             for batch in slices(batches):
                 sets, sigs, paths = [], [], []
-                for text in batch.column(1).to_pylist():
+                for text in batch.column(2).to_pylist():
                     items = shingles(text, known)
                     if not len(items):
                         sets.append(None), sigs.append(None), paths.append(None)
@@ -144,9 +144,9 @@ def sign(docs: DataFrame, threshold: float, runs: int) -> DataFrame:
                     full = signature(items)
                     sigs.append(full.astype(np.uint8).tobytes())
                     paths.append(_chosen(seeds, np.broadcast_to(full, (runs, COORDINATES)), threshold)[1].view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, type=f.type) for x, f in zip((sets, sigs, paths), list(_SIGNED)[1:], strict=True))], schema=_SIGNED)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(x, type=f.type) for x, f in zip((sets, sigs, paths), list(_SIGNED)[2:], strict=True))], schema=_SIGNED)
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, set_id binary, sig binary, paths array<long>")
+    return docs.select("doc_id", "text_key", "text").mapInArrow(work, "doc_id long, text_key long, set_id binary, sig binary, paths array<long>")
 
 
 def _deeper(rows: DataFrame, threshold: float) -> DataFrame:
@@ -327,14 +327,25 @@ def _sets(texts: DataFrame) -> DataFrame:
     return texts.select("rep", "cluster", "n", "text").mapInArrow(work, "rep long, cluster long, n long, items binary")
 
 
+def text_key(text: str):
+    """Tells the texts of one id apart."""
+    return F.xxhash64(F.col(text).cast("string"))
+
+
 def jaccard_join(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, depth: int = DEPTH) -> DataFrame:
-    """Per document: `doc_id`, `class_id` (the smallest id that links lead to) and `n_links` (different texts that it is linked with)."""
-    docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null")
+    """Per row: `doc_id`, `class_id` (the smallest id that links lead to) and `n_links` (different texts that it is linked with)."""
+    return joined_rows(df, key, text, threshold, recall, depth).select("doc_id", "class_id", "n_links")
+
+
+def joined_rows(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, depth: int = DEPTH) -> DataFrame:
+    """What `jaccard_join` gives, with each row's `text_key` and its class's number `class_set` (null without words)."""
+    docs = df.select(F.col(key).cast("long").alias("doc_id"), text_key(text).alias("text_key"), F.col(text).cast("string").alias("text")).where("doc_id is not null")
     signed = written(sign(docs, threshold, runs_needed(recall, depth)))
 
     # copies are aggregated on both sides of the shuffle, so a hot set is one row per task
-    reps = signed.where("set_id is not null").groupBy("set_id").agg(F.min(F.struct("doc_id", "sig", "paths")).alias("r"))
-    reps = written(reps.select("set_id", F.col("r.doc_id").alias("rep"), F.col("r.sig").alias("sig"), F.col("r.paths").alias("paths")))
+    reps = signed.where("set_id is not null").groupBy("set_id").agg(F.min(F.struct("doc_id", "text_key", "sig", "paths")).alias("r"))
+    # a number of its own for each set: one id may have several sets
+    reps = written(reps.select("set_id", F.monotonically_increasing_id().alias("rep"), F.col("r.doc_id").alias("first"), F.col("r.text_key").alias("text_key"), F.col("r.sig").alias("sig"), F.col("r.paths").alias("paths")))
 
     level, parts = reps.select(F.explode("paths").alias("path"), "rep", "sig"), []
     for step in range(1, depth + 1):
@@ -351,16 +362,19 @@ def jaccard_join(df: DataFrame, key: str = "doc_id", text: str = "text", thresho
 
     sizes = clusters.groupBy("root").agg(F.count("*").alias("n")).select(splittable("root").alias("__k"), "n")
     members = written(clusters.withColumn("__k", splittable("root")).join(sizes, "__k").select(F.col("id").alias("rep"), F.col("root").alias("cluster"), "n"))
-    # one text per id: repeated rows must not count twice
-    held = docs.join(members, docs["doc_id"] == members["rep"]).groupBy("rep", "cluster", "n").agg(F.min("text").alias("text"))
+    # one text per set: repeated rows must not count twice
+    firsts = reps.select("rep", F.col("first").alias("doc_id"), "text_key")
+    held = docs.join(members.join(firsts, "rep"), ["doc_id", "text_key"]).groupBy("rep", "cluster", "n").agg(F.min("text").alias("text"))
     found = written(_exact(_in_blocks(_sets(held), "cluster", BLOCK, "items"), threshold))
 
     links = found.groupBy("rep").agg(F.sum("links").alias("n_links"))
     classes = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
-    linked = classes.join(links, classes["id"] == links["rep"]).select("rep", F.col("root").alias("class_id"), "n_links")
-    of = reps.select("set_id", "rep").join(linked, "rep", "left")
-    out = signed.select("doc_id", "set_id").join(of, "set_id", "left")
-    return out.select("doc_id", F.coalesce("class_id", "rep", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    rooted = written(classes.withColumnRenamed("id", "rep").join(firsts, "rep").select("rep", "root", "doc_id"))
+    smallest = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id")).select(splittable("root").alias("__k"), "class_id")
+    linked = rooted.withColumn("__k", splittable("root")).join(smallest, "__k").join(links, "rep").select("rep", "root", "class_id", "n_links")
+    of = reps.select("set_id", "rep", "first").join(linked, "rep", "left")
+    out = signed.select("doc_id", "text_key", "set_id").join(of, "set_id", "left")
+    return out.select("doc_id", "text_key", F.coalesce("root", "rep").alias("class_set"), F.coalesce("class_id", "first", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def op1_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -80,6 +80,19 @@ def test_jaccard_join_is_brute_force(spark, rows):
     assert got == brute_join(rows)
 
 
+def test_an_id_with_unlike_texts_is_in_the_class_of_each(spark):
+    """Id 5 holds A and B, 9 holds B, 3 a near-copy of A, 7 one of B: rows are as if each text had an id of its own."""
+    import corpus_pipeline
+
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(5, a), (5, b), (5, b), (9, b), (3, a + " z"), (7, b + " z"), (5, None), (8, "")]
+    got = sorted(tuple(r) for r in jaccard_join.jaccard_join(docs(spark, rows)).collect())
+    assert got == [(3, 3, 1), (5, 3, 1), (5, 5, 0), (5, 5, 1), (5, 5, 1), (7, 5, 1), (8, 8, 0), (9, 5, 1)]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_near_duplicates(spark, df, "x").select("doc_id", "text").collect()
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, [(3, a + " z"), (5, b), (5, None), (8, "")]))
+
+
 def test_jaccard_blocks_and_levels_lose_nothing(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "LARGE", 8)
     monkeypatch.setattr(jaccard_join, "SMALL", 4)
