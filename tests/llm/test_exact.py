@@ -432,17 +432,21 @@ PRIVATE = ["a.b+c@x-y.example.com, d@e", "1.2.3.4 256.1.1.1 001.002.003.004 1.2.
 def test_base_spans_are_the_patterns():
     rng = random.Random(2)
     cases = PRIVATE + ["".join(rng.choice(list("0123456789.+- ()@ax") + ["1.1.1.1", "+49 30 12345678", "4111111111111111", "a@b.c", "@"]) for _ in range(60)) for _ in range(300)]
+    cases += ["".join(rng.choice("0123456789.. 1") for _ in range(rng.randint(1, 40))) for _ in range(2000)]
     for t in cases:
         assert pii.base_spans(t) == naive_base(t), t
 
 
-def test_long_runs_take_linear_time():
+def test_long_texts_take_linear_time():
     import time
 
-    began = time.time()
-    for t in ("a" * 300_000 + " x@y.zz", "1" * 200_000, "a." * 100_000 + "@b.c dot ", "0" * 6000 + ".1.1.1", "1 " * 100_000 + "@", "a1" * 100_000):
+    long = ["a" * 300_000 + " x@y.zz", "1" * 1_000_000 + ".", ("1" * 200_000 + ".") * 5, "1." * 500_000, "a." * 100_000 + "@b.c dot ", "0" * 300_000 + ".1.1.1", "a1" * 100_000, "ab:" * 300_000, "a at b dot c " * 50_000, "+1" + "(" * 500_000, " ".join(f"user{i}@mail{i % 7}.example.com" for i in range(20_000))]
+    pii.trained()
+    for t in long:
+        began = time.process_time()
         pii.spans([t], pii.trained())
-    assert pii.base_spans("a" * 50 + "@b@c.dd@e.ff") == naive_base("a" * 50 + "@b@c.dd@e.ff") and time.time() - began < 60
+        assert time.process_time() - began < 20, t[:40]
+    assert pii.base_spans("a" * 50 + "@b@c.dd@e.ff") == naive_base("a" * 50 + "@b@c.dd@e.ff")
 
 
 def test_private_spans_digest_and_redaction(spark):
