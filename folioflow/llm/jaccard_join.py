@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm._arrow import release, slices
-from folioflow.llm._tables import components, splittable, written
+from folioflow.llm._tables import components, discard, splittable, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -347,29 +347,35 @@ def joined_rows(df: DataFrame, key: str = "doc_id", text: str = "text", threshol
     # a number of its own for each set: one id may have several sets
     reps = written(reps.select("set_id", F.monotonically_increasing_id().alias("rep"), F.col("r.doc_id").alias("first"), F.col("r.text_key").alias("text_key"), F.col("r.sig").alias("sig"), F.col("r.paths").alias("paths")))
 
-    level, parts = reps.select(F.explode("paths").alias("path"), "rep", "sig"), []
+    level, parts, done = reps.select(F.explode("paths").alias("path"), "rep", "sig"), [], []
     for step in range(1, depth + 1):
         met = level.groupBy("path").agg(F.count("*").alias("n")).where("n > 1").select(splittable("path").alias("__k"), "n")
         rows = written(level.withColumn("__k", splittable("path")).join(met, "__k").select("path", "rep", "sig", "n"))
+        done.append(rows)
         last = step == depth
         parts.append(_in_blocks(rows if last else rows.where(F.col("n") <= LARGE), "path", SMALL, "sig"))
         if not last:
             level = written(_deeper(rows.where(F.col("n") > LARGE), threshold))
+            done.append(level)
     together = parts[0]
     for p in parts[1:]:
         together = together.unionByName(p)
     clusters = components(_provisional(together, least_agreement(threshold)).distinct())
+    discard(*done)
 
     sizes = clusters.groupBy("root").agg(F.count("*").alias("n")).select(splittable("root").alias("__k"), "n")
     members = written(clusters.withColumn("__k", splittable("root")).join(sizes, "__k").select(F.col("id").alias("rep"), F.col("root").alias("cluster"), "n"))
+    discard(clusters)
     # one text per set: repeated rows must not count twice
     firsts = reps.select("rep", F.col("first").alias("doc_id"), "text_key")
     held = docs.join(members.join(firsts, "rep"), ["doc_id", "text_key"]).groupBy("rep", "cluster", "n").agg(F.min("text").alias("text"))
     found = written(_exact(_in_blocks(_sets(held), "cluster", BLOCK, "items"), threshold))
+    discard(members)
 
     links = found.groupBy("rep").agg(F.sum("links").alias("n_links"))
     classes = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
     rooted = written(classes.withColumnRenamed("id", "rep").join(firsts, "rep").select("rep", "root", "doc_id"))
+    discard(classes)
     smallest = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id")).select(splittable("root").alias("__k"), "class_id")
     linked = rooted.withColumn("__k", splittable("root")).join(smallest, "__k").join(links, "rep").select("rep", "root", "class_id", "n_links")
     of = reps.select("set_id", "rep", "first").join(linked, "rep", "left")
