@@ -251,7 +251,7 @@ def _planted(rng: random.Random) -> tuple[str, str]:
         return kind, f"{w()}{rng.choice(('', '.' + w(), d(2), '_' + w(), '-' + w()))}{at}{w()}{rng.choice(('', '', dot + w(), '-' + w()))}{dot}{top}"
     if kind == "ip":
         if rng.random() < 0.4:
-            return kind, rng.choice((".", ".", " . ", ". ")).join(str(rng.randint(1, 255)) for _ in range(4))
+            return kind, rng.choice((".", " . ")).join(str(rng.randint(1, 255)) for _ in range(4))
         group = lambda: rng.choice((f"{rng.randrange(65536):x}", f"{rng.randrange(65536):04x}", f"{rng.randrange(4096):x}", "0", "0000"))
         return kind, ":".join([rng.choice((f"2{d(3)}", "fe80", "2001", f"{rng.randrange(65536):x}")), *(group() for _ in range(7))])
     if kind == "card":
