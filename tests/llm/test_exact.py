@@ -6,10 +6,12 @@ import collections
 import hashlib
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from folioflow.llm import bpe, jaccard_join, mpeg_audio, pii, sharding, substring_dedup, topk_search
@@ -222,26 +224,71 @@ def test_bpe_round_trip_and_digest(spark, encoder):
 # ---- sharding
 
 
+def xx(*longs, seed=42):
+    """The engine's xxhash64 of long values (and ints, by width): each hash seeds the next."""
+    for width, v in longs:
+        seed = xxhash.xxh64_intdigest(struct.pack("<q" if width == 8 else "<i", v), seed)
+    return seed
+
+
+def signed(h):
+    return h - (1 << 64) if h >> 63 else h
+
+
+def brute_shards(ids, n_shards, n, seed):
+    """(id, shard, bucket, slot) of records that hold one long each, by the two passes' definition."""
+    buckets = collections.defaultdict(list)
+    for i in ids:
+        shard = max((signed(xx((8, i), (4, seed), (4, s))), s) for s in range(n_shards))[1]
+        d = [signed(xx((4, seed + k), (8, i))) for k in (1, 2)]
+        buckets[shard, d[0] % n].append((*d, i))
+    out, start = [], collections.Counter()
+    for shard, bucket in sorted(buckets):
+        ranks = sorted((signed(xx((4, shard), (4, bucket), (4, place), (4, seed))), place, i) for place, (*_, i) in enumerate(sorted(buckets[shard, bucket]), 1))
+        out += [(i, shard, bucket, start[shard] + at) for at, (_, _, i) in enumerate(ranks)]
+        start[shard] += len(ranks)
+    return sorted(out)
+
+
+def test_shards_are_brute_force_at_any_partitioning(spark):
+    ids = [*range(3000), 7, 7, 2**40]
+    df = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    want = brute_shards(ids, 5, sharding.buckets_per_shard(len(ids), 5, 50), sharding.SEED)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for partitions in ("8", "64"):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+            out = sharding.two_pass_shuffle(df.repartition(int(partitions) // 4), "doc_id", [], 5, 50)
+            assert sorted(tuple(r) for r in out.select("record.doc_id", "shard", "bucket", "slot").collect()) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_shards(spark):
     rows = [(i, "t%d é" % (i % 50)) for i in range(3000)] + [(7, None), (7, None), (None, "x")]
     df = docs(spark, rows, clash=True).select("doc_id", F.length("text").alias("size"), "score")
-    out = sharding.two_pass_shuffle(df, "doc_id", ["size"], 16, 50).collect()
-    assert len(out) == len(rows) and sorted(str(r["doc_id"]) for r in out) == sorted(str(d) for d, _ in rows)
-    by = collections.defaultdict(list)
-    for r in out:
-        by[r["shard"]].append(r["slot"])
+    out = [(r["record"]["doc_id"], r["shard"], r["slot"]) for r in sharding.two_pass_shuffle(df, "doc_id", ["size"], 16, 50).collect()]
+    assert sorted(str(d) for d, _, _ in out) == sorted(str(d) for d, _ in rows)
+    by, shards = collections.defaultdict(list), collections.defaultdict(set)
+    for d, shard, slot in out:
+        by[shard].append(slot)
+        shards[d].add(shard)
     assert all(sorted(v) == list(range(len(v))) for v in by.values()) and len(by) == 16
-    shards = collections.defaultdict(set)
-    for r in out:
-        shards[r["doc_id"]].add(r["shard"])
     assert all(len(v) == 1 for v in shards.values())
-    order = [r["doc_id"] for r in sorted((r for r in out if r["shard"] == 0), key=lambda r: r["slot"])]
-    assert [x for x in order if x is not None] != sorted(x for x in order if x is not None)
-    again = sharding.two_pass_shuffle(df.repartition(7), "doc_id", ["size"], 16, 50).collect()
-    assert sorted(map(str, again)) == sorted(map(str, out))
+    order = [d for d, shard, _ in sorted(out, key=lambda r: r[2]) if shard == 0 and d is not None]
+    assert order != sorted(order)
     assert sharding.two_pass_shuffle(df.limit(0), "doc_id", ["size"]).count() == 0
 
 
+def test_columns_of_any_name_and_type_are_written(spark, tmp_path):
+    df = spark.createDataFrame([(i % 40, i, "s", i, {"a": i}, [({"b": 1},)], 1.5, None) for i in range(90)], "slot long, shard long, bucket string, digest long, m map<string,int>, n array<struct<k:map<string,int>>>, `a.b` double, record string")
+    sharding.write_shards(df, "slot", str(tmp_path / "out"), 4, 20)
+    back = sharding.read_shards(spark, str(tmp_path / "out"), df.schema).select("record.*", "shard")
+    assert sorted(str(tuple(r)[:-1]) for r in back.collect()) == sorted(str(tuple(r)) for r in df.collect())
+
+
 def test_growing_moves_rows_only_into_the_new_shard(spark):
     r = spark.range(5000).select(sharding.rendezvous(F.col("id"), 16).alias("a"), sharding.rendezvous(F.col("id"), 17).alias("b")).collect()
     assert all(x["b"] in (x["a"], 16) for x in r) and 150 < sum(x["b"] == 16 for x in r) < 450
@@ -250,8 +297,8 @@ def test_growing_moves_rows_only_into_the_new_shard(spark):
 def test_whole_records_are_written(spark, tmp_path):
     df = docs(spark, [(i, "t%d" % i) for i in range(200)])
     sharding.write_shards(df, "doc_id", str(tmp_path / "out"), 4, 20)
-    back = spark.read.parquet(str(tmp_path / "out"))
-    assert sorted((r["doc_id"], r["text"]) for r in back.collect()) == [(i, "t%d" % i) for i in range(200)]
+    back = sharding.read_shards(spark, str(tmp_path / "out"), df.schema)
+    assert sorted((r["doc_id"], r["text"]) for r in back.select("record.*").collect()) == [(i, "t%d" % i) for i in range(200)]
 
 
 def test_the_sharding_query_reads_its_figures_from_written_shards(spark, tmp_path, monkeypatch):
@@ -263,7 +310,7 @@ def test_the_sharding_query_reads_its_figures_from_written_shards(spark, tmp_pat
     out = sharding.op4_sharding_two_pass(spark, str(tmp_path)).collect()
     want = [(d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t, _ in rows]
     assert sorted(map(str, want)) == sorted(str((r["doc_id"], r["size"], r["text_crc32"])) for r in out)
-    back = spark.read.parquet(paths[0]).collect()
+    back = spark.read.parquet(paths[0]).select("record.*", "shard", "slot").collect()
     assert sorted(map(str, rows)) == sorted(str((r["doc_id"], r["text"], r["lang"])) for r in back)
     assert sorted((r["shard"], r["slot"], str(r["doc_id"])) for r in back) == sorted((r["shard"], r["slot"], str(r["doc_id"])) for r in out)
     monkeypatch.setattr(sharding, "write_shards", lambda df, key, path, *a: write(df.withColumn("text", F.lit("other")), key, path, *a))
@@ -277,7 +324,7 @@ def test_buckets_follow_bytes(spark):
     out = sharding.two_pass_shuffle(df, "doc_id", ["text"], 2, 2048, bytes_per_bucket=200_000)
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in plan and "shuffle(" not in plan
-    rows = out.select("doc_id", "shard", "bucket", "slot", F.length("text").alias("n")).collect()
+    rows = out.select("record.doc_id", "shard", "bucket", "slot", F.length("record.text").alias("n")).collect()
     weight, slots = collections.Counter(), collections.defaultdict(list)
     for r in rows:
         weight[r["shard"], r["bucket"]] += r["n"]
