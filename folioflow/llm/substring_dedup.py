@@ -1,60 +1,61 @@
 """Removal of repeated word windows, with a count-min prefilter.
 
-The corpus is dealt into chunks of documents by a hash of the id, and the range
-of window hashes into segments; both numbers follow from the corpus size.
-
-1. Each chunk sends each segment a sparse count-min sketch: the cells that its
-   windows fall on, sorted and delta-coded, and a bit where two of its
-   documents share the cell. A segment merges the chunks' sketches and answers
-   each with one bit per cell: estimated to be repeated, or not. Cells can be
-   shared by chance, so counts are overestimates and no repeated window is lost.
-2. Each chunk sends the windows on repeated cells, once per chunk, with 128 hash
-   bits and the smallest id that holds them; a segment groups them exactly and
-   answers with the smallest id of all chunks.
+Every task codes its documents into chunks of about `CHUNK_BYTES` of text: the
+distinct words, and each document's words as numbers. Texts are read and split
+into words once, and never shuffled; the steps below read the coded table.
+
+1. The count-min sketch has two rows of counters (0, 1, "2 or more") for each
+   segment of the range of window hashes. A chunk counts its windows in a sketch
+   of its own, sends each segment the counters that are not zero, and a segment
+   adds the chunks' counters up. It answers each chunk with one bit per counter
+   sent: estimated to be repeated, or not. Counters are shared by chance, so
+   counts are overestimates and no repeated window is lost.
+2. A window that both rows estimate to be repeated goes, once per chunk, with 128
+   hash bits and the smallest id that holds it, to its segment, which groups such
+   windows exactly and answers with the smallest id of all chunks.
 3. Each chunk marks the windows that a smaller id holds and drops their words.
 
-Copies of a whole text are found by SHA-256 beforehand: all but those with the
-smallest id take no part in 1 and 2. A window that a third of all documents
-share costs one entry per chunk. Texts are shuffled once; each step reads that
-shuffle again. Nothing goes to the driver but two sums.
+A segment has `SEGMENT_WINDOWS` windows as expected, but never so few that a
+message would hold under `PER_MESSAGE` of a chunk's windows: messages are at most
+one per `PER_MESSAGE` windows, whatever the size of the corpus, and beyond about
+a hundred billion bytes segments grow instead (larger chunks keep them small). A
+window that a third of all documents share is one entry per chunk. Nothing goes
+to the driver but two sums.
 
 Defined results: null text has no words; texts of fewer words than a window
 keep them all; of repeated rows with one id none removes the other's words; a
-null id removes nothing and loses nothing.
+null id removes nothing and loses nothing. Other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.llm._arrow import slices
+from folioflow.llm._tables import written
+
 WINDOW = 13
 CHUNK_BYTES = 8 << 20
-LEAST_CHUNKS = 64
-CELLS = 1 << 28  # of a segment's part of the sketch
+SEGMENT_WINDOWS = 1 << 20
+PER_MESSAGE = 64
+LOAD = 8  # counters of a row for each window expected in a segment
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_NONE = np.iinfo(np.int64).max
 
 
 class _Vocabulary(dict):
-    """word -> number, and two hashes by number."""
-
-    def __init__(self):
-        super().__init__()
-        self.raw = bytearray()
+    """word -> number."""
 
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self)
-        self.raw += hashlib.blake2b(word, digest_size=16).digest()
         return n
 
-    def hashes(self) -> np.ndarray:
-        return np.frombuffer(bytes(self.raw), np.uint64).reshape(-1, 2)
-
 
 def _mix(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(31))
@@ -65,7 +66,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 def _rolled(h: np.ndarray, m: np.uint64, n: int) -> np.ndarray:
     """Polynomial hash of the n values from each position on (shorter at the end: left out)."""
-    out, have, at = None, 0, 0
+    out, at = None, 0
     power, span, block = m, 1, h
     # binary decomposition of n, from its lowest bit: the blocks stand one behind the other
     while n:
@@ -83,215 +84,268 @@ def _rolled(h: np.ndarray, m: np.uint64, n: int) -> np.ndarray:
     return out
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers below 2**32, byte plane by byte plane, so that compression sees the zeros."""
+    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _from_planes(data) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4")[:, 0].astype(np.int64)
+
+
+CODED = "chunk long, windows long, ids binary, known binary, sizes binary, numbers binary, words binary, lengths binary"
+
+
+def code(ids: list, texts: list, window: int) -> dict:
+    """A chunk: ids (and which are not null), words per document, words as numbers, the distinct words and their lengths."""
+    vocabulary, sizes, numbers = _Vocabulary(), [], []
+    for t in texts:
+        words = (t or "").encode("utf-8", "surrogatepass").split()
+        sizes.append(len(words))
+        numbers.append(np.fromiter([vocabulary[w] for w in words], np.uint32, len(words)))
+    n = np.array(sizes, np.int64)
+    return {
+        "windows": int(np.maximum(n - window + 1, 0).sum()), "ids": np.array([d or 0 for d in ids], np.int64).tobytes(), "known": np.array([d is not None for d in ids], bool).tobytes(), "sizes": _planes(n),
+        "numbers": _planes(np.concatenate(numbers)) if numbers else b"", "words": b"".join(vocabulary), "lengths": _planes(np.array([len(w) for w in vocabulary], np.int64)),
+    }
+
+
 class Chunk:
-    """The windows of a chunk's documents. A window's hashes, document and first word stand at one index."""
-
-    def __init__(self, ids: list, texts: list, copies: set[tuple[int, str]], window: int = WINDOW):
-        vocabulary = _Vocabulary()
-        self.ids = ids
-        raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-        self.words = [r.split() for r in raw]
-        copied = {d for d, _ in copies}
-        self.copy = [d in copied and (d, hashlib.sha256(r).hexdigest()) in copies for d, r in zip(ids, raw, strict=True)]
-        part = [i for i, (d, w) in enumerate(zip(ids, self.words, strict=True)) if d is not None and not self.copy[i] and len(w) >= window]
-        numbers = np.array([vocabulary[w] for i in part for w in self.words[i]], np.int64)
-        sizes = np.array([len(self.words[i]) for i in part], np.int64)
-        h = vocabulary.hashes()
-        ends = np.cumsum(sizes)
-        doc = np.repeat(np.arange(len(part)), sizes)
-        first = np.arange(len(numbers)) - np.repeat(ends - sizes, sizes)
-        valid = np.flatnonzero(first + window <= np.repeat(sizes, sizes))
+    """A coded chunk's documents and windows. A window's hash, document and first word stand at one index."""
+
+    def __init__(self, row: dict, window: int = WINDOW):
+        self.ids, self.known, self.sizes = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["known"], bool), _from_planes(row["sizes"])
+        self.numbers, self.window = _from_planes(row["numbers"]), window
+        ends = np.cumsum(_from_planes(row["lengths"])).tolist()
+        self.words = [row["words"][a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        valid = np.where(self.known, np.maximum(self.sizes - window + 1, 0), 0)
+        self.doc = np.repeat(np.arange(len(self.ids)), valid)
+        self.first = np.arange(len(self.doc)) - np.repeat(np.cumsum(valid) - valid, valid) + self.starts[self.doc]
+
+    @cached_property
+    def word_hashes(self) -> np.ndarray:
+        return np.frombuffer(b"".join([hashlib.blake2b(w, digest_size=16).digest() for w in self.words]), np.uint64).reshape(-1, 2)
+
+    def hashes(self, k: int, of: np.ndarray | None = None) -> np.ndarray:
+        """The k-th 64-bit hash of each window, or of some."""
+        first = self.first if of is None else self.first[of]
+        if not len(first):
+            return np.zeros(0, np.uint64)
         with np.errstate(over="ignore"):
-            self.h1, self.h2 = ((_mix(_rolled(h[numbers, k], m, window)) if len(numbers) else np.zeros(0, np.uint64)) for k, m in ((0, _M1), (1, _M2)))
-        self.h1, self.h2 = self.h1[valid], self.h2[valid]
-        self.doc = np.array([ids[i] for i in part], np.int64)[doc[valid]] if part else np.zeros(0, np.int64)
-        self.row = np.array(part, np.int64)[doc[valid]] if part else np.zeros(0, np.int64)
-        self.first = first[valid]
-
-    def sketch(self, segments: int):
-        """The distinct cells in order, whether two ids share each, and each window's cell index."""
-        cell = (self.h1 % np.uint64(segments * CELLS)).astype(np.int64)
-        order = np.lexsort((self.doc, cell))
-        c, d = cell[order], self.doc[order]
-        new = np.ones(len(c), bool)
-        new[1:] = c[1:] != c[:-1]
-        number = np.cumsum(new) - 1
-        shared = np.zeros(int(new.sum()), bool)
-        shared[number[1:][(d[1:] != d[:-1]) & ~new[1:]]] = True
-        index = np.empty(len(c), np.int64)
-        index[order] = number
-        return c[new], shared, index
-
-    def repeated(self, marks: np.ndarray, index: np.ndarray):
-        """Of the windows on marked cells: their places, and the distinct ones in order with their smallest id and each window's index."""
-        at = np.flatnonzero(marks[index]) if len(index) else np.zeros(0, np.int64)
-        h1, h2, d = self.h1[at], self.h2[at], self.doc[at]
-        order = np.lexsort((d, h2, h1))
-        a, b = h1[order], h2[order]
-        new = np.ones(len(a), bool)
-        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        index = np.empty(len(a), np.int64)
-        index[order] = np.cumsum(new) - 1
-        return at, a[new], b[new], d[order][new], index
-
-    def results(self, flagged: np.ndarray, window: int = WINDOW):
+            return _mix(_rolled(self.word_hashes[self.numbers, k], (_M1, _M2)[k], self.window)[first])
+
+    def results(self, flagged: np.ndarray, keep_text: bool) -> dict:
         """Per document: number of words, number removed, kept words' hash."""
-        rows, firsts = self.row[flagged], self.first[flagged]
-        order = np.argsort(rows, kind="stable")
-        rows, firsts = rows[order], firsts[order]
-        of = {}
-        if len(rows):
-            cut = np.flatnonzero(np.diff(rows)) + 1
-            of = dict(zip(rows[np.r_[0, cut]].tolist(), np.split(firsts, cut), strict=True))
-        out = []
-        for i, (d, words) in enumerate(zip(self.ids, self.words, strict=True)):
-            n = kept = len(words)
-            left = words
-            if self.copy[i] and n >= window:
-                left, kept = [], 0
-            elif i in of:
-                step = np.zeros(n + 1, np.int32)
-                np.add.at(step, of[i], 1)
-                np.add.at(step, of[i] + window, -1)
-                keep = np.cumsum(step[:n]) == 0
-                left = [w for w, k in zip(words, keep.tolist(), strict=True) if k]
-                kept = len(left)
-            out.append((d, n, n - kept, b" ".join(left)))
-        return out
-
-
-def _pack(values: np.ndarray) -> bytes:
-    """Ascending numbers below 2**32 as differences, byte plane by byte plane, so that shuffle compression sees the zeros."""
-    return np.ascontiguousarray(np.diff(values, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
-
-
-def _unpack(data: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4")[:, 0].astype(np.int64))
-
-
-MESSAGE = "chunk int, kind int, seg int, doc long, payload binary"
-TO_SEGMENT = "seg int, chunk int, payload binary"
+        step = np.zeros(len(self.numbers) + 1, np.int64)
+        np.add.at(step, self.first[flagged], 1)
+        np.add.at(step, self.first[flagged] + self.window, -1)
+        keep = np.cumsum(step[:-1]) == 0
+        before = np.r_[0, np.cumsum(keep)]
+        kept = before[self.starts + self.sizes] - before[self.starts]
+        sha, texts, words = [], [], self.words
+        for a, n in zip(self.starts.tolist(), self.sizes.tolist(), strict=True):
+            left = b" ".join([words[i] for i in self.numbers[a : a + n][keep[a : a + n]].tolist()])
+            sha.append(hashlib.sha256(left).hexdigest())
+            texts.append(left.decode("utf-8", "surrogatepass") if keep_text else None)
+        ids = [d if k else None for d, k in zip(self.ids.tolist(), self.known.tolist(), strict=True)]
+        return {"doc_id": ids, "n_words": self.sizes, "n_removed": self.sizes - kept, "kept_sha256": sha, "kept": texts}
+
+
+class Sketch:
+    """The range of window hashes in `segments` parts, each with two rows of `width` counters (a power of two)."""
+
+    def __init__(self, segments: int, width: int):
+        self.segments, self.width = segments, width
+
+    def segment(self, h: np.ndarray) -> np.ndarray:
+        return ((h >> np.uint64(32)) % np.uint64(self.segments)).astype(np.int64)
+
+    def cells(self, h: np.ndarray, row: int) -> np.ndarray:
+        """Each window's counter in a row, numbered through all segments."""
+        low = (h * np.uint64(0xD6E8FEB86659FD93 if row else 1)) >> np.uint64(20 if row else 0)
+        return self.segment(h) * self.width + (low & np.uint64(self.width - 1)).astype(np.int64)
+
+
+def counted(cells: np.ndarray):
+    """The counters that are not zero, in order, whether each is 2 or more, and each window's index among them."""
+    order = np.argsort(cells, kind="stable")
+    c = cells[order]
+    new = np.ones(len(c), bool)
+    new[1:] = c[1:] != c[:-1]
+    index = np.empty(len(c), np.int64)
+    index[order] = np.cumsum(new) - 1
+    at = np.flatnonzero(new)
+    return c[at], np.diff(at, append=len(c)) > 1, index
+
+
+MESSAGE = "chunk long, kind int, seg int, payload binary"
+TO_SEGMENT = "seg int, chunk long, payload binary"
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
+_ARROW = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
 
 
-_ARROW = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+def _schema(text: str) -> pa.Schema:
+    return pa.schema([(n, _ARROW[t]) for n, t in (f.split() for f in text.split(", "))])
+
+
+def _rows(rows: list[tuple], schema: str) -> pa.Table:
+    arrow = _schema(schema)
+    return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow)], schema=arrow)
+
+
+def _by_segment(cells: np.ndarray, width: int):
+    """(segment, from, to) of the segments that have counters."""
+    if not len(cells):
+        return
+    seg = cells // width
+    cut = np.flatnonzero(np.diff(seg)) + 1
+    for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(seg)], strict=True):
+        yield int(seg[a]), a, b
 
 
-def _table(columns: dict, schema: str) -> pa.Table:
-    return pa.table(columns, schema=pa.schema([(n, _ARROW[t]) for n, t in (f.split() for f in schema.split(", "))]))
+def _counters(cells: np.ndarray, many: np.ndarray) -> bytes:
+    """Counters of one segment's row: differences of their places, and a bit each for "2 or more"."""
+    return np.uint32(len(cells)).tobytes() + _planes(np.diff(cells, prepend=0)) + np.packbits(many).tobytes()
 
 
-def _slices(cells: np.ndarray, segments: int):
-    """(segment, from, to) of the segments that have cells."""
-    bounds = np.searchsorted(cells, np.arange(segments + 1) * CELLS)
-    for s in np.flatnonzero(np.diff(bounds)).tolist():
-        yield s, int(bounds[s]), int(bounds[s + 1])
+def _read_counters(data: bytes, at: int) -> tuple[np.ndarray, np.ndarray, int]:
+    n = int.from_bytes(data[at : at + 4], "little")
+    end = at + 4 + 4 * n
+    stop = end + -(-n // 8)
+    return np.cumsum(_from_planes(data[at + 4 : end])), np.unpackbits(np.frombuffer(data[end:stop], np.uint8), count=n), stop
 
 
-def _mail(right: pa.Table):
-    """The copies' ids and hashes, and the payloads by segment of the two kinds of answers."""
-    kinds, segs, docs, loads = (right.column(c).to_pylist() for c in ("kind", "seg", "doc", "payload"))
-    return {(d, p.decode()) for k, d, p in zip(kinds, docs, loads, strict=True) if k == 0}, *({s: p for k, s, p in zip(kinds, segs, loads, strict=True) if k == n} for n in (1, 2))
+def _bits(marks: np.ndarray) -> bytes:
+    return np.packbits(marks).tobytes()
 
 
-def _open(left: pa.Table, right: pa.Table, window: int):
-    copies, bits, least = _mail(right)
-    return Chunk(left.column("doc_id").to_pylist(), left.column("text").to_pylist(), copies, window), bits, least
+def _distinct(h1: np.ndarray, h2: np.ndarray, d: np.ndarray):
+    """The distinct pairs of hashes in order, the smallest id of each, and each one's index."""
+    order = np.lexsort((d, h2, h1))
+    a, b = h1[order], h2[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    index = np.empty(len(a), np.int64)
+    index[order] = np.cumsum(new) - 1
+    return a[new], b[new], d[order][new], index
 
 
-def _marks(cells: np.ndarray, bits: dict[int, bytes], segments: int) -> np.ndarray:
-    marks = np.zeros(len(cells), bool)
-    for s, a, b in _slices(cells, segments):
-        marks[a:b] = np.unpackbits(np.frombuffer(bits[s], np.uint8), count=b - a).astype(bool)
-    return marks
+def coded(docs: DataFrame, window: int, chunk_bytes: int) -> DataFrame:
+    """The documents (`doc_id`, `text`) in coded chunks; a longer document is a chunk of its own."""
+    schema = _schema(CODED)
 
+    def work(batches):
+        part, n, ids, texts, size = TaskContext.get().partitionId(), 0, [], [], 0
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, keep_text: bool = True) -> DataFrame:
+        def out():
+            row = {"chunk": (part << 32) + n} | code(ids, texts, window)
+            return pa.RecordBatch.from_pylist([row], schema=schema)
+
+        for b in slices(batches):
+            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                ids.append(d)
+                texts.append(t)
+                size += len(t or "") + 16
+                if size >= chunk_bytes:
+                    yield out()
+                    n, ids, texts, size = n + 1, [], [], 0
+        if ids:
+            yield out()
+
+    return docs.mapInArrow(work, CODED)
+
+
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, keep_text: bool = True, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Per document: `doc_id`, `n_words`, `n_removed`, `kept_sha256` and the `kept` words (null unless `keep_text`)."""
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = segments = max(LEAST_CHUNKS, -(-size // CHUNK_BYTES))
-    chunk_of = F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int")
-    dealt = docs.withColumn("chunk", chunk_of)
-
-    hashed = docs.where("doc_id is not null").select("doc_id", F.sha2("text", 256).alias("h")).where("h is not null")
-    # joined by a key that nothing is dealt by yet, so that a hot text's rows can be split
-    mark = F.concat("h", F.lit("-")).alias("k")
-    firsts = hashed.groupBy("h").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").select(mark, "least")
-    copies = hashed.select("doc_id", "h", mark).join(firsts, "k").where("doc_id > least").select(chunk_of.alias("chunk"), F.lit(0).alias("kind"), F.lit(0).alias("seg"), F.col("doc_id").alias("doc"), F.col("h").cast("binary").alias("payload"))
-
-    def ask(left: pa.Table, right: pa.Table) -> pa.Table:
-        c, _, _ = _open(left, right, window)
-        cells, shared, _ = c.sketch(segments)
-        chunk = left.column("chunk")[0].as_py() if len(left) else 0
-        rows = [(s, chunk, np.uint32(b - a).tobytes() + _pack(cells[a:b] - s * CELLS) + np.packbits(shared[a:b]).tobytes()) for s, a, b in _slices(cells, segments)]
-        return _table(dict(zip(("seg", "chunk", "payload"), map(list, zip(*rows, strict=True)), strict=True)) if rows else {"seg": [], "chunk": [], "payload": []}, TO_SEGMENT)
+    chunks = written(coded(docs, window, chunk_bytes))
+    n_chunks, n_windows = chunks.agg(F.count("*"), F.coalesce(F.sum("windows"), F.lit(0))).first()
+    segments = max(1, min(-(-n_windows // SEGMENT_WINDOWS), n_windows // (PER_MESSAGE * max(1, n_chunks))))
+    sketch = Sketch(segments, 1 << max(4, (LOAD * -(-n_windows // segments) - 1).bit_length()))
+    width = sketch.width
+
+    def count(batches):
+        """Each chunk's own sketch, by segment."""
+        for batch in batches:
+            for i in range(batch.num_rows):  # one chunk at a time in memory
+                (row,) = batch.slice(i, 1).to_pylist()
+                h = Chunk(row, window).hashes(0)
+                loads: dict[int, list[bytes]] = {}
+                for k in (0, 1):
+                    cells, many, _ = counted(sketch.cells(h, k))
+                    for s, a, b in _by_segment(cells, width):
+                        loads.setdefault(s, []).append(_counters(cells[a:b] - s * width, many[a:b]))
+                yield from _rows([(s, row["chunk"], b"".join(x)) for s, x in loads.items()], TO_SEGMENT).to_batches(1024)
 
     def merge(table: pa.Table) -> pa.Table:
+        """The segment's counters are sums of the chunks'; each chunk learns which of its own came to 2 or more."""
         loads = table.column("payload").to_pylist()
-        sizes = [int.from_bytes(p[:4], "little") for p in loads]
-        cells = np.concatenate([_unpack(p[4 : 4 + 4 * n]) for p, n in zip(loads, sizes, strict=True)])
-        shared = np.concatenate([np.unpackbits(np.frombuffer(p, np.uint8, offset=4 + 4 * n), count=n) for p, n in zip(loads, sizes, strict=True)])
-        order = np.argsort(cells, kind="stable")
-        c = cells[order]
-        same = np.zeros(len(c) + 1, bool)
-        same[1:-1] = c[1:] == c[:-1]
-        number = np.cumsum(~same[:-1]) - 1
-        many = np.bincount(number, (same[:-1] | same[1:]) | shared[order].astype(bool)) > 0
-        marks = np.empty(len(c), bool)
-        marks[order] = many[number]
-        answers = [np.packbits(m).tobytes() for m in np.split(marks, np.cumsum(sizes)[:-1])]
-        n = len(answers)
-        return _table({"chunk": table.column("chunk").to_pylist(), "kind": [1] * n, "seg": table.column("seg").to_pylist(), "doc": [None] * n, "payload": answers}, MESSAGE)
+        answers, ends = [b""] * len(loads), [0] * len(loads)
+        for _ in (0, 1):
+            counters, sent = np.zeros(width, np.uint8), []
+            for i, p in enumerate(loads):
+                cells, many, ends[i] = _read_counters(p, ends[i])
+                counters[cells] = np.minimum(counters[cells] + 1 + many, 2)  # a chunk's cells are distinct
+                sent.append(cells)
+            answers = [x + _bits(counters[c] > 1) for x, c in zip(answers, sent, strict=True)]
+        return _rows([(c, 1, s, x) for c, s, x in zip(table.column("chunk").to_pylist(), table.column("seg").to_pylist(), answers, strict=True)], MESSAGE)
 
     def candidates(left: pa.Table, right: pa.Table) -> pa.Table:
-        c, bits, _ = _open(left, right, window)
-        cells, _, index = c.sketch(segments)
-        _, a, b, least, _ = c.repeated(_marks(cells, bits, segments), index)
-        chunk = left.column("chunk")[0].as_py() if len(left) else 0
-        seg = (a % np.uint64(segments * CELLS)).astype(np.int64) // CELLS
+        """To each segment the windows estimated to be repeated; to the chunk itself, as kind 2, where they stand."""
+        if not len(left):
+            return _rows([], MESSAGE)
+        (row,) = left.to_pylist()
+        c, bits = Chunk(row, window), dict(zip(right.column("seg").to_pylist(), right.column("payload").to_pylist(), strict=True))
+        h = c.hashes(0)
+        repeated, at = np.ones(len(h), bool), dict.fromkeys(bits, 0)
+        for k in (0, 1):
+            cells, _, index = counted(sketch.cells(h, k))
+            marks = np.zeros(len(cells), bool)
+            for s, a, b in _by_segment(cells, width):
+                n = -(-(b - a) // 8)
+                marks[a:b] = np.unpackbits(np.frombuffer(bits[s][at[s] : at[s] + n], np.uint8), count=b - a)
+                at[s] += n
+            repeated &= marks[index]
+        of = np.flatnonzero(repeated)
+        a, b, low, index = _distinct(h[of], c.hashes(1, of), c.ids[c.doc[of]])
+        seg = sketch.segment(a)
         order = np.argsort(seg, kind="stable")
-        bounds = np.searchsorted(seg[order], np.arange(segments + 1))
-        rows = []
-        for s in np.flatnonzero(np.diff(bounds)).tolist():
-            o = order[bounds[s] : bounds[s + 1]]
-            rows.append((s, chunk, a[o].tobytes() + b[o].tobytes() + least[o].tobytes()))
-        return _table(dict(zip(("seg", "chunk", "payload"), map(list, zip(*rows, strict=True)), strict=True)) if rows else {"seg": [], "chunk": [], "payload": []}, TO_SEGMENT)
+        a, b, low, seg = a[order], b[order], low[order], seg[order]
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        rows = [(row["chunk"], 1, s, a[i:j].tobytes() + b[i:j].tobytes() + low[i:j].tobytes()) for s, i, j in _by_segment(seg, 1)]
+        return _rows([*rows, (row["chunk"], 2, -1, _planes(of) + _planes(place[index]))], MESSAGE)
 
     def group(table: pa.Table) -> pa.Table:
+        """The smallest id of each window of the segment, exactly."""
         loads = [np.frombuffer(p, np.uint64).reshape(3, -1) for p in table.column("payload").to_pylist()]
         a, b, d = (np.concatenate([x[k] for x in loads]) for k in range(3))
-        d = d.view(np.int64)
-        order = np.lexsort((d, b, a))
-        new = np.ones(len(a), bool)
-        x, y = a[order], b[order]
-        new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-        least = np.empty(len(a), np.int64)
-        least[order] = d[order][new][np.cumsum(new) - 1]
-        answers = [m.tobytes() for m in np.split(least, np.cumsum([x.shape[1] for x in loads])[:-1])]
-        n = len(answers)
-        return _table({"chunk": table.column("chunk").to_pylist(), "kind": [2] * n, "seg": table.column("seg").to_pylist(), "doc": [None] * n, "payload": answers}, MESSAGE)
+        _, _, low, index = _distinct(a, b, d.view(np.int64))
+        answers = np.split(low[index], np.cumsum([x.shape[1] for x in loads])[:-1])
+        return _rows([(c, 1, s, x.tobytes()) for c, s, x in zip(table.column("chunk").to_pylist(), table.column("seg").to_pylist(), answers, strict=True)], MESSAGE)
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        c, bits, answers = _open(left, right, window)
-        cells, _, index = c.sketch(segments)
-        at, a, _, _, which = c.repeated(_marks(cells, bits, segments), index)
-        seg = (a % np.uint64(segments * CELLS)).astype(np.int64) // CELLS
-        order = np.argsort(seg, kind="stable")
-        least = np.empty(len(a), np.int64)
-        if len(a):
-            least[order] = np.concatenate([np.frombuffer(answers[s], np.int64) for s in np.unique(seg).tolist()])
-        flagged = at[least[which] < c.doc[at]] if len(at) else at
-        rows = c.results(flagged, window)
-        text = [r[3].decode("utf-8", "surrogatepass") for r in rows] if keep_text else [None] * len(rows)
-        return _table({"doc_id": [r[0] for r in rows], "n_words": [r[1] for r in rows], "n_removed": [r[2] for r in rows], "kept_sha256": [hashlib.sha256(r[3]).hexdigest() for r in rows], "kept": text}, RESULT)
-
-    by_chunk = lambda mail: dealt.groupBy("chunk").cogroup(mail.groupBy("chunk"))
-    sketches = by_chunk(copies).applyInArrow(ask, TO_SEGMENT)
-    bits = sketches.groupBy("seg").applyInArrow(merge, MESSAGE)
-    windows = by_chunk(copies.unionByName(bits)).applyInArrow(candidates, TO_SEGMENT)
-    least = windows.groupBy("seg").applyInArrow(group, MESSAGE)
-    return by_chunk(copies.unionByName(bits).unionByName(least)).applyInArrow(finish, RESULT)
+        if not len(left):
+            return _rows([], RESULT)
+        c = Chunk(left.to_pylist()[0], window)
+        mail = sorted(zip(*(right.column(n).to_pylist() for n in ("kind", "seg", "payload")), strict=True), key=lambda m: m[:2])
+        places = [p for kind, _, p in mail if kind == 2]
+        flagged = np.zeros(0, np.int64)
+        if places and places[0]:
+            of, index = _from_planes(places[0][: len(places[0]) // 2]), _from_planes(places[0][len(places[0]) // 2 :])
+            low = np.concatenate([np.frombuffer(p, np.int64) for kind, _, p in mail if kind == 1])
+            flagged = of[low[index] < c.ids[c.doc[of]]]
+        arrow = _schema(RESULT)
+        out = c.results(flagged, keep_text)
+        return pa.table([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+
+    table = chunks.drop("windows")
+    by_chunk = lambda mail: table.groupBy("chunk").cogroup(mail.groupBy("chunk"))
+    bits = table.mapInArrow(count, TO_SEGMENT).groupBy("seg").applyInArrow(merge, MESSAGE)
+    found = written(by_chunk(bits).applyInArrow(candidates, MESSAGE))
+    least = found.where("kind = 1").select("seg", "chunk", "payload").groupBy("seg").applyInArrow(group, MESSAGE)
+    return by_chunk(found.where("kind = 2").unionByName(least)).applyInArrow(finish, RESULT)
 
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:

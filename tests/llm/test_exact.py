@@ -162,10 +162,45 @@ def test_substring_dedup_is_brute_force(spark):
     assert substring_dedup.dedup(docs(spark, [])).count() == 0
 
 
-def test_shared_cells_lose_nothing(spark, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "CELLS", 1)  # every window is estimated repeated
-    got = sorted([tuple(r) for r in substring_dedup.dedup(docs(spark, EDGES)).collect()], key=str)
-    assert got == brute_windows(EDGES)
+def test_shared_counters_lose_nothing(spark, monkeypatch):
+    """Many chunks and segments, and sixteen counters a row, so that nearly every window is estimated to be repeated."""
+    monkeypatch.setattr(substring_dedup, "LOAD", 0)
+    monkeypatch.setattr(substring_dedup, "SEGMENT_WINDOWS", 7)
+    monkeypatch.setattr(substring_dedup, "PER_MESSAGE", 1)
+    rows = EDGES + [(20 + i, " ".join(f"v{j}" for j in range(i, i + 40))) for i in range(30)]
+    got = sorted([tuple(r) for r in substring_dedup.dedup(docs(spark, rows), chunk_bytes=300).collect()], key=str)
+    assert got == brute_windows(rows)
+
+
+def test_sketches_add_up_to_overestimates():
+    """A segment's counters from all chunks are never below the counts of its windows, and few windows that occur once look repeated."""
+    rng = np.random.default_rng(4)
+    sketch = substring_dedup.Sketch(3, 1 << 16)
+    chunks = [rng.integers(0, 2**64, 4000, dtype=np.uint64) for _ in range(5)]
+    chunks[3][:50] = chunks[0][:50]
+    chunks[4][7:9] = chunks[4][5]
+    h = np.concatenate(chunks)
+    low = np.full(len(h), 2)
+    for row in (0, 1):
+        counters = np.zeros(3 << 16, int)
+        for c in chunks:
+            cells, many, index = substring_dedup.counted(sketch.cells(c, row))
+            assert (cells[index] == sketch.cells(c, row)).all()
+            for s, a, b in substring_dedup._by_segment(cells, sketch.width):
+                load = substring_dedup._counters(cells[a:b] - s * sketch.width, many[a:b])
+                places, twice, end = substring_dedup._read_counters(load, 0)
+                assert end == len(load)
+                counters[places + s * sketch.width] += 1 + twice
+        low = np.minimum(low, counters[sketch.cells(h, row)])
+    _, of, n = np.unique(h, return_inverse=True, return_counts=True)
+    assert (low >= np.minimum(n[of], 2)).all() and (low[n[of] == 1] > 1).mean() < 0.03
+
+
+def test_messages_grow_no_faster_than_the_corpus():
+    for n in (10**6, 10**9, 10**12, 10**15):
+        chunks = -(-n // (1 << 20))
+        segments = max(1, min(-(-n // substring_dedup.SEGMENT_WINDOWS), n // (substring_dedup.PER_MESSAGE * chunks)))
+        assert chunks * segments <= max(chunks, n // substring_dedup.PER_MESSAGE)
 
 
 def test_rolled_hash_is_a_polynomial():
