@@ -1,16 +1,30 @@
 """Exact top-k inner-product search with dual cover trees.
 
-Queries and data are dealt to blocks by seeded hashes; each pair of a query
-block and a data block is one group, so every query meets every row once and
-no task holds more than two blocks. In a group both sides get a cover tree:
-nested centres, each level covering its points within `SHRINK` times the
-radius above and keeping its centres further apart than that. A pair of nodes
+1. At most `PIVOTS` rows, chosen by a seeded hash, are pivots. Every row goes to
+   the data block of its nearest pivot; a pivot of too many rows (a hot vector, a
+   dense cluster) has several blocks, dealt by a hash. Rows of a length that no
+   pivot has are dealt by a hash alone.
+2. Each block builds its cover tree once, and answers the queries that are at home
+   in it, which gives each query a first k-th score. Trees and answers are written.
+3. Only a block's centre, radius and norm go to all tasks (at most `MOST_BLOCKS`
+   times two, plus the pivots, of them). Each query goes on to those blocks alone
+   whose bound reaches its k-th score, best bound first in each block. Data is
+   moved twice, queries once per block that may hold an answer.
+4. The best k of all blocks are merged per query.
+
+A tree's levels are nested: a node's centre is its first child's, and further
+children are the points farthest from all centres so far, at most `FANOUT`; each
+point belongs to its nearest centre. So centres are further apart than the radius
+that covers their points. In a block both sides have a tree, and a pair of nodes
 is dropped when no product between them can reach the worst k-th score of the
 query node's queries: q.p <= cq.cp + |cq| rp + |cp| rq + rq rp for centres c and
 covering radii r. Equal bounds are not dropped, so ties go to the smaller id.
-The best k of all groups are merged per query.
+Dealing rows to pivots and building the trees take at most a quarter each of the
+products between the rows and all queries, so where nothing can be pruned the
+whole search takes at most about one and a half times what brute force does.
 
-Components are integers, floor(scale * x); products are exact.
+Components are integers, floor(scale * x); products are exact, and scores beyond a
+long are cut to the nearest long.
 
 Defined results: vectors that are null, empty, or hold null or non-finite
 components take no part; vectors meet only those of their own length; a query
@@ -21,87 +35,116 @@ repeated rows are candidates each; fewer than k candidates give fewer rows.
 from __future__ import annotations
 
 import heapq
+import io
+import math
+import sys
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioflow.llm._tables import written
+
 SCALE = 1024
 K = 10
-QUERY_BLOCK = 2048
 DATA_BLOCK = 8192
-LEAF = 96
+PIVOTS = 256
+MOST_BLOCKS = 16_384
+LEAF = 256
 QUERY_LEAF = 8
-SHRINK = 0.7
+FANOUT = 5
+LONG = 2**63
 
 
 class CoverTree:
-    """Points ordered so that every node is a range; leaves hold at most `leaf` points, or any number of equal ones."""
-
-    def __init__(self, points: np.ndarray, leaf: int = LEAF):
-        self.points = points
-        self.order = np.arange(len(points))
-        self.lo: list[int] = []
-        self.hi: list[int] = []
-        self.radius: list[float] = []
-        self.centre: list[int] = []
-        self.children: list[list[int]] = []
-        todo = [(0, len(points), 0, -1)] if len(points) else []
+    """Points ordered so that every node is a range; leaves hold at most `leaf` points, or any number of equal ones.
+
+    At most `distances` distances per point are taken to build it. `taken` counts them.
+    """
+
+    def __init__(self, points: np.ndarray, leaf: int = LEAF, distances: float = float("inf")):
+        self.order, self.taken = np.arange(len(points)), 0
+        lo, hi, radius, centre, children = [], [], [], [], []
+        todo = [(0, len(points), 0, -1, None, 0)] if len(points) else []
         while todo:
-            lo, hi, centre, parent = todo.pop()
-            node = len(self.lo)
+            a, b, own_centre, parent, away, spent = todo.pop()
+            node = len(lo)
             if parent >= 0:
-                self.children[parent].append(node)
-            own = self.order[lo:hi]
-            away = self._away(own, centre)
-            radius = float(away.max())
-            self.lo.append(lo), self.hi.append(hi), self.radius.append(radius), self.centre.append(centre), self.children.append([])
-            if hi - lo <= leaf or radius == 0:
+                children[parent].append(node)
+            own = self.order[a:b]
+            if away is None:
+                away, spent = self._away(points, own, own_centre), spent + 1
+            lo.append(a), hi.append(b), radius.append(float(away.max())), centre.append(own_centre), children.append([])
+            if b - a <= leaf or radius[-1] == 0 or spent + FANOUT - 1 > distances:
                 continue
-            near, which, centres = away, np.zeros(len(own), int), [centre]
-            while (far := float(near.max())) > SHRINK * radius:
+            near, which, centres = away, np.zeros(b - a, int), [own_centre]
+            while len(centres) < FANOUT and near.max() > 0:
                 centres.append(int(own[near.argmax()]))
-                d = self._away(own, centres[-1])
+                d = self._away(points, own, centres[-1])
                 closer = d < near
                 near = np.where(closer, d, near)
                 which[closer] = len(centres) - 1
-                del far
             by = np.argsort(which, kind="stable")
-            self.order[lo:hi] = own[by]
-            ends = lo + np.cumsum(np.bincount(which, minlength=len(centres)))
+            self.order[a:b] = own[by]
+            near, ends = near[by], np.cumsum(np.bincount(which, minlength=len(centres)))
             for i, c in enumerate(centres):
-                start = lo if i == 0 else int(ends[i - 1])
-                if ends[i] > start:
-                    todo.append((start, int(ends[i]), c, node))
-        self.points = points[self.order]
-        self.c = points[self.centre] if self.centre else points
+                start = int(ends[i - 1]) if i else 0
+                if ends[i] > start:  # distances to a child's centre are known already
+                    todo.append((a + start, a + int(ends[i]), c, node, near[start : ends[i]], spent + len(centres) - 1))
+        self.lo, self.hi, self.children = np.array(lo, int), np.array(hi, int), children
+        self.points, self.r = points[self.order], np.array(radius)
+        self.c = points[centre] if centre else points
         self.norm = np.sqrt((self.c**2).sum(1))
-        self.r = np.array(self.radius)
 
-    def _away(self, own: np.ndarray, centre: int) -> np.ndarray:
-        d = self.points[own] - self.points[centre]
-        return np.sqrt((d * d).sum(1))
+    def _away(self, points: np.ndarray, own: np.ndarray, centre: int) -> np.ndarray:
+        self.taken += len(own)
+        d = points[own] - points[centre]
+        return np.sqrt(np.einsum("ij,ij->i", d, d))
+
+    def dump(self) -> bytes:
+        out = io.BytesIO()
+        parents = np.full(len(self.lo), -1)
+        for n, kids in enumerate(self.children):
+            parents[kids] = n
+        np.savez(out, lo=self.lo, hi=self.hi, parents=parents, points=self.points, r=self.r, c=self.c, norm=self.norm, taken=self.taken)
+        return out.getvalue()
+
+    @classmethod
+    def load(cls, data: bytes) -> CoverTree:
+        tree = cls.__new__(cls)
+        with np.load(io.BytesIO(data)) as z:
+            tree.__dict__.update({n: z[n] for n in z.files})
+        tree.children = [[] for _ in tree.lo]
+        for n, parent in enumerate(tree.parents.tolist()):
+            if parent >= 0:
+                tree.children[parent].append(n)
+        return tree
 
 
 def _products(a: np.ndarray, b: np.ndarray, wide: bool) -> np.ndarray:
-    return a.astype(np.int64).astype(object) @ b.astype(np.int64).astype(object).T if wide else a @ b.T
+    if not wide:
+        return a @ b.T
+    whole = lambda x: np.array([[int(v) for v in row] for row in x], object).reshape(x.shape)
+    return whole(a) @ whole(b).T
+
 
+def dual_search(queries: np.ndarray, query_ids: np.ndarray, td: CoverTree, data_ids: np.ndarray, k: int, floor: np.ndarray | None = None) -> tuple[list[list[tuple]], int]:
+    """For each query its best (score, id) pairs that reach its `floor`, best first, and how many distances and products were taken.
 
-def dual_search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_ids: np.ndarray, k: int) -> tuple[list[list[tuple]], int]:
-    """For each query its best (score, id) pairs, best first, and how many products were taken."""
-    tq, td = CoverTree(queries, QUERY_LEAF), CoverTree(data)
-    qid, did = query_ids[tq.order], data_ids[td.order]
+    `data_ids` stand in the tree's order.
+    """
+    tq = CoverTree(queries, QUERY_LEAF)
+    qid, did = query_ids[tq.order], data_ids
     best: list[list[tuple]] = [[] for _ in qid]
-    worst = np.full(len(qid), -np.inf)
+    worst = np.full(len(qid), -np.inf) if floor is None else floor[tq.order].astype(float)
     # beyond 2**53 doubles don't hold every integer
-    wide = len(data) > 0 and len(queries) > 0 and float(np.abs(queries).max()) * float(np.abs(data).max()) * queries.shape[1] >= 2**53
-    taken = 0
+    wide = len(did) > 0 and len(queries) > 0 and float(np.abs(queries).max()) * float(np.abs(td.points).max()) * queries.shape[1] >= 2**53
+    taken = tq.taken
 
     def reach(q: int, nodes: list[int]) -> np.ndarray:
         c, norm, r = td.c[nodes], td.norm[nodes], td.r[nodes]
-        bound = c @ tq.c[q] + tq.norm[q] * r + norm * tq.r[q] + tq.r[q] * r
-        return bound + np.abs(bound) * 1e-9 + 1e-3
+        return _bound(c @ tq.c[q], tq.norm[q], tq.r[q], norm, r)
 
     # best bound first: a query group meets its most promising data before all else
     heap = [(-float(reach(0, [0])[0]), 0, 0)] if len(qid) and len(did) else []
@@ -121,7 +164,7 @@ def dual_search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, da
                 merged.sort(key=lambda e: (-e[0], e[1]))
                 best[a + i] = merged[:k]
                 if len(merged) >= k:
-                    worst[a + i] = best[a + i][-1][0]
+                    worst[a + i] = max(worst[a + i], float(best[a + i][-1][0]))
             continue
         if td.children[d] and (not tq.children[q] or td.r[d] >= tq.r[q]):
             nodes = td.children[d]
@@ -136,37 +179,136 @@ def dual_search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, da
     return out, taken
 
 
-_FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+def _bound(products, q_norm, q_radius, norm, radius):
+    """No product of points in the two balls is above this, rounding included."""
+    bound = products + q_norm * radius + norm * q_radius + q_radius * radius
+    return bound + np.abs(bound) * 1e-9 + 1e-3
+
+
+def _points(t: pa.Table, scale: int) -> np.ndarray:
+    flat = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False) if len(t) else np.zeros(0)
+    return np.floor(scale * flat.astype(float)).reshape(len(t), -1) if len(t) else np.zeros((0, 0))
+
+
+_FOUND = ("query_id", "vec_id", "score", "exact")
+_ANSWER = "n int, block long, tree binary, ids binary, query_id long, vec_id long, score long, exact double"
+_TYPES = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64()}
+
+
+def _double(s: int) -> float:
+    """The score as a double, or the next below where doubles don't hold every integer."""
+    if abs(s) < 2**53:
+        return float(s)
+    try:
+        return math.nextafter(float(s), -math.inf)
+    except OverflowError:
+        return sys.float_info.max if s > 0 else -math.inf
+
 
+def _answers(rows: list[tuple], n: int = 0, block: int = 0, tree: bytes | None = None, ids: bytes | None = None) -> pa.Table:
+    """A block's tree, if any, and its (query, row, score) answers; scores beyond a long are cut."""
+    flat = [(n, block, tree, ids, None, None, None, None)] * (tree is not None) + [(n, block, None, None, q, i, max(-LONG, min(LONG - 1, s)), _double(s)) for q, i, s in rows]
+    schema = pa.schema([(c, _TYPES[t]) for c, t in (f.split() for f in _ANSWER.split(", "))])
+    return pa.table([pa.array([r[c] for r in flat], f.type) for c, f in enumerate(schema)], schema=schema)
 
-def top_k(df: DataFrame, key: str, vector: str, is_query, k: int = K, scale: int = SCALE, query_block: int = QUERY_BLOCK, data_block: int = DATA_BLOCK) -> DataFrame:
+
+def nearest(pivots: dict[int, tuple[np.ndarray, np.ndarray]], vectors: pa.Array, scale: int) -> np.ndarray:
+    """For each vector the number of the nearest pivot of its length; -1 if there is none."""
+    sizes, starts = np.diff(vectors.offsets.to_numpy()), vectors.offsets.to_numpy()[:-1]
+    flat, out = vectors.values.to_numpy(zero_copy_only=False), np.full(len(vectors), -1)
+    for n in np.unique(sizes).tolist():
+        if n in pivots:
+            at = np.flatnonzero(sizes == n)
+            numbers, points = pivots[n]
+            x = np.floor(scale * flat[starts[at][:, None] + np.arange(n)])
+            out[at] = numbers[((points * points).sum(1) - 2 * x @ points.T).argmin(1)]
+    return out
+
+
+def top_k(df: DataFrame, key: str, vector: str, is_query, k: int = K, scale: int = SCALE, data_block: int = DATA_BLOCK, n_pivots: int = PIVOTS) -> DataFrame:
     """`query_id`, `rank` (from 1), `vec_id` and `score` of the k best rows for every row that meets the condition `is_query`."""
     v = F.col("v")
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asked"))
-    rows = rows.where(v.isNotNull() & (F.size(v) > 0) & F.col("id").isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
-    rows = rows.withColumn("n", F.size(v))
-    asked = rows.where("asked").groupBy("id", "n").agg(F.min("v").alias("v"))
-    n_queries, n_rows = asked.count(), rows.count()
-    qs, ds = max(1, -(-n_queries // query_block)), max(1, -(-n_rows // data_block))
-    block = lambda seed, n: F.pmod(F.xxhash64("id", "v", F.lit(seed)), F.lit(n)).cast("int")
-    data = rows.select("id", "v", "n", block(1, ds).alias("d"), F.explode(F.sequence(F.lit(0), F.lit(qs - 1))).alias("q"))
-    queries = asked.select("id", "v", "n", block(2, qs).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(ds - 1))).alias("d"))
-
-    def side(t: pa.Table):
-        flat = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False) if len(t) else np.zeros(0)
-        return t.column("id").to_numpy(), np.floor(scale * flat).reshape(len(t), -1)
+    rows = rows.where(v.isNotNull() & (F.size(v) > 0) & F.col("id").isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x * scale) < float("inf"))))
+    n_rows, n_asked = rows.agg(F.count("*"), F.count_distinct(F.when(F.col("asked"), F.col("id")))).first()
+    blocks = max(1, min(MOST_BLOCKS, -(-n_rows // data_block)))
+
+    chosen: dict[int, list] = {}  # at most `n_pivots` vectors come to the driver
+    some = rows.orderBy(F.xxhash64("id", "v", F.lit(3)), "id", "v").limit(max(1, min(n_pivots, blocks, n_asked // 4))).select("v").collect()
+    for number, p in enumerate(dict.fromkeys(tuple(r["v"]) for r in some)):
+        chosen.setdefault(len(p), []).append((number, p))
+    pivots = {n: (np.array([i for i, _ in some]), np.floor(scale * np.array([p for _, p in some], float))) for n, some in chosen.items()}
+
+    def deal(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(nearest(pivots, b.column(1), scale), pa.int32())], names=["id", "v", "asked", "pivot"])
+
+    dealt = written(rows.mapInArrow(deal, "id long, v array<double>, asked boolean, pivot int"))
+    sizes = {r["pivot"]: r["count"] for r in dealt.groupBy("pivot").count().collect()}  # as many as pivots, and one
+    parts = {p: max(1, -(-c * blocks // max(1, n_rows))) for p, c in sizes.items()}
+    first = np.cumsum([0, *parts.values()]).tolist()
+    start, many = (F.create_map(*[F.lit(x) for p, c in zip(parts, values, strict=True) for x in (p, c)]) if parts else F.create_map(F.lit(0), F.lit(0)) for values in (first[: len(parts)], parts.values()))
+    block = (start[F.col("pivot")] + F.pmod(F.xxhash64("id", "v"), many[F.col("pivot")])).cast("long")
+    data = dealt.select("id", "v", F.size("v").alias("n"), block.alias("block"))
+    queries = dealt.where("asked").groupBy("id").agg(F.min_by(F.struct("v", F.size("v").alias("n"), block.alias("block")), "v").alias("q")).select("id", "q.*")
+
+    def build(left: pa.Table, right: pa.Table) -> pa.Table:
+        """A block's tree, and the answers for the queries at home in it."""
+        if not len(left):
+            return _answers([])
+        ids, asked = left.column("id").to_numpy(), right.column("id").to_numpy()
+        tree = CoverTree(_points(left, scale), LEAF, n_asked / 4)
+        ids = ids[tree.order]
+        found, _ = dual_search(_points(right, scale), asked, tree, ids, k) if len(right) else ([], 0)
+        return _answers([(int(q), i, s) for q, best in zip(asked, found, strict=True) for s, i in best], left.column("n")[0].as_py(), left.column("block")[0].as_py(), tree.dump(), ids.tobytes())
+
+    built = written(data.groupBy("n", "block").cogroup(queries.groupBy("n", "block")).applyInArrow(build, _ANSWER))
+    trees, home = built.where("tree is not null"), built.where("query_id is not null").select(*_FOUND)
+
+    def roots(batches):
+        for b in batches:
+            for n, number, data in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                t = CoverTree.load(data)
+                yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in ((n, pa.int32()), (number, pa.int64()), (t.c[0].tolist(), pa.list_(pa.float64())), (float(t.r[0]), pa.float64()))], names=["n", "block", "c", "r"])
+
+    tops: dict[int, list] = {}  # one centre per block: see MOST_BLOCKS
+    for r in trees.select("n", "block", "tree").mapInArrow(roots, "n int, block long, c array<double>, r double").collect():
+        tops.setdefault(r["n"], []).append((r["block"], r["c"], r["r"]))
+    tops = {n: (np.array([b for b, _, _ in some]), np.array([c for _, c, _ in some]), np.array([r for *_, r in some])) for n, some in tops.items()}
+    shared = df.sparkSession.sparkContext.broadcast(tops)
+
+    floors = home.groupBy("query_id").agg(F.count("*").alias("found"), F.min("exact").alias("least")).select(F.col("query_id").alias("id"), F.when(F.col("found") >= k, F.col("least")).alias("floor"))
+    waiting = queries.join(floors, "id", "left").select("id", "v", "n", "block", "floor")
+
+    def onward(batches):
+        """A query's rows for the blocks, other than its own, that may hold an answer."""
+        step = max(1, 50_000 // max((len(numbers) for numbers, _, _ in shared.value.values()), default=1))
+        for b in (batch.slice(i, step) for batch in batches for i in range(0, batch.num_rows, step)):
+            at, to = [], []
+            for i, (x, own, floor) in enumerate(zip(*(b.column(c).to_pylist() for c in ("v", "block", "floor")), strict=True)):
+                numbers, c, r = shared.value[len(x)]
+                q = np.floor(scale * np.array(x, float))
+                bound = _bound(c @ q, np.sqrt(q @ q), 0.0, np.sqrt((c * c).sum(1)), r)
+                go = numbers[~(bound < (-np.inf if floor is None else floor)) & (numbers != own)]
+                at += [i] * len(go)
+                to += go.tolist()
+            t = b.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([t.column("id"), t.column("v"), t.column("n"), pa.array(to, pa.int64()), t.column("floor")], names=["id", "v", "n", "block", "floor"])
+
+    going = waiting.mapInArrow(onward, "id long, v array<double>, n int, block long, floor double")
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left) or not len(right):
-            return _FOUND.empty_table()
-        ids, points = side(left)
-        asked_ids, asked_points = side(right)
-        found, _ = dual_search(asked_points, asked_ids, points, ids, k)
-        flat = [(int(q), i, s) for q, best in zip(asked_ids, found, strict=True) for s, i in best]
-        return pa.table([pa.array([r[c] for r in flat], pa.int64()) for c in range(3)], schema=_FOUND)
-
-    met = data.groupBy("n", "d", "q").cogroup(queries.groupBy("n", "d", "q")).applyInArrow(search, "query_id long, vec_id long, score long")
-    ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+            return _answers([])
+        (row,) = left.to_pylist()
+        asked = right.column("id").to_numpy()
+        floor = np.array([-np.inf if x is None else x for x in right.column("floor").to_pylist()])
+        found, _ = dual_search(_points(right, scale), asked, CoverTree.load(row["tree"]), np.frombuffer(row["ids"], np.int64), k, floor)
+        return _answers([(int(q), i, s) for q, best in zip(asked, found, strict=True) for s, i in best], row["n"])
+
+    abroad = trees.select("n", "block", "tree", "ids").groupBy("n", "block").cogroup(going.groupBy("n", "block")).applyInArrow(search, _ANSWER)
+    met = home.unionByName(abroad.where("query_id is not null").select(*_FOUND))
+    ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("exact"), F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

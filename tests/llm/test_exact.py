@@ -391,23 +391,69 @@ def test_top_k_is_brute_force(spark, clustered):
     rows = [(i, (centres[i % 6] + rng.normal(size=8) * 0.05 if clustered else rng.normal(size=8)).astype(np.float32).tolist()) for i in range(700)]
     rows += [(1000 + i, rows[5][1]) for i in range(40)] + [(2000, None), (2001, [1.0, None]), (2100, [float("nan")] * 8), (2200, []), (2300, [0.0] * 8), (2400, [1.0, 2.0]), (2401, [3.0, 4.0]), (7, rows[7][1]), (200, rows[200][1])]
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<float>, score string")
-    got = sorted(tuple(r) for r in topk_search.top_k(df, "vec_id", "embedding", F.col("vec_id") % 100 == 0, query_block=5, data_block=150).collect())
+    got = sorted(tuple(r) for r in topk_search.top_k(df, "vec_id", "embedding", F.col("vec_id") % 100 == 0, data_block=150).collect())
     assert got == sorted(brute_top(rows))
     assert topk_search.top_k(df.limit(0), "vec_id", "embedding", F.lit(True)).count() == 0
 
 
-def test_trees_prune_clusters_and_cover():
-    rng = np.random.default_rng(1)
-    x = np.concatenate([c + rng.normal(size=(300, 4)) * 0.5 for c in rng.normal(size=(10, 4)) * 100])
-    t = topk_search.CoverTree(np.floor(x))
-    for lo, hi, c, r in zip(t.lo, t.hi, t.c, t.r, strict=True):
+def clusters(rng, n, size, width, spread):
+    return np.floor(np.concatenate([c + rng.normal(size=(size, width)) * spread for c in rng.normal(size=(n, width)) * 1000]))
+
+
+def test_trees_are_nested_and_cover():
+    x = clusters(np.random.default_rng(1), 10, 300, 4, 5.0)
+    t = topk_search.CoverTree(x, 16)
+    assert sorted(t.order.tolist()) == list(range(len(x))) and max(map(len, t.children)) <= topk_search.FANOUT and len(t.lo) > 100
+    for n, (lo, hi, c, r) in enumerate(zip(t.lo, t.hi, t.c, t.r, strict=True)):
         assert np.sqrt(((t.points[lo:hi] - c) ** 2).sum(1)).max() <= r + 1e-6
-    ids = np.arange(len(x))
-    _, taken = topk_search.dual_search(np.floor(x[::50]), ids[::50], np.floor(x), ids, 10)
-    assert taken < 0.5 * len(x) * len(x[::50])
+        kids = t.children[n]
+        if kids:
+            assert sorted((t.lo[k], t.hi[k]) for k in kids)[0][0] == lo and sum(t.hi[k] - t.lo[k] for k in kids) == hi - lo
+            assert any((t.c[k] == c).all() for k in kids)  # the centre is a centre below
+            apart = [np.sqrt(((t.c[i] - t.c[j]) ** 2).sum()) for i in kids for j in kids if i < j]
+            assert not apart or min(apart) >= max(t.r[k] for k in kids) - 1e-6
+    back = topk_search.CoverTree.load(t.dump())
+    assert (back.points == t.points).all() and back.children == t.children
+
+
+def test_work_is_below_brute_force_on_clusters_and_bounded_elsewhere():
+    rng, k = np.random.default_rng(2), 10
+
+    def work(x, queries):
+        t = topk_search.CoverTree(x, distances=len(queries) / 4)
+        ids = np.arange(len(x))
+        found, taken = topk_search.dual_search(x[queries], ids[queries], t, ids[t.order], k)
+        s = x[queries] @ x.T
+        for i, q in enumerate(queries):
+            assert found[i] == sorted(((int(v), j) for j, v in enumerate(s[i]) if j != q), key=lambda e: (-e[0], e[1]))[:k]
+        return (t.taken + taken) / (len(x) * len(queries))
+
+    assert work(clusters(rng, 20, 400, 8, 20.0), np.arange(0, 8000, 100)) < 0.5
+    for n in (2000, 8000):
+        assert work(np.floor(rng.normal(size=(n, 64)) * 128), np.arange(0, n, 100)) <= 1.5
+
+
+def test_queries_meet_the_blocks_that_may_hold_an_answer(spark):
+    rng = np.random.default_rng(5)
+    for n in (4, 16):
+        x = clusters(rng, n, 250, 6, 3.0)
+        df = spark.createDataFrame([(i, (v / 1024).tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        asked = F.col("vec_id") < 16
+        got = sorted(tuple(r) for r in topk_search.top_k(df, "vec_id", "embedding", asked, data_block=250).collect())
+        s = x[:16] @ x.T
+        want = [(q, r + 1, i, -v) for q in range(16) for r, (v, i) in enumerate(sorted((-int(v), i) for i, v in enumerate(s[q]) if i != q)[:10])]
+        assert got == sorted(want)
+
+
+def test_products_beyond_doubles_are_exact(spark):
     big = np.array([[2.0**40, 1.0], [2.0**40, 2.0], [1.0, 1.0]])
-    found, _ = topk_search.dual_search(big[:1], np.array([0]), big, np.array([0, 1, 2]), 2)
+    t = topk_search.CoverTree(big)
+    found, _ = topk_search.dual_search(big[:1], np.array([0]), t, np.arange(3)[t.order], 2)
     assert found[0] == [((2**40) ** 2 + 2, 1), (2**40 + 1, 2)]
+    rows = [(0, [1e30, 1.0]), (1, [1e30, 2.0]), (2, [-1e30, 5.0]), (3, [1e308, 1.0]), (4, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["vec_id"], r["score"]) for r in topk_search.top_k(df, "vec_id", "embedding", F.col("vec_id") == 0).orderBy("rank").collect()]
+    assert got == [(1, 2**63 - 1), (4, 2**63 - 1), (2, -(2**63))]
 
 
 # ---- MPEG audio
