@@ -93,6 +93,17 @@ def _from_planes(data) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4")[:, 0].astype(np.int64)
 
 
+_CODEC = pa.Codec("zstd", compression_level=3)
+
+
+def _packed(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + _CODEC.compress(data, asbytes=True)
+
+
+def _unpacked(data: bytes) -> bytes:
+    return _CODEC.decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+
+
 CODED = "chunk long, windows long, ids binary, known binary, sizes binary, numbers binary, words binary, lengths binary"
 
 
@@ -103,10 +114,15 @@ def code(ids: list, texts: list, window: int) -> dict:
         words = (t or "").encode("utf-8", "surrogatepass").split()
         sizes.append(len(words))
         numbers.append(np.fromiter([vocabulary[w] for w in words], np.uint32, len(words)))
-    n = np.array(sizes, np.int64)
+    n, all_numbers = np.array(sizes, np.int64), np.concatenate(numbers) if numbers else np.zeros(0, np.uint32)
+    # frequent words get small numbers, which take less room
+    common = np.argsort(-np.bincount(all_numbers, minlength=len(vocabulary)), kind="stable")
+    rank, words = np.empty(len(common), np.int64), list(vocabulary)
+    rank[common] = np.arange(len(common))
+    words = [words[i] for i in common.tolist()]
     return {
         "windows": int(np.maximum(n - window + 1, 0).sum()), "ids": np.array([d or 0 for d in ids], np.int64).tobytes(), "known": np.array([d is not None for d in ids], bool).tobytes(), "sizes": _planes(n),
-        "numbers": _planes(np.concatenate(numbers)) if numbers else b"", "words": b"".join(vocabulary), "lengths": _planes(np.array([len(w) for w in vocabulary], np.int64)),
+        "numbers": _packed(_planes(rank[all_numbers])), "words": _packed(b"".join(words)), "lengths": _packed(_planes(np.array([len(w) for w in words], np.int64))),
     }
 
 
@@ -115,9 +131,9 @@ class Chunk:
 
     def __init__(self, row: dict, window: int = WINDOW):
         self.ids, self.known, self.sizes = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["known"], bool), _from_planes(row["sizes"])
-        self.numbers, self.window = _from_planes(row["numbers"]), window
-        ends = np.cumsum(_from_planes(row["lengths"])).tolist()
-        self.words = [row["words"][a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        self.numbers, self.window, words = _from_planes(_unpacked(row["numbers"])), window, _unpacked(row["words"])
+        ends = np.cumsum(_from_planes(_unpacked(row["lengths"]))).tolist()
+        self.words = [words[a:b] for a, b in zip([0, *ends], ends, strict=False)]
         self.starts = np.cumsum(self.sizes) - self.sizes
         valid = np.where(self.known, np.maximum(self.sizes - window + 1, 0), 0)
         self.doc = np.repeat(np.arange(len(self.ids)), valid)
@@ -276,7 +292,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
                     cells, many, _ = counted(sketch.cells(h, k))
                     for s, a, b in _by_segment(cells, width):
                         loads.setdefault(s, []).append(_counters(cells[a:b] - s * width, many[a:b]))
-                yield from _rows([(s, row["chunk"], b"".join(x)) for s, x in loads.items()], TO_SEGMENT).to_batches(1024)
+                yield from _rows([(s, row["chunk"], _packed(b"".join(x))) for s, x in loads.items()], TO_SEGMENT).to_batches(1024)
 
     def merge(table: pa.Table) -> pa.Table:
         """The segment's counters are sums of the chunks'; each chunk learns which of its own came to 2 or more."""
@@ -285,7 +301,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
         for _ in (0, 1):
             counters, sent = np.zeros(width, np.uint8), []
             for i, p in enumerate(loads):
-                cells, many, ends[i] = _read_counters(p, ends[i])
+                cells, many, ends[i] = _read_counters(_unpacked(p), ends[i])
                 counters[cells] = np.minimum(counters[cells] + 1 + many, 2)  # a chunk's cells are distinct
                 sent.append(cells)
             answers = [x + _bits(counters[c] > 1) for x, c in zip(answers, sent, strict=True)]
@@ -343,7 +359,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     table = chunks.drop("windows")
     by_chunk = lambda mail: table.groupBy("chunk").cogroup(mail.groupBy("chunk"))
     bits = table.mapInArrow(count, TO_SEGMENT).groupBy("seg").applyInArrow(merge, MESSAGE)
-    found = written(by_chunk(bits).applyInArrow(candidates, MESSAGE))
+    # computed for the segments and again for the chunks, from the same shuffles: their table would take as much room as the shuffle of the chunks
+    found = by_chunk(bits).applyInArrow(candidates, MESSAGE)
     least = found.where("kind = 1").select("seg", "chunk", "payload").groupBy("seg").applyInArrow(group, MESSAGE)
     return by_chunk(found.where("kind = 2").unionByName(least)).applyInArrow(finish, RESULT)
 
