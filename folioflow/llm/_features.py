@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -26,6 +27,24 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+class Slots(dict):
+    """A word -> its place among `n` hashed counts, remembered up to `kept` words."""
+
+    def __init__(self, n: int, kept: int = 150_000):
+        super().__init__()
+        self.n, self.kept = n, kept
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.kept:
+            self.clear()
+        self[word] = at = zlib.crc32(word.encode("utf-8", "surrogatepass")) % self.n
+        return at
+
+    def rates(self, words: list[str]) -> np.ndarray:
+        """Square roots of the shares of the words that fall on each place."""
+        return np.sqrt(np.bincount([self[w] for w in words], minlength=self.n) / max(1, len(words)))
+
+
 def shape(text: str, words: list[str]) -> list[float]:
     """Rates that don't name any word; an empty text has zeros."""
     raw = text.encode("utf-8", "surrogatepass")

@@ -6,16 +6,24 @@ posterior over domains. Nonnegative document rates r then minimise
     1/2 |sum_i r_i t_i p_i - T|^2 / S  +  mu/2 sum_i t_i (r_i - 1)^2
 
 for token counts t, posteriors p, targets T and their sum S, by accelerated
-projected gradients in the metric of the token counts. Each round sums the
-domain totals over the distributed table; only those totals come to the driver,
-and only the history of their errors, a few numbers a round, goes back: a rate
-depends on its posterior and that history alone, so tasks replay it and no
-per-document state is kept between rounds.
+projected gradients in the metric of the token counts, with restarts. Each round
+sums the domain totals over the distributed table; only those totals come to the
+driver, and only the history of their errors, a few numbers a round, goes back: a
+rate depends on its posterior and that history alone, so tasks replay it and no
+per-document state is kept between rounds. Rounds end when every domain's total
+is within `TOLERANCE` of its target, or when no rate's projected gradient is above
+`GRADIENT`, so that the targets are met as nearly as the posteriors allow; if
+neither holds after `ROUNDS` the fit fails with the errors that are left.
+
+The query's domains are the languages and quality labels of labelled documents;
+the classifier reads dense text features and hashed words.
 
 Targets of domains that no document can have are shared out among the others.
-Defined results: null text counts as empty, with no tokens; without labelled
-rows every document has the posterior of one domain, the first target, and
-rate T / S; an empty table gives no rows; repeated rows get equal rates.
+Defined results: null text counts as empty, with no tokens; labelled rows of one
+domain alone give every document that domain, and without labelled rows every
+document has the first target's, with rate T / S; any two domains are fitted, with
+more regularisation the fewer rows there are; an empty table gives no rows;
+repeated rows get equal rates.
 """
 
 from __future__ import annotations
@@ -26,27 +34,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm._arrow import map_columns
-from folioflow.llm._features import SHAPE, shape, words_of
-from folioflow.llm._labelled import labelled_sample
+from folioflow.llm._features import SHAPE, Slots, shape, words_of
+from folioflow.llm._labelled import collected_features, labelled_rows
 from folioflow.llm._tables import written
 
 MAX_LABELLED = 6_000
 MU = 1e-3
-ROUNDS = 80
+ROUNDS = 400
 TOLERANCE = 1e-3
+GRADIENT = 5e-5
 SEED = 77
+WORD_SLOTS = 256
 
-#: Domains are the labels of quality; shares of the mixed tokens.
-TARGETS = {"q1": 0.9, "q0": 0.1}
+#: Shares of the mixed tokens by language and quality label.
+TARGETS = {"en-q1": 0.48, "fr-q1": 0.16, "de-q1": 0.16, "es-q1": 0.12, "en-q0": 0.04, "fr-q0": 0.015, "de-q0": 0.015, "es-q0": 0.01}
 
 
 def domain_of_labels() -> Column:
-    return F.concat(F.lit("q"), F.col("quality").cast("string"))
+    """Of a labelled document, by its label `y` and its language."""
+    return F.concat(F.col("lang"), F.lit("-q"), F.col("y").cast("int").cast("string"))
 
 
-def fit_softmax(x: np.ndarray, y: np.ndarray, k: int, l2: float = 1e-3, steps: int = 400) -> dict:
-    """Multinomial logistic regression on standardised features, by accelerated gradients."""
+def fit_softmax(x: np.ndarray, y: np.ndarray, k: int, steps: int = 400) -> dict:
+    """Multinomial logistic regression on standardised features, by accelerated gradients; one row's worth of regularisation."""
+    l2 = 1.0 / len(x)
     mean, sd = x.mean(0), x.std(0) + 1e-6
+    sd[len(SHAPE) :] *= 4  # many words together weigh as much as the dense features, which matters where rows are few
     z = np.c_[(x - mean) / sd, np.ones(len(x))]
     onehot = np.eye(k)[y]
     w = v = np.zeros((z.shape[1], k))
@@ -66,26 +79,39 @@ def softmax(model: dict, x: np.ndarray) -> np.ndarray:
     return p / p.sum(1, keepdims=True)
 
 
-def train(docs: DataFrame, labels: DataFrame, domain: Column, names: list[str], limit: int = MAX_LABELLED) -> dict:
-    """The classifier of the labelled rows whose domain is one of `names`."""
+def vector(text: str, words: list[str], slots: Slots) -> np.ndarray:
+    return np.concatenate([shape(text, words), slots.rates(words)])
+
+
+def train(docs: DataFrame, labels: DataFrame, label: Column, domain: Column, names: list[str], beside: tuple[str, ...] = (), limit: int = MAX_LABELLED) -> dict:
+    """The classifier of the labelled rows whose `domain`, by the label `y` and the columns `beside`, is one of `names`."""
     index = F.array_position(F.array(*[F.lit(n) for n in names]), domain) - 1
-    texts, y = labelled_sample(docs, labels.where(domain.isin(names)), index, None, limit)
-    if len(y) < 20 or len(set(y.tolist())) < 2:
-        return {"constant": int(y[0]) if len(y) else 0}
-    return fit_softmax(np.array([shape(t, words_of(t)) for t in texts]), y.astype(int), len(names))
+    rows = labelled_rows(docs, labels, label, None, limit, beside).select("id", index.cast("double").alias("y"), "text").where("y >= 0")
+
+    def make():
+        slots = Slots(WORD_SLOTS)
+        return lambda _, text: vector(text, words_of(text), slots)
+
+    _, y, x = collected_features(rows, make)
+    met = np.unique(y).astype(int)
+    if len(met) < 2:
+        return {"constant": int(met[0]) if len(met) else 0}
+    return fit_softmax(x.astype(float), y.astype(int), len(names))
 
 
 def memberships(docs: DataFrame, key: str, text: str, model: dict, names: list[str]) -> DataFrame:
     """`key`, `n_tokens` (words) and `posterior` of every whole text."""
 
     def make():
+        slots = Slots(WORD_SLOTS)
+
         def work(keys, texts):
-            tokens, x = [], np.zeros((len(texts), len(SHAPE)))
+            tokens, x = [], np.zeros((len(texts), len(SHAPE) + WORD_SLOTS))
             for i, t in enumerate(texts):  # one text's words at a time in memory
                 words = words_of(t or "")
                 tokens.append(len(words))
                 if "constant" not in model:
-                    x[i] = shape(t or "", words)
+                    x[i] = vector(t or "", words, slots)
             p = np.tile(np.eye(len(names))[model["constant"]], (len(keys), 1)) if "constant" in model else softmax(model, x)
             return [keys, tokens, p.tolist()]
 
@@ -95,63 +121,74 @@ def memberships(docs: DataFrame, key: str, text: str, model: dict, names: list[s
     return map_columns(docs.select(F.col(key).alias("key"), F.col(text).cast("string")), make, f"key {kind}, n_tokens long, posterior array<double>").withColumnRenamed("key", key)
 
 
-def replay(p: np.ndarray, errors: list[np.ndarray], step: float, mu: float) -> tuple[np.ndarray, np.ndarray]:
-    """The rates after the rounds so far, and the point at which the next round's totals are taken."""
+def replay(p: np.ndarray, history: list[tuple[np.ndarray, float]], step: float, mu: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """After the rounds so far (each a vector of errors and a momentum): the step's end, the rates, which lie ahead of it, and the last step's projected gradient and turn against its momentum."""
     r = ahead = np.ones(len(p))
-    for i, e in enumerate(errors):
+    gradient = turn = np.zeros(len(p))
+    for e, momentum in history:
         new = np.maximum(0.0, ahead - step * (p @ e + mu * (ahead - 1)))
-        r, ahead = new, np.maximum(0.0, new + i / (i + 3) * (new - r))
-    return r, ahead
+        gradient, turn = np.abs(new - ahead) / step, (ahead - new) * (new - r)
+        r, ahead = new, np.maximum(0.0, new + momentum * (new - r))
+    return r, ahead, gradient, turn
 
 
-def fit_rates(table: DataFrame, targets: np.ndarray, ratio: float, mu: float = MU, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[list[np.ndarray], float]:
+def fit_rates(table: DataFrame, targets: np.ndarray, ratio: float, mu: float = MU, rounds: int = ROUNDS, tolerance: float = TOLERANCE, gradient: float = GRADIENT) -> tuple[list[tuple[np.ndarray, float]], float]:
     """The history of domain errors and the step; `targets` are shares, `ratio` the mixed tokens by those there are."""
     k = len(targets)
-    names = [f"d{i}" for i in range(k)]
-    schema = pa.schema([(n, pa.float64()) for n in (*names, "all")])
+    names = [f"d{i}" for i in range(k)] + ["all", "turn", "steepest"]
+    schema = pa.schema([(n, pa.float64()) for n in names])
 
-    def totals(errors: list[np.ndarray], step: float, final: bool) -> np.ndarray:
+    def totals(history: list, step: float) -> np.ndarray:
         def work(batches):
             for b in batches:
                 if b.num_rows:
                     t = b.column(0).to_numpy().astype(float)
                     p = b.column(1).flatten().to_numpy().reshape(-1, k)
-                    r, ahead = replay(p, errors, step, mu)
-                    yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (*(t * (r if final else ahead)) @ p, t.sum())], schema=schema)
+                    _, ahead, slope, turn = replay(p, history, step, mu)
+                    steepest = slope[t > 0].max(initial=0.0)  # a text without tokens counts for no total
+                    yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (*(t * ahead) @ p, t.sum(), (t * turn).sum(), steepest)], schema=schema)
 
-        row = table.select("n_tokens", "posterior").mapInArrow(work, ", ".join(f"`{n}` double" for n in (*names, "all"))).agg(*[F.sum(n).alias(n) for n in (*names, "all")]).first()
-        return np.array([row[n] or 0.0 for n in (*names, "all")])
+        row = table.select("n_tokens", "posterior").mapInArrow(work, ", ".join(f"`{n}` double" for n in names)).agg(*[(F.max if n == "steepest" else F.sum)(n).alias(n) for n in names]).first()
+        return np.array([row[n] or 0.0 for n in names])
 
-    first = totals([], 0.0, False)
-    if first[-1] <= 0:
+    first = totals([], 0.0)
+    if first[k] <= 0:
         return [], 0.0
-    shares = np.where(first[:-1] > 1e-6 * first[-1], targets, 0.0)
-    shares = shares / shares.sum() if shares.sum() > 0 else first[:-1] / first[-1]
-    s = ratio * first[-1]
+    shares = np.where(first[:k] > 1e-6 * first[k], targets, 0.0)
+    shares = shares / shares.sum() if shares.sum() > 0 else first[:k] / first[k]
+    s = ratio * first[k]
     step = 1.0 / (1.0 / ratio + mu)
-    errors, now = [], first
+    history, now, since = [], first, 0
     for _ in range(rounds):
-        e = (now[:-1] - shares * s) / s
-        errors.append(e)
-        now = totals(errors, step, False)
-        # met, or as near as the posteriors allow: no total moves any more
-        if np.abs(e).max() <= tolerance or (len(errors) > 5 and np.abs(np.array(errors[-5:]) - e).max() <= tolerance / 10):
-            break
-    return errors, step
-
-
-def mix(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", domain: Column | None = None, targets: dict[str, float] | None = None, ratio: float = 1.0, seed: int = SEED) -> DataFrame:
-    """Per document: `key`, `n_tokens`, `posterior`, `rate`, and `copies`, the rate rounded at random by a seeded hash of the key."""
+        e = (now[:k] - shares * s) / s
+        if np.abs(e).max() <= tolerance:
+            return history, step
+        history.append((e, since / (since + 3)))
+        now = totals(history, step)
+        if now[k + 2] <= gradient:
+            return history, step
+        since = 0 if now[k + 1] > 0 else since + 1
+    raise RuntimeError(f"rates not settled after {rounds} rounds: errors by domain {np.round(e, 5).tolist()}, projected gradient {now[k + 2]:.2g}")
+
+
+def mix(
+    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: Column | None = None, domain: Column | None = None, beside: tuple[str, ...] = ("lang",), targets: dict[str, float] | None = None, ratio: float = 1.0, seed: int = SEED
+) -> DataFrame:
+    """Per document: `key`, `n_tokens`, `posterior`, `rate`, and `copies`, the rate rounded at random by a seeded hash of the key.
+
+    `label` is an expression over `labels`; `domain` names a labelled document's
+    domain by that label, as `y`, and the columns `beside` of `docs`.
+    """
     targets = targets or TARGETS
     names = list(targets)
-    model = train(docs, labels, domain if domain is not None else domain_of_labels(), names)
+    model = train(docs, labels, F.col("quality") if label is None else label, domain_of_labels() if domain is None else domain, names, beside)
     table = written(memberships(docs, key, text, model, names))
     wanted = np.array([targets[n] for n in names], float)
-    errors, step = fit_rates(table, wanted / wanted.sum(), ratio)
+    history, step = fit_rates(table, wanted / wanted.sum(), ratio)
 
     def make():
         def work(keys, tokens, posterior):
-            r, _ = replay(np.array(posterior, float).reshape(-1, len(names)), errors, step, MU)
+            _, r, *_ = replay(np.array(posterior, float).reshape(-1, len(names)), history, step, MU)
             return [keys, tokens, posterior, r.tolist()]
 
         return work
@@ -162,9 +199,23 @@ def mix(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return rated.withColumn("copies", F.floor(F.col("rate") + chance).cast("int"))
 
 
+def report(mixed: DataFrame, targets: dict[str, float]) -> DataFrame:
+    """Per domain: the `target` share of tokens, the `expected` share by rates and the `met` share by copies, over the posteriors of what `mix` gave."""
+    wanted = sum(targets.values())
+    parts = mixed.select("n_tokens", "rate", "copies", F.posexplode("posterior").alias("at", "p"))
+    sums = parts.groupBy("at").agg(*[F.sum(F.col("n_tokens") * F.col("p") * F.col(c)).alias(c) for c in ("rate", "copies")])
+    whole = sums.agg(F.sum("rate").alias("__r"), F.sum("copies").alias("__c"))  # one row
+    names, shares = (F.array(*[F.lit(x) for x in values]) for values in (list(targets), [v / wanted for v in targets.values()]))
+    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
+    return sums.join(F.broadcast(whole)).select(names[F.col("at")].alias("domain"), shares[F.col("at")].alias("target"), share("rate", "__r").alias("expected"), share("copies", "__c").alias("met"))
+
+
 def op7_mixing_soft(spark, sf_dir: str) -> DataFrame:
+    """Per document its likeliest domain, posteriors, rate and copies, with its domain's target, expected and met shares."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    mixed = mix(docs, labels)
+    mixed = written(mix(docs, labels))
     names = F.array(*[F.lit(n) for n in TARGETS])
     top = F.element_at(names, F.array_position("posterior", F.array_max("posterior")).cast("int"))
-    return mixed.select("doc_id", "n_tokens", top.alias("domain"), *[F.col("posterior")[i].alias(f"p_{n}") for i, n in enumerate(TARGETS)], "rate", "copies")
+    rows = mixed.select("doc_id", "n_tokens", top.alias("domain"), *[F.col("posterior")[i].alias(f"p_{n.replace('-', '_')}") for i, n in enumerate(TARGETS)], "rate", "copies")
+    # one row per domain is broadcast
+    return rows.join(F.broadcast(report(mixed, TARGETS)), "domain", "left").select("doc_id", "n_tokens", "domain", *[c for c in rows.columns if c.startswith("p_")], "rate", "copies", "target", "expected", "met")

@@ -1,8 +1,8 @@
 """Quality by nearest-neighbour voting among labelled latent-semantic vectors.
 
 A document's terms are hashed into `DIMENSIONS` counts: the shape of each piece
-between spaces, its ending signs, its short word, and the quantile bins of the
-dense text features. Weighted by log count and inverse document frequency and
+between spaces, its ending signs, its word, and the quantile bins of the dense
+text features. Weighted by log count and inverse document frequency and
 projected on the `RANK` strongest left singular directions of the labelled
 sample, they give unit vectors. The labelled vectors (at most `MAX_LABELLED`
 rows of `RANK` numbers, a fixed bound) are broadcast; each document takes exact
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from folioflow.llm._arrow import map_columns
 from folioflow.llm._features import SHAPE, shape, words_of
-from folioflow.llm._labelled import labelled_sample, remainder
+from folioflow.llm._labelled import collected_features, labelled_rows, remainder
 
 MAX_LABELLED = 4096
 FOLD = (4, 2)
@@ -55,11 +55,7 @@ class Pieces(dict):
         end = len(kinds)
         while end and kinds[end - 1] not in "Aa0":
             end -= 1
-        terms = ["s:" + _RUNS.sub(r"\1\1", kinds), "t:" + kinds[end : end + 4]]
-        word = piece.lower()
-        if len(word) <= 4:
-            terms.append("w:" + word)
-        out = tuple(_slot(t) for t in terms)
+        out = tuple(_slot(t) for t in ("s:" + _RUNS.sub(r"\1\1", kinds), "t:" + kinds[end:], "w:" + piece.lower()))
         if len(piece) <= 64:
             self[piece] = out
         return out
@@ -78,10 +74,13 @@ def counts(texts: list[str], known: Pieces, edges: np.ndarray | None) -> tuple[n
     return made, dense
 
 
+BIN_SLOTS = np.array([[_slot(f"f:{j}:{b}") for b in range(BINS)] for j in range(len(SHAPE))])
+
+
 def _add_bins(made: np.ndarray, dense: np.ndarray, edges: np.ndarray) -> None:
+    rows = np.arange(len(made))
     for j in range(dense.shape[1]):
-        for i, b in enumerate(np.searchsorted(edges[:, j], dense[:, j])):
-            made[i, _slot(f"f:{j}:{b}")] += 20.0
+        np.add.at(made, (rows, BIN_SLOTS[j][np.searchsorted(edges[:, j], dense[:, j])]), 20.0)
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -93,11 +92,10 @@ def _weighted(made: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return _unit(np.log1p(made) * idf)
 
 
-def fit(texts: list[str], y: np.ndarray) -> dict:
-    """Feature bins, term weights, the latent basis and the labelled vectors."""
+def fit(made: np.ndarray, dense: np.ndarray, y: np.ndarray) -> dict:
+    """Feature bins, term weights, the latent basis and the labelled vectors, of hashed counts and dense features."""
     if not len(y):
         return {"constant": 0.0}
-    made, dense = counts(texts, Pieces(), None)
     edges = np.quantile(dense, np.linspace(0, 1, BINS + 1)[1:-1], axis=0)
     _add_bins(made, dense, edges)
     idf = np.log((1 + len(y)) / (1 + (made > 0).sum(0))).astype(np.float32) + 0.1
@@ -128,7 +126,14 @@ def scores(model: dict, texts: list[str], known: Pieces) -> list[float]:
 
 
 def train(docs: DataFrame, labels: DataFrame, fold: tuple[int, int] | None = FOLD, limit: int = MAX_LABELLED) -> dict:
-    return fit(*labelled_sample(docs, labels, F.col("quality"), fold, limit))
+    """The model of the labelled rows; executors count their terms, and `limit` vectors of counts come to the driver."""
+
+    def make():
+        known = Pieces()
+        return lambda _, text: np.concatenate([c[0] for c in counts([text], known, None)])
+
+    _, y, x = collected_features(labelled_rows(docs, labels, F.col("quality"), fold, limit), make)
+    return fit(x[:, :DIMENSIONS].copy(), x[:, DIMENSIONS:].astype(float), y)
 
 
 def score(df: DataFrame, key: str, text: str, model: dict) -> DataFrame:

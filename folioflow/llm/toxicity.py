@@ -4,27 +4,30 @@ A lexicon of words and word beginnings is learned from the labelled sample by
 log odds; the trees read its densities, how near its words stand to words that
 address someone, capitals, punctuation, and words written with signs for
 letters. The fit uses at most `MAX_LABELLED` labelled documents (a fixed bound,
-whole texts); calibration takes a quarter of them that the trees did not see.
+whole texts); calibration takes each part of them as trees of the other parts see
+it (the same rows only where a class has a single one).
 
 Defined results: null text counts as empty and is scored; without labelled rows
-of both classes every score is the base rate (0 without any rows); repeated
+of both classes every score is the base rate (0 without any rows), and any two
+rows of both are fitted; repeated
 rows get equal scores; labels, language, source and id are never inputs.
 """
 
 from __future__ import annotations
 
 import math
-import sys
-from collections import Counter
+import pickle
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm._arrow import with_column
+from folioflow.llm._arrow import slices, with_column
 from folioflow.llm._features import LEET, MIXED, SECOND, SHAPE, shape, words_of
 from folioflow.llm._gbt import fit_gbt, fit_isotonic, gbt_margin, isotonic
-from folioflow.llm._labelled import labelled_sample, remainder
+from folioflow.llm._labelled import collected_features, labelled_rows, remainder
+from folioflow.llm._tables import discard, written
 
 MAX_LABELLED = 6_000
 FOLD = (5, 0)
@@ -40,26 +43,41 @@ def _entries(word: str) -> list[str]:
     return [word + "$", *(word[:n] for n in BEGINNINGS if len(word) >= n)]
 
 
-def learn_lexicon(words: list[list[str]], y: np.ndarray) -> dict[str, float]:
-    """Log odds of words (ending in "$") and beginnings that far more documents of label 1 hold."""
-    toxic: Counter = Counter()
-    for row, v in zip(words, y, strict=True):
-        if v:
-            toxic.update({e for w in set(row) for e in _entries(w)})
-    likely = {e for e, n in toxic.items() if n >= LEAST_DOCS}
-    clean: Counter = Counter()
-    for row, v in zip(words, y, strict=True):
-        if not v:
-            clean.update({e for w in set(row) for e in _entries(w) if e in likely})
-    nt, nc, scored = int(y.sum()), int(len(y) - y.sum()), []
-    for e in likely:
-        a, b = toxic[e], clean[e]
-        n, share = a + b, nt / max(1, nt + nc)
-        g = 2 * (a * math.log(a / (n * share)) + (b * math.log(b / (n * (1 - share))) if b else 0.0))
-        odds = math.log((a + 0.5) / (nt - a + 0.5)) - math.log((b + 0.5) / (nc - b + 0.5))
-        if g >= LEAST_G and odds >= 0.7:
-            scored.append((-g, e, odds))
-    return {e: odds for _, e, odds in sorted(scored)[:LEXICON]}
+def entry_counts(sample: DataFrame, parts: dict[int, int], folds: int) -> DataFrame:
+    """Per entry the documents of the sample that hold it, by label and part: `c0` to `c{2 * folds - 1}`, those of label 1 first."""
+    names = [f"c{i}" for i in range(2 * folds)]
+
+    def work(batches):
+        met: dict[str, list[int]] = {}
+        for b in slices(batches):
+            for i, y, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                at = parts[i] + folds * (y == 0)
+                for e in {e for w in set(words_of(text)) for e in _entries(w)}:
+                    met.setdefault(e, [0] * len(names))[at] += 1
+        columns = list(zip(*met.values(), strict=True)) or [[]] * len(names)
+        yield pa.RecordBatch.from_arrays([pa.array(list(met), pa.string()), *(pa.array(c, pa.int64()) for c in columns)], names=["entry", *names])
+
+    counted = sample.select("id", "y", "text").mapInArrow(work, ", ".join(["entry string", *(f"{n} long" for n in names)]))
+    return counted.groupBy("entry").agg(*[F.sum(n).alias(n) for n in names]).where(sum((F.col(n) for n in names[:folds]), F.lit(0)) >= LEAST_DOCS)
+
+
+def learn_lexicon(counts: DataFrame, totals: np.ndarray, but: int | None = None) -> dict[str, float]:
+    """Log odds of words (ending in "$") and beginnings that far more documents of label 1 hold, of all parts or all but one.
+
+    At most `LEXICON`, those with the highest likelihood ratios.
+    """
+    folds = len(totals) // 2
+    seen = [q for q in range(folds) if q != but]
+    nt, nc = (float(sum(totals[q + k] for q in seen)) for k in (0, folds))
+    if not nt or not nc:
+        return {}
+    a, b = (sum((F.col(f"c{q + k}") for q in seen), F.lit(0)).cast("double") for k in (0, folds))
+    n, share = F.col("a") + F.col("b"), nt / (nt + nc)
+    part = lambda x, of: F.when(F.col(x) > 0, F.col(x) * F.log(F.col(x) / (n * of))).otherwise(0.0)
+    odds = F.log((F.col("a") + 0.5) / (nt - F.col("a") + 0.5)) - F.log((F.col("b") + 0.5) / (nc - F.col("b") + 0.5))
+    scored = counts.select("entry", a.alias("a"), b.alias("b")).where(F.col("a") >= LEAST_DOCS).select("entry", (2 * (part("a", share) + part("b", 1 - share))).alias("g"), odds.alias("odds"))
+    best = scored.where((F.col("g") >= LEAST_G) & (F.col("odds") >= 0.7)).orderBy(F.desc("g"), "entry").limit(LEXICON)
+    return {r["entry"]: r["odds"] for r in best.collect()}
 
 
 class Lookup(dict):
@@ -94,27 +112,69 @@ def features(text: str, words: list[str], known: Lookup) -> list[float]:
 NAMES = ("hit_density", "strong_density", "log_strong", "distinct_strong", "odds_density", "top", "top5", "mean_strong", "near_density", "near", "masked", "strong_by_root", *SHAPE)
 
 
-def fit(texts: list[str], y: np.ndarray) -> dict:
-    """The lexicon, the trees and the calibration curve."""
-    if len(y) < 40 or y.min(initial=1) == y.max(initial=0):
-        return {"constant": float(y.mean()) if len(y) else 0.0}
-    words = [list(map(sys.intern, words_of(t))) for t in texts]
-    part = np.arange(len(y)) % 4  # the sample is in order of id
-    # each quarter's lexicon features come from a lexicon that has not seen the quarter
-    x = np.zeros((len(y), len(NAMES)))
-    for q in range(4):
-        seen = part != q
-        known = Lookup(learn_lexicon([w for w, s in zip(words, seen, strict=True) if s], y[seen]))
-        for i in np.flatnonzero(~seen):
-            x[i] = features(texts[i], words[i], known)
-    margin = np.zeros(len(y))
-    for q in range(4):
-        margin[part == q] = gbt_margin(fit_gbt(x[part != q], y[part != q], trees=70, depth=4, rate=0.15), x[part == q])
-    return {"lexicon": learn_lexicon(words, y), "gbt": fit_gbt(x, y, trees=70, depth=4, rate=0.15), "curve": fit_isotonic(margin, y)}
+def _trees(x: np.ndarray, y: np.ndarray) -> dict:
+    """Leaves need a hessian of 2, or a tenth of the sample's where that is less."""
+    rate = y.mean()
+    return fit_gbt(x, y, trees=70, depth=4, rate=0.15, least=min(2.0, 0.1 * len(y) * rate * (1 - rate)))
+
+
+def deal(ids: np.ndarray, y: np.ndarray) -> tuple[dict[int, int], int]:
+    """The part of each id, and how many parts: four, or as many as the rarer label has rows. Each part has rows of both."""
+    folds = int(min(4, (y == 0).sum(), (y == 1).sum()))
+    part = np.zeros(len(y), int)
+    for v in (0, 1):
+        part[y == v] = np.arange((y == v).sum()) % folds
+    return dict(zip(ids.tolist(), part.tolist(), strict=True)), folds
 
 
 def train(docs: DataFrame, labels: DataFrame, fold: tuple[int, int] | None = FOLD, limit: int = MAX_LABELLED) -> dict:
-    return fit(*labelled_sample(docs, labels, F.col("toxic"), fold, limit))
+    """The lexicon, the trees and the calibration curve.
+
+    Executors count entries, compute features and fit the parts' trees; the
+    driver sees lexicons, labels and `limit` vectors of features.
+    """
+    sample = written(labelled_rows(docs, labels, (F.col("toxic") != 0).cast("int"), fold, limit))
+    # ids and labels only, of at most `limit` rows
+    rows = sorted((r["id"], r["y"]) for r in sample.select("id", "y").collect())
+    ids, y = np.array([i for i, _ in rows], np.int64), np.array([v for _, v in rows], float)
+    if len(np.unique(y)) < 2:
+        discard(sample)
+        return {"constant": float(y.mean()) if len(y) else 0.0}
+    parts, folds = deal(ids, y)
+    part = np.array([parts[i] for i in ids.tolist()])
+    totals = np.array([((part == q) & (y == v)).sum() for v in (1, 0) for q in range(folds)])
+    counts = written(entry_counts(sample, parts, folds))
+    whole = learn_lexicon(counts, totals)
+    # a part's features come from a lexicon that has not seen the part; a single part has seen itself
+    apart = [learn_lexicon(counts, totals, q) for q in range(folds)] if folds > 1 else [whole]
+
+    def make():
+        lookups = [Lookup(x) for x in apart]
+
+        def of(i: int, text: str) -> list[float]:
+            return features(text, words_of(text), lookups[parts[i]])
+
+        return of
+
+    _, _, x = collected_features(sample, make)
+    discard(sample, counts)
+    x = x.astype(float)
+    shared = docs.sparkSession.sparkContext.broadcast((x, y, part))  # at most `limit` vectors
+
+    def fitted(batches):
+        x, y, part = shared.value
+        for b in batches:
+            for q in b.column(0).to_pylist():
+                seen = (part != q) | (folds == 1)
+                model = _trees(x[seen], y[seen])
+                yield pa.RecordBatch.from_arrays([pa.array([q], pa.int32()), pa.array([pickle.dumps(model)], pa.binary()), pa.array([gbt_margin(model, x[part == q]).tobytes()], pa.binary())], names=["q", "model", "margin"])
+
+    # one task a part, and one for all rows
+    made = docs.sparkSession.range(folds + 1, numPartitions=folds + 1).selectExpr("cast(id as int) as q").mapInArrow(fitted, "q int, model binary, margin binary").collect()
+    margin = np.zeros(len(y))
+    for r in made:
+        margin[part == r["q"]] = np.frombuffer(bytes(r["margin"]))
+    return {"lexicon": whole, "gbt": pickle.loads(bytes(next(r["model"] for r in made if r["q"] == folds))), "curve": fit_isotonic(margin, y)}
 
 
 def _scorer(model: dict):

@@ -128,37 +128,144 @@ def test_recall_and_precision_on_hand_written_spans():
     assert [t for t in NOT_PRIVATE if pii.spans([t], m)[0][1]] == []
 
 
+def by_quality(d, lab, targets=None, **more):
+    return mixing.mix(d, lab, domain=F.concat(F.lit("q"), F.col("y").cast("int").cast("string")), beside=(), targets=targets or {"q1": 0.9, "q0": 0.1}, **more)
+
+
 def test_mixing_meets_its_targets(spark, tables):
     _, d, lab = tables
     for targets in ({"q1": 0.9, "q0": 0.1}, {"q1": 0.3, "q0": 0.7}):
-        out = mixing.mix(d, lab, targets=targets).collect()
+        mixed = by_quality(d, lab, targets).cache()
+        out = mixed.collect()
         total = sum(r["n_tokens"] for r in out)
         share = np.sum([np.array(r["posterior"]) * r["rate"] * r["n_tokens"] for r in out], 0) / total
         assert np.abs(share - list(targets.values())).max() < 0.01 and min(r["rate"] for r in out) >= 0
         assert abs(sum(r["copies"] * r["n_tokens"] for r in out) / total - 1) < 0.15
+        told = {r["domain"]: r for r in mixing.report(mixed, targets).collect()}
+        for i, (name, target) in enumerate(targets.items()):
+            met = sum(r["posterior"][i] * r["copies"] * r["n_tokens"] for r in out) / sum(r["copies"] * r["n_tokens"] for r in out)
+            assert told[name]["target"] == target and abs(told[name]["expected"] - target) < 0.01 and abs(told[name]["met"] - met) < 1e-9
+
+
+def test_mixing_many_domains(spark):
+    """Four languages by two qualities: domains are found by words and shape, and their totals meet the targets."""
+    rng = random.Random(8)
+    sounds = {"en": ("th", "er", "ing"), "fr": ("ou", "eau", "pa"), "de": ("sch", "ei", "ung"), "es": ("cion", "ar", "qu")}
+    rows = []
+    for i in range(800):
+        lang, low = list(sounds)[i % 4 if i % 8 else 0], i % 5 == 0
+        words = ["".join(rng.choice(sounds[lang]) for _ in range(rng.randint(1, 3))) for _ in range(rng.choice((20, 80)))]
+        rows.append((i, " ".join(w.upper() + "%%!" if low else w for w in words), lang, int(not low)))
+    d = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    lab = spark.createDataFrame([(i, q) for i, _, _, q in rows if i % 3], "doc_id long, quality int")
+    out = mixing.mix(d, lab).collect()
+    names = list(mixing.TARGETS)
+    assert np.mean([names[int(np.argmax(r["posterior"]))] == f"{rows[r['doc_id']][2]}-q{rows[r['doc_id']][3]}" for r in out]) > 0.95
+    share = np.sum([np.array(r["posterior"]) * r["rate"] * r["n_tokens"] for r in out], 0) / sum(r["n_tokens"] for r in out)
+    assert np.abs(share - list(mixing.TARGETS.values())).max() < 0.005
 
 
 def test_mixing_edges(spark, tables):
     _, d, lab = tables
-    out = {(r["doc_id"], r["n_tokens"]): r for r in mixing.mix(odd(spark), lab).collect()}
+    out = {(r["doc_id"], r["n_tokens"]): r for r in by_quality(odd(spark), lab).collect()}
     assert len(out) == len({(i, t) for i, t in ODD}) and out[10_000, 0]["posterior"] == out[10_001, 0]["posterior"]
-    assert mixing.mix(odd(spark).limit(0), lab).count() == 0
-    same = mixing.mix(d, lab.limit(0)).select("rate").distinct().collect()
+    assert by_quality(odd(spark).limit(0), lab).count() == 0
+    same = by_quality(d, lab.limit(0)).select("rate").distinct().collect()
     assert len(same) == 1
+    assert {tuple(r["posterior"]) for r in by_quality(d, lab.where("quality = 0")).collect()} == {(0.0, 1.0)}
+
+
+@pytest.mark.parametrize("n", [2, 10, 30])
+def test_few_labelled_rows_are_fitted(spark, tables, n):
+    """However few rows there are, two classes give a model of both, never a constant."""
+    rows, d, _ = tables
+    some = [r for r in rows if not r[3]][: n // 2] + [r for r in rows if r[3]][: n - n // 2]
+    toxic = toxicity.train(d, spark.createDataFrame([(i, x) for i, _, _, x in some], "doc_id long, toxic int"), fold=None)
+    assert "constant" not in toxic and all(0 <= r["score"] <= 1 for r in toxicity.score(d, "doc_id", "text", toxic).collect())
+    some = [r for r in rows if not r[2]][: n // 2] + [r for r in rows if r[2]][: n - n // 2]
+    lab = spark.createDataFrame([(i, q) for i, _, q, _ in some], "doc_id long, quality int")
+    good = quality.train(d, lab, fold=None)
+    scores = {r["doc_id"]: r["score"] for r in quality.score(d, "doc_id", "text", good).collect()}
+    assert np.mean([(scores[r[0]] >= 0.5) == bool(r[2]) for r in rows]) > 0.8
+    mixed = {r["doc_id"]: r["posterior"] for r in by_quality(d, lab).collect()}
+    assert len({round(p[0], 6) for p in mixed.values()}) > 100
+    assert n < 30 or np.mean([(mixed[r[0]][0] > 0.5) == bool(r[2]) for r in rows]) > 0.8
+
+
+def brute_rates(p, t, s, target, mu):
+    """The minimiser by its optimality condition: r = max(0, 1 - p.e / mu) for the errors e that r has, found by damped Newton steps."""
+    e = np.zeros(p.shape[1])
+    gap = lambda e: (t * np.maximum(0.0, 1 - p @ e / mu)) @ p / s - target - e
+    for _ in range(500):
+        on = (1 - p @ e / mu > 0) * t
+        jacobian = -(p.T * on) @ p / (mu * s) - np.eye(len(e))
+        step = np.linalg.solve(jacobian, -gap(e))
+        size = 1.0
+        while size > 1e-6 and np.abs(gap(e + size * step)).max() > np.abs(gap(e)).max():
+            size /= 2
+        e = e + size * step
+    assert np.abs(gap(e)).max() < 1e-9
+    return np.maximum(0.0, 1 - p @ e / mu), e
+
+
+def test_fitted_rates_are_the_quadratic_programme(spark):
+    rng = np.random.default_rng(2)
+    p, t = rng.dirichlet((0.3, 0.3, 0.3), 80), rng.integers(1, 50, 80)
+    table = spark.createDataFrame([(int(n), row.tolist()) for n, row in zip(t, p, strict=True)], "n_tokens long, posterior array<double>").repartition(3)
+    for target in ([0.6, 0.3, 0.1], [0.98, 0.01, 0.01]):
+        history, step = mixing.fit_rates(table, np.array(target), 1.0, tolerance=0.0, gradient=1e-6, rounds=600)
+        _, r, *_ = mixing.replay(p, history, step, mixing.MU)
+        want, e = brute_rates(p, t.astype(float), t.sum(), np.array(target), mixing.MU)
+        totals = lambda x: (t * x) @ p / t.sum()
+        assert np.abs(totals(r) - totals(want)).max() < 1e-4 and np.abs(r - want).max() < 0.02
+    with pytest.raises(RuntimeError, match="errors by domain"):
+        mixing.fit_rates(table, np.array([0.6, 0.3, 0.1]), 1.0, tolerance=0.0, gradient=0.0, rounds=3)
+
+
+def brute_votes(model, texts):
+    """Each document against each labelled vector, one by one."""
+    out = []
+    for t in texts:
+        made, _ = quality.counts([t], quality.Pieces(), model["edges"])
+        v = np.log1p(made[0].astype(float)) * model["idf"]
+        v = v / (np.linalg.norm(v) or 1) @ model["basis"]
+        v = v / (np.linalg.norm(v) or 1)
+        like = sorted(((float(v @ w), float(y)) for w, y in zip(model["vectors"], model["y"], strict=True)), reverse=True)
+        near = [(max(0.0, s) ** quality.POWER, y) for s, y in like if s >= like[min(quality.NEIGHBOURS, len(like)) - 1][0] - 1e-7]
+        total = sum(w for w, _ in near)
+        out.append(sum(w * y for w, y in near) / total if total else model["base"])
+    return out
 
 
-def test_projected_gradients_are_the_quadratic_programme():
-    """On a small problem: no feasible direction improves the objective."""
-    rng = np.random.default_rng(2)
-    p, t = rng.dirichlet((1, 1, 1), 60), rng.integers(1, 50, 60).astype(float)
-    s, target = t.sum(), np.array([0.6, 0.3, 0.1])
-    errors, step = [], 1 / (1 + mixing.MU)
-    for _ in range(600):
-        r, ahead = mixing.replay(p, errors, step, mixing.MU)
-        errors.append(((t * ahead) @ p - target * s) / s)
-    r, _ = mixing.replay(p, errors, step, mixing.MU)
-    g = p @ (((t * r) @ p - target * s) / s) + mixing.MU * (r - 1)
-    assert np.abs(np.where(r > 1e-9, g, np.minimum(g, 0))).max() < 1e-4
+def test_votes_are_brute_force(spark, tables):
+    rows, d, lab = tables
+    model = quality.train(d, lab)
+    some = [t for _, t, _, _ in rows[:150]] + ["", "x", "!!! ???"]
+    got = quality.scores(model, some, quality.Pieces())
+    assert np.abs(np.array(got) - brute_votes(model, some)).max() < 2e-3
+
+
+def brute_lexicon(rows):
+    """Likelihood ratios from the four counts of each entry, one by one."""
+    nt, nc = sum(y for _, y in rows), sum(1 - y for _, y in rows)
+    sets = [({e for w in toxicity.words_of(t) for e in toxicity._entries(w)}, y) for t, y in rows]
+    out = {}
+    for e in set().union(*(s for s, y in sets if y)):
+        a, b = (sum(e in s for s, y in sets if y == v) for v in (1, 0))
+        n, of = a + b, nt / (nt + nc)
+        g = 2 * sum(x * np.log(x / (n * q)) for x, q in ((a, of), (b, 1 - of)) if x)
+        odds = np.log((a + 0.5) / (nt - a + 0.5)) - np.log((b + 0.5) / (nc - b + 0.5))
+        if a >= toxicity.LEAST_DOCS and g >= toxicity.LEAST_G and odds >= 0.7:
+            out[e] = odds
+    return out
+
+
+def test_the_lexicon_is_brute_force(spark, tables):
+    rows, d, lab = tables
+    some = [(i, t, x) for i, t, _, x in rows if i % 3 != 1]
+    model = toxicity.train(d, lab, fold=None)
+    want = brute_lexicon([(t, x) for _, t, x in some])
+    assert want.keys() == model["lexicon"].keys() and all(abs(want[e] - v) < 1e-9 for e, v in model["lexicon"].items()) and "idiot$" in want
 
 
 # ---- the pipeline
