@@ -7,19 +7,29 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from folioflow.functions import text as T
 
 
-@F.pandas_udf(DoubleType())
-def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp ratio 2M/T of two strings, unrounded; 0 where either is empty or null."""
-    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b, strict=True)], dtype="float64")
+@F.pandas_udf(StructType([StructField("ratio", DoubleType()), StructField("rounded", DoubleType())]))
+def matching_ratios(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """Ratcliff-Obershelp ratio 2M/T of two strings, and that rounded to four places from its binary value; 0 where either is empty or null.
+
+    The time grows with the product of the lengths: it is for readings of one
+    question, some thousands of characters at most.
+    """
+    made = [difflib.SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b, strict=True)]
+    return pd.DataFrame({"ratio": pd.Series(made, dtype="float64"), "rounded": pd.Series([round(v, 4) for v in made], dtype="float64")})
+
+
+def similarity(primary: Column, secondary: Column) -> Column:
+    """struct<ratio, rounded> of two readings, both in the form for comparing; one trip to Python."""
+    return matching_ratios(T.normalize_for_compare(primary), T.normalize_for_compare(secondary))
 
 
 def text_similarity(primary: Column, secondary: Column) -> Column:
-    return matching_ratio(T.normalize_for_compare(primary), T.normalize_for_compare(secondary))
+    return similarity(primary, secondary)["ratio"]
 
 
 def number_conflict(primary: Column, secondary: Column, similarity: Column) -> Column:
@@ -27,16 +37,10 @@ def number_conflict(primary: Column, secondary: Column, similarity: Column) -> C
     return (T.text_of(secondary) != "") & (similarity >= T.RELIABLE_SIMILARITY) & (T.numbers(primary) != T.numbers(secondary))
 
 
-@F.pandas_udf(DoubleType())
-def half_even_4(s: pd.Series) -> pd.Series:
-    """Rounded to four places from the binary value."""
-    return s.map(lambda v: None if v is None or v != v else round(v, 4))
-
-
 def structured_problem(primary: Column, secondary: Column, hint: Column | None = None) -> Column:
     """Two readings as one question: struct<title, body, figure, primary_text, secondary_text, text_similarity, primary_numbers, secondary_numbers, review_reasons>."""
     first, second = T.question_fragment(primary, hint), T.question_fragment(secondary, hint)
-    like = text_similarity(first["fragment"], second["fragment"])
+    like = similarity(first["fragment"], second["fragment"])
 
     def read(v: Column) -> Column:
         p = v["p"]["fragment"]
@@ -48,10 +52,10 @@ def structured_problem(primary: Column, secondary: Column, hint: Column | None =
 
     def judge(v: Column, t: Column) -> Column:
         p, s = v["p"]["fragment"], v["s"]["fragment"]
-        own = F.array(F.when(t["title"] == T.NAMELESS_TITLE, T.REASON_TITLE), F.when(number_conflict(p, s, v["like"]), T.REASON_NUMBERS), F.when(F.length(t["body"]) < T.SHORT_BODY, T.REASON_SHORT))
+        own = F.array(F.when(t["title"] == T.NAMELESS_TITLE, T.REASON_TITLE), F.when(number_conflict(p, s, v["like"]["ratio"]), T.REASON_NUMBERS), F.when(F.length(t["body"]) < T.SHORT_BODY, T.REASON_SHORT))
         return F.struct(
-            t["title"].alias("title"), t["body"].alias("body"), T.figure_kind(t["body"]).alias("figure"), p.alias("primary_text"), s.alias("secondary_text"), v["rounded"].alias("text_similarity"),
+            t["title"].alias("title"), t["body"].alias("body"), T.figure_kind(t["body"]).alias("figure"), p.alias("primary_text"), s.alias("secondary_text"), v["like"]["rounded"].alias("text_similarity"),
             T.numbers(p).alias("primary_numbers"), T.numbers(s).alias("secondary_numbers"), F.array_distinct(F.concat(v["p"]["reasons"], F.array_compact(own))).alias("review_reasons"),
         )
 
-    return T.let(F.struct(first.alias("p"), second.alias("s"), like.alias("like"), half_even_4(like).alias("rounded")), read)
+    return T.let(F.struct(first.alias("p"), second.alias("s"), like.alias("like")), read)

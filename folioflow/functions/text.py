@@ -6,6 +6,7 @@ are spelt out, because Java's, Python's and DuckDB's shorthands differ.
 
 from __future__ import annotations
 
+import json
 import unicodedata
 
 import pandas as pd
@@ -45,9 +46,14 @@ def text_of(c: Column) -> Column:
 
 
 @F.pandas_udf(StringType())
-def nfkc(s: pd.Series) -> pd.Series:
-    """Unicode NFKC; Spark has no built-in for it. Null stays null."""
-    return s.map(lambda t: None if t is None else t if t.isascii() else unicodedata.normalize("NFKC", t))
+def _nfkc(s: pd.Series) -> pd.Series:
+    return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+
+def nfkc(c: Column) -> Column:
+    """Unicode NFKC; Spark has no built-in for it. Null stays null. Texts in ASCII go to Python as nulls, so their bytes stay in the JVM."""
+    plain = c.rlike("^[\\x00-\\x7F]*$")
+    return F.when(plain, c).otherwise(_nfkc(F.when(~plain, c)))
 
 
 def content_fingerprint(text: Column, figure: Column | None = None) -> Column:
@@ -256,3 +262,39 @@ def legacy_category(c: Column) -> Column:
 def formula_id(crop: Column, x0: Column, y0: Column) -> Column:
     """A formula's name from its picture's bytes and place."""
     return F.concat(F.lit("formula-"), F.left(F.sha2(crop, 256), F.lit(12)), F.lit("-"), x0.cast("string"), F.lit("-"), y0.cast("string"))
+
+
+@F.pandas_udf(StringType())
+def canonical_json(s: pd.Series) -> pd.Series:
+    """JSON with sorted keys and one space behind each comma and colon, non-ASCII letters as they are; null where it can't be read."""
+
+    def one(t: str | None) -> str | None:
+        try:
+            return None if t is None else json.dumps(json.loads(t), ensure_ascii=False, sort_keys=True)
+        except ValueError:
+            return None
+
+    return s.map(one)
+
+
+def wrapped(c: Column, width_of, most: float | Column) -> Column:
+    """Lines of at most `most` wide, broken between any two characters; a wider character has a line of its own, and empty lines go.
+
+    `width_of` gives a character's width as a column.
+    """
+    limit = F.lit(most).cast("double") if not isinstance(most, Column) else most.cast("double")
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("line"), F.lit(0.0).alias("wide"))
+    flushed = lambda s: F.when(s["line"] != "", F.concat(s["out"], F.array(s["line"]))).otherwise(s["out"])
+
+    def step(s: Column, ch: Column) -> Column:
+        w = width_of(ch).cast("double")
+        turn = (s["line"] != "") & (s["wide"] + w > limit)
+        grown = F.struct(s["out"].alias("out"), F.concat(s["line"], ch).alias("line"), (s["wide"] + w).alias("wide"))
+        return F.when(ch == "\n", F.struct(flushed(s).alias("out"), F.lit("").alias("line"), F.lit(0.0).alias("wide"))).when(turn, F.struct(flushed(s).alias("out"), ch.alias("line"), w.alias("wide"))).otherwise(grown)
+
+    return F.aggregate(F.filter(F.split(text_of(c), ""), lambda ch: ch != ""), start, step, flushed)
+
+
+def display_width(ch: Column) -> Column:
+    """2 for wide characters (Chinese, full-width forms), 1 for others."""
+    return F.when(ch.rlike("[\\u1100-\\u115F\\u2E80-\\uA4CF\\uAC00-\\uD7A3\\uF900-\\uFAFF\\uFE30-\\uFE6F\\uFF00-\\uFF60\\uFFE0-\\uFFE6]"), 2).otherwise(1)

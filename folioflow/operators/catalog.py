@@ -28,6 +28,16 @@ def search(df: DataFrame, group: str | None = None, key: str | None = None, q: s
     return out
 
 
+def lookup(df: DataFrame, key: str, value) -> DataFrame:
+    """The row with a key, or none; the filter reaches the scan, so other files and row groups are not read."""
+    return df.where(F.col(key) == F.lit(value)).limit(1)
+
+
+def lookup_many(df: DataFrame, key: str, asked: DataFrame) -> DataFrame:
+    """The rows whose key is asked for: a semi join, for more keys than a filter holds."""
+    return df.join(asked.select(key).distinct(), key, "left_semi")
+
+
 def assets(df: DataFrame) -> DataFrame:
     """What is published and accepted."""
     return df.where((F.col("asset_state") == "published") & (F.col("review_status") == "accepted"))
@@ -57,6 +67,14 @@ def known_pair(group: str | None, key: str | None, taxonomy: DataFrame, used: Da
     return not pairs.where((F.col("g") == group) & ((F.col("k") == key) if key else F.lit(True))).isEmpty()
 
 
+def known_pairs(asked: DataFrame, taxonomy: DataFrame, used: DataFrame | None = None) -> DataFrame:
+    """The asked (`category_group`, `category_key`) pairs that the taxonomy or the data has: one semi join for all of them."""
+    pairs = taxonomy.select(F.col("group_name").alias("category_group"), F.col("category_name").alias("category_key"))
+    if used is not None:
+        pairs = pairs.unionByName(used.select("category_group", "category_key"))
+    return asked.join(pairs.distinct(), ["category_group", "category_key"], "left_semi")
+
+
 def keep_latest(df: DataFrame, fingerprint: Column, by: list[str]) -> DataFrame:
     """The last row by the columns `by` of each fingerprint, with the `copies` it stands for.
 
@@ -84,11 +102,20 @@ def batch_status(batches: DataFrame, problems: DataFrame) -> DataFrame:
 
 
 def batch_with_problems(batches: DataFrame, problems: DataFrame, columns: tuple[str, ...] = ("id", "filename", "status")) -> DataFrame:
-    """Batches with their problems nested in order of creation; a batch holds at most 200 files."""
+    """Batches with their problems nested in order of creation: the view of an upload, which `files.MOST_FILES` bounds.
+
+    For batches of any size `batch_listing` has the same rows flat.
+    """
     rows = F.array_sort(F.collect_list(F.struct("created_at", *columns)))
     return batches.join(problems.groupBy(F.col("batch_id").alias("id")).agg(rows.alias("problems")), "id", "left")
 
 
+def batch_listing(batches: DataFrame, problems: DataFrame, columns: tuple[str, ...] = ("id", "filename", "status")) -> DataFrame:
+    """One row per problem of each batch (one with nulls for an empty batch); readers order by batch_id, created_at and id. No batch is ever one value."""
+    of = problems.select("batch_id", "created_at", *columns)
+    return batches.select(F.col("id").alias("batch_id")).join(of, "batch_id", "left")
+
+
 def publish(published: DataFrame, accepted: DataFrame, by: list[str]) -> DataFrame:
     """The new snapshot of published rows: an accepted row replaces whatever has its fingerprint.
 
@@ -173,6 +200,32 @@ def ensure_categories(names: DataFrame, known: DataFrame, now: Column) -> DataFr
     return known.unionByName(fresh, allowMissingColumns=True)
 
 
-def public_view(df: DataFrame) -> DataFrame:
-    """Without file paths; with tags nested."""
-    return df.withColumn("tags", F.struct(F.col("category_group").alias("group"), F.col("category_key").alias("category"))).drop("source_path", "selected_artifact")
+def public_view(df: DataFrame, active: DataFrame | None = None, eligible: Column | None = None) -> DataFrame:
+    """What may be shown of problems: no file paths; tags, exportability, formulas and diagnostics.
+
+    `tags` say whether the pair is among the `active` ones (group_name,
+    category_name). Where `df` has `content_blocks`, `formulas` are its LaTeX blocks
+    with an id; where it has `review_reasons`, `review_diagnostics` are those of
+    what is neither accepted nor excluded.
+    """
+    from folioflow.operators import review
+
+    given = lambda c: F.when(T.text_of(c) != "", c)
+    group = F.coalesce(given(F.col("category_group")), F.lit(T.UNCATEGORIZED))
+    old = [given(F.col("category"))] if "category" in df.columns else []
+    out = df.withColumns({"__g": group, "__k": F.coalesce(given(F.col("category_key")), *old, F.lit(T.UNCATEGORIZED))})
+    tags = [F.col("__g").alias("category_group"), F.col("__k").alias("category_key")]
+    if active is not None:
+        pairs = active.select(F.col("group_name").alias("__g"), F.col("category_name").alias("__k")).distinct().withColumn("__active", F.lit(True))
+        out = out.join(pairs, ["__g", "__k"], "left")
+        tags.append(F.coalesce("__active", F.lit(False)).alias("active"))
+    out = out.withColumn("tags", F.struct(*tags))
+    if eligible is not None:
+        out = out.withColumn("markdown_exportable", F.coalesce(eligible, F.lit(False)))
+    if "content_blocks" in df.columns:
+        shown = F.filter("content_blocks", lambda b: (b["type"] == "latex") & (T.text_of(b["formula_id"]) != ""))
+        out = out.withColumn("formulas", F.coalesce(shown, F.array().cast(dict(df.dtypes)["content_blocks"])))
+    if "review_reasons" in df.columns:
+        numbers = [F.col(c) if c in df.columns else F.array().cast("array<string>") for c in ("primary_numbers", "secondary_numbers")]
+        out = out.withColumn("review_diagnostics", review.diagnostics(F.col("review_reasons"), *numbers, F.col("error") if "error" in df.columns else None, F.col("review_status")))
+    return out.drop("source_path", "selected_artifact", "__g", "__k", "__active")

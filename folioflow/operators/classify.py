@@ -81,9 +81,8 @@ def classify_by_rules(text: Column, rules: Iterable[Rule] = RULES, allowed: Mapp
     none = F.lit(T.UNCATEGORIZED)
     if not usable:
         return out(none, none, F.lit(0.0), F.array(F.lit(REASON_NO_RULES)), F.lit(0), F.lit(0))
-    t = T.compact(text) if spaceless else T.text_of(text)
-    ranked = F.array_sort(F.array(*[F.struct((-r.score(t)).alias("s"), F.lit(i).alias("i"), F.lit(r.group).alias("g"), F.lit(r.category).alias("c")) for i, r in enumerate(usable)]))
-    # the sorted array is bound once by a one-element transform; as a plain expression it would run for each of its uses
+    def rank(t: Column) -> Column:
+        return F.array_sort(F.array(*[F.struct((-r.score(t)).alias("s"), F.lit(i).alias("i"), F.lit(r.group).alias("g"), F.lit(r.category).alias("c")) for i, r in enumerate(usable)]))
 
     def read(a: Column) -> Column:
         best, second = -a[0]["s"], (-a[1]["s"] if len(usable) > 1 else F.lit(0))
@@ -92,7 +91,8 @@ def classify_by_rules(text: Column, rules: Iterable[Rule] = RULES, allowed: Mapp
         reasons = F.when(low, F.array(F.lit(REASON_UNSTABLE))).when(conf < REVIEW_BELOW, F.array(F.lit(REASON_UNSURE))).otherwise(no_reason)
         return out(F.when(low, none).otherwise(a[0]["g"]), F.when(low, none).otherwise(a[0]["c"]), F.when(low, 0.0).otherwise(conf), reasons, best, second)
 
-    return F.transform(F.array(ranked), read)[0]
+    # bound once each: the folded text would else be made anew for every pattern, and the ranking for each of its uses
+    return T.let(T.compact(text) if spaceless else T.text_of(text), lambda t: T.let(rank(t), read))
 
 
 def cascade(df: DataFrame, key: str, text: str, model: DataFrame | None = None, rules: Iterable[Rule] = RULES, allowed: Mapping[str, Iterable[str]] | None = None, spaceless: bool = True) -> DataFrame:

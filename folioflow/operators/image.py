@@ -210,26 +210,30 @@ def _line_score(mask: np.ndarray) -> float:
     return float((np.minimum(w, 180) * np.minimum(w / np.maximum(h, 1), 8))[ok].sum())
 
 
-def orient(image: np.ndarray, turn: int | None = None) -> tuple[np.ndarray, dict]:
-    """Upright by the direction of text lines, or as told (90, -90, 180 degrees clockwise)."""
-    if turn is not None:
-        return np.ascontiguousarray(np.rot90(image, {90: -1, -90: 1, 180: 2}.get(turn, 0))), {"rotation_degrees": turn, "orientation_confidence": 1.0}
+def text_direction(image: np.ndarray) -> float:
+    """Above 0 where ink joins to lines along the rows rather than along the columns."""
     g = grey(downscaled(image, 600)).astype(float)
     ink = g < box_mean(g, 15) - 15
-    flat, upright = _line_score(ink), _line_score(ink.T)
-    total = max(flat + upright, 1e-6)
-    sure = min(1.0, 0.5 + abs(flat - upright) / total / 4 * 2)
-    return (np.ascontiguousarray(np.rot90(image, -1)), {"rotation_degrees": 90, "orientation_confidence": sure}) if upright > flat else (image, {"rotation_degrees": 0, "orientation_confidence": sure})
+    return float(np.log1p(_line_score(ink)) - np.log1p(_line_score(ink.T)))
+
+
+def orient(image: np.ndarray, turn: int | None = None) -> tuple[np.ndarray, dict]:
+    """Upright by the direction of text lines, or as the boxes of recognised lines told (90, -90, 180 degrees clockwise)."""
+    if turn in (90, -90, 180):
+        return np.ascontiguousarray(np.rot90(image, {90: -1, -90: 1, 180: 2}[turn])), {"rotation_degrees": turn, "orientation_confidence": 0.9, "orientation_scores": [], "orientation_source": "ocr-boxes"}
+    turned = np.ascontiguousarray(np.rot90(image, -1))
+    flat, upright = text_direction(image), text_direction(turned)
+    sure = {"orientation_confidence": round(min(1.0, 0.5 + abs(upright - flat) / 4), 4), "orientation_scores": [round(flat, 4), round(upright, 4)], "orientation_source": "image-heuristic"}
+    return (turned, {"rotation_degrees": 90, **sure}) if upright > flat else (image, {"rotation_degrees": 0, **sure})
 
 
 def rectify(image: np.ndarray) -> tuple[np.ndarray, dict]:
     """The brightest large quadrilateral as the whole picture; a page that fills it stays."""
     g = grey(image)
-    _, stats = components(g > otsu(g))
+    labels, stats = components(g > otsu(g))
     none = {"page_confidence": 0.0, "page_rectified": False}
     if not len(stats):
         return image, none
-    labels, stats = components(g > otsu(g))
     k = int(stats[:, 4].argmax())
     share = stats[k, 4] / g.size
     if share < 0.25:

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ from folioflow.operators import blocks as B
 from folioflow.operators import catalog as C
 from folioflow.operators import classify as K
 from folioflow.operators import exports as X
+from folioflow.operators import figures as Fg
 from folioflow.operators import latex as L
 from folioflow.operators import layout as G
 from folioflow.operators import review as V
@@ -263,7 +266,7 @@ def _turns(spark, d) -> DataFrame:
 
 @query()
 def similarity_ratio(spark, d):
-    return _turns(spark, d).select("conv_id", "turn", S.half_even_4(S.text_similarity(F.col("p"), F.col("s"))).alias("similarity"))
+    return _turns(spark, d).select("conv_id", "turn", S.similarity(F.col("p"), F.col("s"))["rounded"].alias("similarity"))
 
 
 @query()
@@ -399,11 +402,33 @@ def nearest_snap(spark, d):
     return table(spark, d, "part").select("p_partkey", G.nearest(F.col("p_size").cast("double"), grid, F.lit(3.0)).alias("snapped"))
 
 
-@query("""SELECT least(a, b) AS a, greatest(a, b) AS b, count(*) AS n FROM (SELECT l_partkey % 17 AS a, l_suppkey % 17 AS b FROM lineitem) WHERE a <> b GROUP BY 1, 2 HAVING count(*) >= 8""")
+def _room_edges(columns: int, rows: int, side: int = 40) -> str:
+    """The pairs of rooms that share a wall in a drawing of a grid, found from its pixels."""
+    xs, ys = [10 + side * i for i in range(columns + 1)], [10 + side * i for i in range(rows + 1)]
+    walls = np.zeros((ys[-1] + 11, xs[-1] + 11), bool)
+    for x in xs:
+        walls[10 : ys[-1] + 1, x - 1 : x + 2] = True
+    for y in ys:
+        walls[y - 1 : y + 2, 10 : xs[-1] + 1] = True
+    labels, inside = Fg.interior_regions(walls)
+    names = {label: f"r{i:02}" for i, (label, _) in enumerate(sorted(inside.items(), key=lambda r: (r[1][1], r[1][0])), 1)}
+    pairs = Fg.adjacency(labels, names, [(xs[0], y, xs[-1], y) for y in ys], [(x, ys[0], x, ys[-1]) for x in xs])
+    return ",".join(f"{a}-{b}" for a, b in pairs)
+
+
+@query("""WITH g AS (SELECT p_partkey, 1 + p_size % 4 AS columns, 1 + p_partkey % 3 AS rows FROM part),
+c AS (SELECT p_partkey, columns, rows, y, x, y * columns + x + 1 AS i FROM (SELECT *, unnest(range(columns)) AS x FROM (SELECT *, unnest(range(rows)) AS y FROM g)))
+SELECT p_partkey, coalesce(string_agg(e, ',' ORDER BY e), '') AS edges FROM (
+  SELECT p_partkey, columns, rows FROM g) LEFT JOIN (
+  SELECT p_partkey, 'r' || lpad(CAST(i AS VARCHAR), 2, '0') || '-r' || lpad(CAST(i + 1 AS VARCHAR), 2, '0') AS e FROM c WHERE x + 1 < columns
+  UNION ALL SELECT p_partkey, 'r' || lpad(CAST(i AS VARCHAR), 2, '0') || '-r' || lpad(CAST(i + columns AS VARCHAR), 2, '0') FROM c WHERE y + 1 < rows) USING (p_partkey) GROUP BY p_partkey""")
 def adjacency_edges(spark, d):
-    """Unordered pairs of regions that touch often enough."""
-    e = table(spark, d, "lineitem").select((F.col("l_partkey") % 17).alias("x"), (F.col("l_suppkey") % 17).alias("y")).where("x <> y")
-    return e.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count("*").alias("n")).where("n >= 8")
+    """Which regions of a drawn map face each other across a line: each part is a grid of rooms of its size."""
+    def edges(columns: pd.Series, rows: pd.Series) -> pd.Series:
+        return pd.Series([_room_edges(int(c), int(r)) for c, r in zip(columns, rows, strict=True)], dtype="str")
+
+    part = table(spark, d, "part").select("p_partkey", (1 + F.col("p_size") % 4).alias("columns"), (1 + F.col("p_partkey") % 3).alias("rows"))
+    return part.select("p_partkey", F.pandas_udf(edges, "string")("columns", "rows").alias("edges"))
 
 
 @query("""SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) / len(embedding), 6) AS mean, round(CAST(list_sort(embedding)[CAST(floor((len(embedding) - 1) * 0.05) AS INTEGER) + 1] AS DOUBLE), 6) AS p05 FROM embeddings""")
@@ -512,16 +537,32 @@ def pdf_layout(spark, d):
     return X.pdf_layout(X.outline(_export(spark, d).drop("ocr_text"), ["created_at", "id"], ["batch_id"]), "batch_id")
 
 
-@query(f"""{_OUTLINE} SELECT batch_id, CAST(count(*) AS BIGINT) + CAST(count(*) FILTER (number % 2 = 0 AND number < total) AS BIGINT) AS problems_and_breaks FROM o GROUP BY 1""")
+_HEADED = f"""{_OUTLINE}, h AS (SELECT batch_id, CAST(number AS INTEGER) AS number, CAST(id AS VARCHAR) AS id, coalesce(nullif(category_group, ''), '未分类') AS g, category_key AS c, coalesce(ocr_text, '') AS body, number % 2 = 0 AND number < total AS breaks,
+  category_group IS DISTINCT FROM lag(category_group) OVER w AS ng, category_group IS DISTINCT FROM lag(category_group) OVER w OR category_key IS DISTINCT FROM lag(category_key) OVER w AS nc FROM o WINDOW w AS (PARTITION BY batch_id ORDER BY number))"""
+
+
+@query(f"""{_HEADED}, p AS (
+  SELECT batch_id, number, 1 AS rank, 'Heading 1' AS style, g AS text FROM h WHERE ng UNION ALL SELECT batch_id, number, 2, 'Heading 2', c FROM h WHERE nc
+  UNION ALL SELECT batch_id, number, 3, 'Heading 3', '题目 ' || number FROM h UNION ALL SELECT batch_id, number, 4, 'Normal', body FROM h
+  UNION ALL SELECT batch_id, number, 5, 'Space 45mm', '' FROM h UNION ALL SELECT batch_id, number, 6, 'Page break', '' FROM h WHERE breaks)
+SELECT batch_id, number, rank, style, sha256(text) AS text_sha256 FROM p""")
 def docx_layout(spark, d):
+    """Every paragraph of every export; whole texts go into a hash."""
     rows = X.docx_layout(X.outline(_export(spark, d), ["created_at", "id"], ["batch_id"]))
-    return rows.where(F.col("style").isin("Heading 3", "Page break")).groupBy("batch_id").agg(F.count("*").alias("problems_and_breaks"))
+    return rows.select("batch_id", "number", "rank", "style", F.sha2("text", 256).alias("text_sha256"))
 
 
-@query(f"""{_OUTLINE} SELECT batch_id, CAST(number AS INTEGER) AS number, '    - [[#^mb-' || left(sha256('problem' || chr(31) || id), 16) || '|题目 ' || number || ']]' AS line FROM o""")
+@query(f"""{_HEADED}, k AS (SELECT *, 'mb-' || left(sha256('group' || chr(31) || g), 16) AS ag, 'mb-' || left(sha256('category' || chr(31) || g || chr(31) || c), 16) AS ac, 'mb-' || left(sha256('problem' || chr(31) || id), 16) AS ap FROM h),
+l AS (SELECT batch_id, 0 AS part, number, 0 AS rank, '- [[#^' || ag || '|' || g || ']]' AS line FROM k WHERE ng
+  UNION ALL SELECT batch_id, 0, number, 1, '  - [[#^' || ac || '|' || c || ']]' FROM k WHERE nc UNION ALL SELECT batch_id, 0, number, 2, '    - [[#^' || ap || '|题目 ' || number || ']]' FROM k
+  UNION ALL SELECT batch_id, 1, number, 0, chr(10) || '## ' || g || ' ^' || ag FROM k WHERE ng UNION ALL SELECT batch_id, 1, number, 1, chr(10) || '### ' || c || ' ^' || ac FROM k WHERE nc
+  UNION ALL SELECT batch_id, 1, number, 2, chr(10) || '#### 题目 ' || number || ' ^' || ap FROM k UNION ALL SELECT batch_id, 1, number, 3, chr(10) || body FROM k
+  UNION ALL SELECT batch_id, 1, number, 4, chr(10) || '{X.ANSWER_SPACE}' FROM k UNION ALL SELECT batch_id, 1, number, 5, chr(10) || '{X.PAGE_BREAK}' FROM k WHERE breaks)
+SELECT batch_id, part, number, rank, sha256(line) AS line_sha256 FROM l""")
 def markdown_lines(spark, d):
-    o = X.outline(_export(spark, d).withColumn("body", F.array("ocr_text")), ["created_at", "id"], ["batch_id"])
-    return X.markdown_lines(o).where("part = 0 and rank = 2").select("batch_id", "number", "line")
+    """Every line of every note, contents and body; whole texts go into a hash."""
+    o = X.outline(_export(spark, d).withColumn("body", F.array(T.text_of(F.col("ocr_text")))), ["created_at", "id"], ["batch_id"])
+    return X.markdown_lines(o).select("batch_id", "part", "number", "rank", F.sha2("line", 256).alias("line_sha256"))
 
 
 @query("SELECT n_nationkey, 'mb-' || left(sha256('group' || chr(31) || n_name), 16) AS anchor, '\\*' || replace(n_name, '_', '\\_') || '\\_' AS escaped FROM nation")
@@ -590,11 +631,12 @@ def ensure_categories(spark, d):
     return C.ensure_categories(part.select(F.col("p_type").alias("name")), known, F.lit("1")).select("name")
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)")
+@query("SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 11 <> 0)")
 def reference_violations(spark, d):
+    """Orders of customers that are not there: every eleventh is taken away, since the tables have no orphans."""
     from folioflow.sources.schema import orphans
 
-    return orphans(table(spark, d, "orders"), "o_custkey", table(spark, d, "customer"), "c_custkey").select("o_orderkey")
+    return orphans(table(spark, d, "orders"), "o_custkey", table(spark, d, "customer").where("c_custkey % 11 <> 0"), "c_custkey").select("o_orderkey")
 
 
 # ---- taxonomy views and review
@@ -689,3 +731,80 @@ def grid_figures(spark, d):
 
     drawn = table(spark, d, "nation").select("n_nationkey").mapInPandas(draw, "n_nationkey int, content binary, kind string, expected array<string>, places map<string,array<int>>")
     return Fig.reconstruct_images(drawn, "n_nationkey", "content").select("n_nationkey", Fig.passed().alias("passed"))
+
+
+# ---- lookups, public views, canonical forms
+
+
+@query(f"""WITH {PROBLEMS} SELECT id, batch_id, category_group, filename, created_at FROM problems WHERE id = 17""")
+def problem_by_id(spark, d):
+    return C.lookup(problems(spark, d), "id", 17).select("id", "batch_id", "category_group", "filename", "created_at")
+
+
+@query(f"""WITH {PROBLEMS} SELECT id, status FROM problems WHERE id IN (SELECT l_orderkey FROM lineitem)""")
+def problems_by_ids(spark, d):
+    return C.lookup_many(problems(spark, d), "id", table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"))).select("id", "status")
+
+
+@query(f"""WITH {PROBLEMS} SELECT d.source AS batch_id, id, status FROM (SELECT DISTINCT source FROM documents UNION SELECT 'none') d LEFT JOIN problems ON d.source = batch_id""")
+def batch_listing(spark, d):
+    p = problems(spark, d)
+    batches = p.select(F.col("batch_id").alias("id")).distinct().unionByName(spark.range(1).select(F.lit("none").alias("id")))
+    return C.batch_listing(batches, p, ("id", "status")).select("batch_id", "id", "status")
+
+
+@query(f"""WITH {_USED} SELECT c_custkey FROM used WHERE (category_group, category_key) IN (SELECT (r_name, n_name) FROM nation JOIN region ON n_regionkey = r_regionkey)
+  OR (category_group, category_key) IN (SELECT (category_group, category_key) FROM used WHERE c_custkey % 20 = 0)""")
+def known_pairs(spark, d):
+    used = _used(spark, d)
+    return C.known_pairs(used, _nations(spark, d), used.where("c_custkey % 20 = 0")).select("c_custkey")
+
+
+@query(f"""WITH {PROBLEMS}, a AS (SELECT * FROM (VALUES ('en', 'k1'), ('fr', 'k2')) t(g, k)),
+s AS (SELECT *, CASE id % 3 WHEN 0 THEN [{V.REASON_NO_TRUTH!r}] WHEN 1 THEN ['Formula 1 requires review', '其他'] ELSE [] END AS reasons FROM problems)
+SELECT id, category_group || '/' || category_key || '/' || CASE WHEN (category_group, category_key) IN (SELECT (g, k) FROM a) THEN 'true' ELSE 'false' END AS tags, id % 4 = 0 AS markdown_exportable,
+  CASE WHEN id % 2 = 0 THEN 'f' || id ELSE '' END AS formulas,
+  CASE WHEN review_status = 'accepted' THEN '' ELSE array_to_string(list_concat(CASE id % 3 WHEN 0 THEN [{V.DETAIL_NO_TRUTH[0]!r}] WHEN 1 THEN [{V.DETAIL_FORMULA_REVIEW[0]!r}, '其他'] ELSE [] END, CASE WHEN id % 5 = 0 THEN [{V.TITLE_FAILED!r}] ELSE [] END), ',') END AS diagnostics
+FROM s""")
+def public_problems(spark, d):
+    """Tags with whether they are active, exportability, formulas and diagnostics of every problem."""
+    formula = lambda kind, i: B.block(kind, formula_id=i, latex=F.lit("x"))
+    of = F.col("id") % 3
+    p = problems(spark, d).withColumns(
+        {
+            "content_blocks": F.array(B.block("text", text=F.lit("t")), formula("latex", F.lit("")), formula("latex", F.when(F.col("id") % 2 == 0, F.concat(F.lit("f"), F.col("id"))))),
+            "review_reasons": F.when(of == 0, F.array(F.lit(V.REASON_NO_TRUTH))).when(of == 1, F.array(F.lit("Formula 1 requires review"), F.lit("其他"))).otherwise(F.array().cast("array<string>")),
+            "error": F.when(F.col("id") % 5 == 0, "no"), "source_path": F.lit("a"), "selected_artifact": F.lit("b"),
+        }
+    )
+    active = spark.createDataFrame([("en", "k1"), ("fr", "k2")], "group_name string, category_name string")
+    out = C.public_view(p, active, F.col("id") % 4 == 0)
+    tags = F.concat_ws("/", "tags.category_group", "tags.category_key", F.col("tags.active").cast("string"))
+    return out.select("id", tags.alias("tags"), "markdown_exportable", F.array_join(F.transform("formulas", lambda b: b["formula_id"]), ",").alias("formulas"), F.array_join(F.transform("review_diagnostics", lambda r: r["title"]), ",").alias("diagnostics"))
+
+
+@query("""SELECT o_orderkey, '{"a": [' || o_custkey || ', "é"], "b": {"x": null, "y": "' || o_orderpriority || '"}, "z": true}' AS canonical FROM orders""")
+def canonical_json(spark, d):
+    raw = F.concat(F.lit('{"z":true,"b":{"y":"'), "o_orderpriority", F.lit('","x":null},"a":['), F.col("o_custkey").cast("string"), F.lit(',"\\u00e9"]}'))
+    return table(spark, d, "orders").select("o_orderkey", T.canonical_json(raw).alias("canonical"))
+
+
+@query("""SELECT p_partkey, array_to_string(list_transform(range(0, CAST(ceil(length(p_name) / 7.0) AS BIGINT)), lambda i: substr(p_name, 7 * i + 1, 7)), '|') AS lines FROM part""")
+def wrapped_names(spark, d):
+    return table(spark, d, "part").select("p_partkey", F.array_join(T.wrapped(F.col("p_name"), T.display_width, 7), "|").alias("lines"))
+
+
+@query("""WITH b AS (SELECT l_orderkey AS page_id, l_linenumber AS seq, l_partkey % 50 AS x0, l_suppkey % 50 AS y0, l_partkey % 50 + 1 + CAST(l_quantity AS BIGINT) AS x1, l_suppkey % 50 + 1 + CAST(l_quantity AS BIGINT) % 13 AS y1 FROM lineitem),
+e AS (SELECT page_id, seq, y0 AS a, x0 AS b, y1 AS c, x1 AS d, greatest(0, x0 - 2) AS x0, greatest(0, y0 - 4) AS y0, least(60, x1 + 2) AS x1, least(100, y1 + 4) AS y1 FROM b),
+k AS (SELECT *, (x1 - x0) * (y1 - y0) AS area FROM e WHERE (x1 - x0) * (y1 - y0) >= 64),
+f AS (SELECT * FROM k WHERE greatest(0, least(x1, 40) - greatest(x0, 20)) * greatest(0, least(y1, 60) - greatest(y0, 20)) <= 0.25 * area)
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY seq, a, b, c, d) AS INTEGER) AS formula_no, CAST(x0 AS INTEGER) AS x0, CAST(y0 AS INTEGER) AS y0, CAST(x1 AS INTEGER) AS x1, CAST(y1 AS INTEGER) AS y1 FROM f""")
+def formula_crops(spark, d):
+    """Lineitems as detected formulas, orders as pages of 60 by 100 with a figure in the middle."""
+    from folioflow.plans import processing as P
+
+    box = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").alias("seq"), (F.col("l_partkey") % 50).alias("x0"), (F.col("l_suppkey") % 50).alias("y0"), F.col("l_quantity").cast("long").alias("q"))
+    detected = box.select("page_id", "seq", "x0", "y0", (F.col("x0") + 1 + F.col("q")).alias("x1"), (F.col("y0") + 1 + F.col("q") % 13).alias("y1"), F.lit(0.5).alias("score"))
+    figure = F.struct(*[F.lit(v).alias(c) for c, v in (("x0", 20), ("y0", 20), ("x1", 40), ("y1", 60))])
+    pages = box.select("page_id").distinct().select("page_id", F.lit(60).alias("width"), F.lit(100).alias("height"), figure.alias("figure_box"))
+    return P.formula_crops(pages, detected).select("page_id", "formula_no", "x0", "y0", "x1", "y1")

@@ -61,3 +61,33 @@ def test_pictures_of_questions():
     x[40:44, 10:100] = 20
     layer = Im.print_layer(x)
     assert (layer[41, 50] == 0).all() and (layer[80, 50] == 255).all()
+
+
+def test_the_formula_chain(spark):
+    """Detected boxes to blocks: two sure formulas, one to review, one without a result, one that a figure covers, one too small; a page whose detector failed."""
+    from pyspark.sql import functions as F
+
+    from folioflow.plans import processing as P
+
+    box = "page_id string, seq int, x0 int, y0 int, x1 int, y1 int, score double"
+    detected = spark.createDataFrame([("a", 0, 100, 100, 160, 130, 0.9), ("a", 1, 700, 100, 760, 130, 0.8), ("a", 2, 520, 520, 560, 560, 0.7), ("a", 3, 0, 0, 1, 1, 0.9), ("b", 0, 100, 300, 160, 330, 0.6), ("c", 0, 5, 5, 90, 90, 0.5)], box)
+    pages = spark.createDataFrame(
+        [("a", 1000, 2000, "x+1 的值 是", "fig.png", (500, 500, 600, 600), None), ("b", 1000, 1000, "求 y", None, None, None), ("c", 1000, 1000, "没有", None, None, "no model"), ("d", 100, 100, "纯文字", "f.png", None, None)],
+        "page_id string, width int, height int, text string, figure string, figure_box struct<x0:int,y0:int,x1:int,y1:int>, detector_error string",
+    )
+    crops = {(r["page_id"], r["formula_no"]): (r["x0"], r["y0"], r["x1"], r["y1"]) for r in P.formula_crops(pages, detected).collect()}
+    assert crops == {("a", 1): (98, 96, 162, 134), ("a", 2): (698, 96, 762, 134), ("b", 1): (98, 296, 162, 334), ("c", 1): (3, 1, 92, 94)}
+    reading = "struct<latex:string,mean:double,p05:double,eos:boolean,unk:boolean>"
+    good, other, bad = ("x+1", 0.95, 0.9, True, False), ("x+2", 0.9, 0.9, True, False), ("\\evil{", 0.99, 0.9, True, False)
+    recognised = spark.createDataFrame([("a", 1, good, good, bytearray(b"1"), "c1", "o1"), ("a", 2, good, other, bytearray(b"2"), "c2", "o2"), ("b", 1, bad, bad, bytearray(b"3"), "c3", "o3")], f"page_id string, formula_no int, first {reading}, second {reading}, crop binary, clean_crop_asset string, original_crop_asset string")
+    lines = spark.createDataFrame([("a", "x+1 的值", 100, 95, 400, 135), ("b", "求 y", 100, 100, 300, 130)], "page_id string, text string, x0 int, y0 int, x1 int, y1 int")
+    out = {r["page_id"]: r for r in P.process_formulas(pages, detected, recognised, lines).collect()}
+    assert out["a"]["version"] == 2 and out["a"]["review_reasons"] == ["Formula 2 requires review"] and out["a"]["formula_count"] == 2
+    assert [(b["type"], b["latex"], b["text"]) for b in out["a"]["blocks"]] == [("latex", "x+1", None), ("text", None, "的值"), ("latex", "x+1", None), ("image", None, None)]
+    assert out["a"]["formula_states"]["auto_verified"] == 1 and out["a"]["formula_alignment"]["aligned"] == 1 and out["a"]["formula_alignment"]["standalone"] == 1
+    assert out["b"]["review_reasons"] == ["Formula 1 has no safe LaTeX result"] and out["b"]["formula_states"]["image_fallback"] == 1
+    assert out["c"]["review_reasons"] == ["Formula OCR unavailable: no model"] and out["c"]["version"] == 1 and out["c"]["formula_count"] == 0
+    assert [b["type"] for b in out["d"]["blocks"]] == ["text", "image"] and out["d"]["review_reasons"] == []
+    many = spark.range(70).select(F.lit("b").alias("page_id"), F.col("id").cast("int").alias("seq"), F.lit(0).alias("x0"), (F.col("id") * 10).cast("int").alias("y0"), F.lit(50).alias("x1"), (F.col("id") * 10 + 9).cast("int").alias("y1"), (F.col("id") / 100).alias("score"))
+    kept = P.formula_crops(pages, many).orderBy("formula_no").collect()
+    assert len(kept) == 64 and kept[0]["y0"] == 56 and kept[0]["omitted"] == 6

@@ -115,7 +115,7 @@ def test_ratio_is_difflibs(spark):
     import difflib
 
     pairs = [("abcd", "bcde"), ("", "a"), ("ab" * 150, "ba" * 140), ("x", "x")]
-    rows = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string").select("i", S.matching_ratio("a", "b").alias("r")).collect()
+    rows = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string").select("i", S.matching_ratios("a", "b")["ratio"].alias("r")).collect()
     assert [r["r"] for r in sorted(rows)] == [difflib.SequenceMatcher(None, a, b).ratio() if a and b else 0.0 for a, b in pairs]
 
 
