@@ -3,15 +3,18 @@
 A softmax classifier, fitted on a labelled table, gives every document a
 posterior over domains. Nonnegative document rates r then minimise
 
-    1/2 |sum_i r_i t_i p_i - T|^2 / S  +  mu/2 sum_i t_i (r_i - 1)^2
+    1/2 sum_d (sum_i r_i t_i p_id - T_d)^2 / T_d  +  mu/2 sum_i t_i (r_i - 1)^2
 
-for token counts t, posteriors p, targets T and their sum S, by accelerated
-projected gradients in the metric of the token counts, with restarts. Each round
+for token counts t, posteriors p and targets T (a target below a thousandth of the
+whole counts as that in the divisor), by accelerated projected gradients in the
+metric of the token counts, with restarts. Dividing by the targets makes small
+domains as quick as large ones; the step follows from the posteriors' second
+moments, k by k numbers that the first round sums. Each round
 sums the domain totals over the distributed table; only those totals come to the
 driver, and only the history of their errors, a few numbers a round, goes back: a
 rate depends on its posterior and that history alone, so tasks replay it and no
 per-document state is kept between rounds. Rounds end when every domain's total
-is within `TOLERANCE` of its target, or when no rate's projected gradient is above
+is within `TOLERANCE` of the whole from its target, or when no rate's projected gradient is above
 `GRADIENT`, so that the targets are met as nearly as the posteriors allow; if
 neither holds after `ROUNDS` the fit fails with the errors that are left.
 
@@ -39,8 +42,8 @@ from folioflow.llm._labelled import collected_features, labelled_rows
 from folioflow.llm._tables import written
 
 MAX_LABELLED = 6_000
-MU = 1e-3
-ROUNDS = 400
+MU = 5e-3
+ROUNDS = 600
 TOLERANCE = 1e-3
 GRADIENT = 5e-5
 SEED = 77
@@ -133,42 +136,52 @@ def replay(p: np.ndarray, history: list[tuple[np.ndarray, float]], step: float,
 
 
 def fit_rates(table: DataFrame, targets: np.ndarray, ratio: float, mu: float = MU, rounds: int = ROUNDS, tolerance: float = TOLERANCE, gradient: float = GRADIENT) -> tuple[list[tuple[np.ndarray, float]], float]:
-    """The history of domain errors and the step; `targets` are shares, `ratio` the mixed tokens by those there are."""
+    """The history of domain errors (by target) and the step; `targets` are shares, `ratio` the mixed tokens by those there are."""
     k = len(targets)
-    names = [f"d{i}" for i in range(k)] + ["all", "turn", "steepest"]
-    schema = pa.schema([(n, pa.float64()) for n in names])
 
-    def totals(history: list, step: float) -> np.ndarray:
+    def summed(columns: list[str], of) -> np.ndarray:
+        """Sums (the maximum of "steepest") of what `of` gives for tokens and posteriors, over the table."""
+        schema = pa.schema([(n, pa.float64()) for n in columns])
+
         def work(batches):
             for b in batches:
                 if b.num_rows:
-                    t = b.column(0).to_numpy().astype(float)
-                    p = b.column(1).flatten().to_numpy().reshape(-1, k)
-                    _, ahead, slope, turn = replay(p, history, step, mu)
-                    steepest = slope[t > 0].max(initial=0.0)  # a text without tokens counts for no total
-                    yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (*(t * ahead) @ p, t.sum(), (t * turn).sum(), steepest)], schema=schema)
+                    t, p = b.column(0).to_numpy().astype(float), b.column(1).flatten().to_numpy().reshape(-1, k)
+                    yield pa.RecordBatch.from_arrays([pa.array([x]) for x in of(t, p)], schema=schema)
 
-        row = table.select("n_tokens", "posterior").mapInArrow(work, ", ".join(f"`{n}` double" for n in names)).agg(*[(F.max if n == "steepest" else F.sum)(n).alias(n) for n in names]).first()
-        return np.array([row[n] or 0.0 for n in names])
+        row = table.select("n_tokens", "posterior").mapInArrow(work, ", ".join(f"`{n}` double" for n in columns)).agg(*[(F.max if n == "steepest" else F.sum)(n).alias(n) for n in columns]).first()
+        return np.array([row[n] or 0.0 for n in columns])
 
-    first = totals([], 0.0)
-    if first[k] <= 0:
+    names = [f"d{i}" for i in range(k)]
+    first = summed([*names, "all", *(f"m{i}" for i in range(k * k))], lambda t, p: (*(t @ p), t.sum(), *((p.T * t) @ p).ravel()))
+    whole, moments = first[k], first[k + 1 :].reshape(k, k)
+    if whole <= 0:
         return [], 0.0
-    shares = np.where(first[:k] > 1e-6 * first[k], targets, 0.0)
-    shares = shares / shares.sum() if shares.sum() > 0 else first[:k] / first[k]
-    s = ratio * first[k]
-    step = 1.0 / (1.0 / ratio + mu)
-    history, now, since = [], first, 0
+    shares = np.where(first[:k] > 1e-6 * whole, targets, 0.0)
+    shares = shares / shares.sum() if shares.sum() > 0 else first[:k] / whole
+    s = ratio * whole
+    scale = np.maximum(shares, 1e-3) * s
+    step = 1.0 / (float(np.linalg.eigvalsh(moments / np.sqrt(np.outer(scale, scale)))[-1]) + mu)
+
+    def totals(history: list) -> np.ndarray:
+        def of(t, p):
+            _, ahead, slope, turn = replay(p, history, step, mu)
+            # a text without tokens counts for no total
+            return (*((t * ahead) @ p), (t * turn).sum(), slope[t > 0].max(initial=0.0))
+
+        return summed([*names, "turn", "steepest"], of)
+
+    history, now, since = [], first[:k], 0
     for _ in range(rounds):
-        e = (now[:k] - shares * s) / s
-        if np.abs(e).max() <= tolerance:
+        off = now[:k] - shares * s
+        if np.abs(off).max() <= tolerance * s:
             return history, step
-        history.append((e, since / (since + 3)))
-        now = totals(history, step)
-        if now[k + 2] <= gradient:
+        history.append((off / scale, since / (since + 3)))
+        now = totals(history)
+        if now[k + 1] <= gradient:
             return history, step
-        since = 0 if now[k + 1] > 0 else since + 1
-    raise RuntimeError(f"rates not settled after {rounds} rounds: errors by domain {np.round(e, 5).tolist()}, projected gradient {now[k + 2]:.2g}")
+        since = 0 if now[k] > 0 else since + 1
+    raise RuntimeError(f"rates not settled after {rounds} rounds: errors by domain {np.round((now[:k] - shares * s) / s, 5).tolist()}, projected gradient {now[k + 1]:.2g}")
 
 
 def mix(
