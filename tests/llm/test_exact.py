@@ -256,6 +256,31 @@ def test_bpe_round_trip_and_digest(spark, encoder):
     assert bpe.digest(docs(spark, [])).count() == 0
 
 
+def test_long_texts_are_dealt_in_leaves(spark, encoder):
+    """Long texts, with long runs of letters, signs or digits without spaces, give the library's ids, however they are cut."""
+    rng = random.Random(6)
+    e = bpe.TreeEncoder(bpe.tokenizer_json(), 64, 8)
+    texts = [" ".join("".join(rng.choice("abcdé'sS.,!") for _ in range(rng.randint(1, 9))) for _ in range(900)), "ab " * 50 + "".join(rng.choice("abcé") for _ in range(3000)) + " end", "!?" * 800 + "7" * 500 + "é" * 700, "x<|endoftext|>" * 90 + "y" * 500, " " * 600]
+    for t in texts:
+        for size in (100, 1000):
+            cut = e.leaves(t, size)
+            assert e.joined([(p, k, c, e.leaf_ids(k, c)) for p, k, c in cut]) == library(encoder, t), t[:30]
+    rows = [(i, t * 3) for i, t in enumerate(texts)] + [(9, texts[0] * 3), (None, texts[0] * 3), (10, "short"), (11, None)]
+    got = {str(r["doc_id"]): r["ids"] for r in bpe.encode(docs(spark, rows, clash=True), "doc_id", "text", long_chars=1000).collect()}
+    out = {str(r["doc_id"]): r for r in bpe.digest(docs(spark, rows), long_chars=1000).collect()}
+    for d, t in rows:
+        ids = library(encoder, t or "")
+        assert got[str(d)] == ids and out[str(d)]["n_tokens"] == len(ids) and out[str(d)]["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+    assert len(got) == len(rows)
+
+
+def test_other_tokenizers_are_refused():
+    import public_tokenizers
+
+    with pytest.raises(ValueError, match="doesn't hold"):
+        bpe.TreeEncoder(bpe.tokenizer_json(public_tokenizers.path("byte_bpe_50k.json")))
+
+
 # ---- sharding
 
 
