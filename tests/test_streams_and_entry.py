@@ -94,7 +94,7 @@ def test_queries_match_their_sql(spark):
     duckdb = pytest.importorskip("duckdb")
     from pathlib import Path
 
-    from folioflow.plans import catalogue
+    from folioflow.plans import catalogue, forms  # noqa: F401
 
     d = Path("/root/testdata/sf0.001")
     if not d.exists():
@@ -115,7 +115,7 @@ def test_queries_match_their_sql(spark):
 
 
 def test_queries_without_sql_run(spark):
-    from folioflow.plans import catalogue
+    from folioflow.plans import catalogue, forms  # noqa: F401
 
     for name in set(catalogue.QUERIES) - set(catalogue.ORACLES):
         catalogue.QUERIES[name](spark, "/root/testdata/sf0.001").write.format("noop").mode("overwrite").save()  # every column is computed
