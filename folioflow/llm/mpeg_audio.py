@@ -3,7 +3,10 @@
 `parse` walks any MPEG-1/2/2.5 Layer I-III byte string: it reads ID3v2 and
 ID3v1 tags, finds frame headers again after foreign bytes, reads Xing/Info and
 VBRI tables, verifies CRC-16 where it covers a fixed range (Layers I and III),
-and returns the exact sample count and the offset of every frame.
+and returns the exact sample count and the offset of every frame. Layer II
+checksums, whose range depends on the bit allocation, count as unchecked; of a
+VBRI table only its counts are read; free-format streams have no frames here; and
+the encoder's delay and padding, where a table names them, stay in the duration.
 
 `store` is the lossless carrier: one VBR stream whose Layer III frames hold the
 payload in their main-data area, with a Xing table and protected headers.

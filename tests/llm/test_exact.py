@@ -82,6 +82,19 @@ def test_jaccard_join_is_brute_force(spark, rows):
     assert got == brute_join(rows)
 
 
+def test_jaccard_join_finds_the_links_of_the_tables(spark):
+    """Recall on given documents: every link that brute force counts is found."""
+    from pathlib import Path
+
+    path = Path("/root/testdata/sf0.01/documents.parquet")
+    if not path.exists():
+        pytest.skip("no test tables")
+    df = spark.read.parquet(str(path)).select("doc_id", "text")
+    got = sorted(tuple(r) for r in jaccard_join.jaccard_join(df).collect())
+    want = brute_join([tuple(r) for r in df.collect()])
+    assert got == want and sum(n for *_, n in want) > 10
+
+
 def test_an_id_with_unlike_texts_is_in_the_class_of_each(spark):
     """Id 5 holds A and B, 9 holds B, 3 a near-copy of A, 7 one of B: rows are as if each text had an id of its own."""
     import corpus_pipeline
