@@ -38,6 +38,7 @@ POWER = 4
 BLOCK = 256
 THRESHOLD = 0.7
 KEPT_PIECES = 150_000  # of a worker's memory of hashed pieces; emptied when full
+_SIGNS = "".join(chr(i) for i in range(128) if chr(i) not in "Aa0")
 _RUNS = re.compile(r"(.)\1+")
 
 
@@ -45,21 +46,43 @@ def _slot(term: str) -> int:
     return zlib.crc32(term.encode("utf-8", "surrogatepass")) % DIMENSIONS
 
 
+class _Kinds(dict):
+    """A sign's code -> its kind: "A" and "a" for letters, "0" for digits, other signs themselves."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = kind = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
+        return kind
+
+
+_KINDS = _Kinds()
+
+
 class Pieces(dict):
     """A piece between spaces -> the slots of its terms."""
 
+    def __init__(self):
+        super().__init__()
+        self.shapes: dict[str, tuple[int, int]] = {}  # of kinds of signs, which are far fewer than pieces
+
     def __missing__(self, piece: str) -> tuple[int, ...]:
         if len(self) >= KEPT_PIECES:
             self.clear()
-        kinds = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in piece)
-        end = len(kinds)
-        while end and kinds[end - 1] not in "Aa0":
-            end -= 1
-        out = tuple(_slot(t) for t in ("s:" + _RUNS.sub(r"\1\1", kinds), "t:" + kinds[end:], "w:" + piece.lower()))
+        kinds = piece.translate(_KINDS)
+        out = (*(self.shapes.get(kinds) or self._shape(kinds)), _slot("w:" + piece.lower()))
         if len(piece) <= 64:
             self[piece] = out
         return out
 
+    def _shape(self, kinds: str) -> tuple[int, int]:
+        if len(self.shapes) >= KEPT_PIECES:
+            self.shapes.clear()
+        end = len(kinds.rstrip(_SIGNS)) if kinds.isascii() else max((i + 1 for i, c in enumerate(kinds) if c in "Aa0"), default=0)
+        out = _slot("s:" + _RUNS.sub(r"\1\1", kinds)), _slot("t:" + kinds[end:])
+        if len(kinds) <= 64:
+            self.shapes[kinds] = out
+        return out
+
 
 def counts(texts: list[str], known: Pieces, edges: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """Hashed term counts and dense features of some texts."""
