@@ -8,6 +8,7 @@ orders versioned rows, events block rows and intervals, lineitem boxes.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -402,8 +403,9 @@ def nearest_snap(spark, d):
     return table(spark, d, "part").select("p_partkey", G.nearest(F.col("p_size").cast("double"), grid, F.lit(3.0)).alias("snapped"))
 
 
+@cache
 def _room_edges(columns: int, rows: int, side: int = 40) -> str:
-    """The pairs of rooms that share a wall in a drawing of a grid, found from its pixels."""
+    """The pairs of rooms that share a wall in a drawing of a grid, found from its pixels; a worker draws each size once."""
     xs, ys = [10 + side * i for i in range(columns + 1)], [10 + side * i for i in range(rows + 1)]
     walls = np.zeros((ys[-1] + 11, xs[-1] + 11), bool)
     for x in xs:
@@ -416,6 +418,11 @@ def _room_edges(columns: int, rows: int, side: int = 40) -> str:
     return ",".join(f"{a}-{b}" for a, b in pairs)
 
 
+def _edges(columns: pd.Series, rows: pd.Series) -> pd.Series:
+    """Each row's pairs; a grid whose sizes are null or under one has no rooms, so no pairs."""
+    return pd.Series([_room_edges(int(c), int(r)) if c > 0 and r > 0 else "" for c, r in zip(columns, rows, strict=True)], dtype="str")
+
+
 @query("""WITH g AS (SELECT p_partkey, 1 + p_size % 4 AS columns, 1 + p_partkey % 3 AS rows FROM part),
 c AS (SELECT p_partkey, columns, rows, y, x, y * columns + x + 1 AS i FROM (SELECT *, unnest(range(columns)) AS x FROM (SELECT *, unnest(range(rows)) AS y FROM g)))
 SELECT p_partkey, coalesce(string_agg(e, ',' ORDER BY e), '') AS edges FROM (
@@ -424,11 +431,8 @@ SELECT p_partkey, coalesce(string_agg(e, ',' ORDER BY e), '') AS edges FROM (
   UNION ALL SELECT p_partkey, 'r' || lpad(CAST(i AS VARCHAR), 2, '0') || '-r' || lpad(CAST(i + columns AS VARCHAR), 2, '0') FROM c WHERE y + 1 < rows) USING (p_partkey) GROUP BY p_partkey""")
 def adjacency_edges(spark, d):
     """Which regions of a drawn map face each other across a line: each part is a grid of rooms of its size."""
-    def edges(columns: pd.Series, rows: pd.Series) -> pd.Series:
-        return pd.Series([_room_edges(int(c), int(r)) for c, r in zip(columns, rows, strict=True)], dtype="str")
-
     part = table(spark, d, "part").select("p_partkey", (1 + F.col("p_size") % 4).alias("columns"), (1 + F.col("p_partkey") % 3).alias("rows"))
-    return part.select("p_partkey", F.pandas_udf(edges, "string")("columns", "rows").alias("edges"))
+    return part.select("p_partkey", F.pandas_udf(_edges, "string")("columns", "rows").alias("edges"))
 
 
 @query("""SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) / len(embedding), 6) AS mean, round(CAST(list_sort(embedding)[CAST(floor((len(embedding) - 1) * 0.05) AS INTEGER) + 1] AS DOUBLE), 6) AS p05 FROM embeddings""")

@@ -119,3 +119,19 @@ def test_queries_without_sql_run(spark):
 
     for name in set(catalogue.QUERIES) - set(catalogue.ORACLES):
         catalogue.QUERIES[name](spark, "/root/testdata/sf0.001").write.format("noop").mode("overwrite").save()  # every column is computed
+
+
+def test_adjacency_draws_each_size_once(spark, tmp_path, monkeypatch):
+    duckdb = pytest.importorskip("duckdb")
+    from folioflow.plans import catalogue
+
+    drawn, real = [], catalogue.Fg.interior_regions
+    monkeypatch.setattr(catalogue.Fg, "interior_regions", lambda walls: drawn.append(walls.shape) or real(walls))
+    assert len({catalogue._room_edges(6, 5) for _ in range(50)} | {catalogue._room_edges(5, 6) for _ in range(50)}) == 2 and len(drawn) == 2
+    sizes = [None, 0, -1, -2, -3, -4, -50, *range(1, 51)]
+    rows = [(k, sizes[k % len(sizes)]) for k in range(-300, 2000)] + [(None, 3)]
+    spark.createDataFrame(rows, "p_partkey long, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    got = sorted(map(tuple, catalogue.adjacency_edges(spark, str(tmp_path)).collect()), key=str)
+    con = duckdb.connect()
+    con.sql(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
+    assert got == sorted(con.sql(catalogue.ORACLES["adjacency_edges"]).fetchall(), key=str)
